@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe_codec, line_dedup, quality_rules, simhash
+from lodestack.llm import bpe_codec, decontaminate, line_dedup, quality_rules, simhash
 from lodestack.llm.tables import table
 from lodestack.runtime import materialize
 
@@ -30,6 +30,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, the token ids and their number."""
     coded = bpe_codec.encode(docs.select(*COLUMNS))
@@ -40,6 +46,7 @@ STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
     ("bpe_encoding", bpe),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe_codec, frame_store, line_dedup, quality_rules, simhash, token_counts
+from lodestack.llm import bpe_codec, decontaminate, frame_store, html_text, line_dedup, lm_scoring, quality_rules, secret_scan, simhash, token_counts
 from lodestack.llm.tables import table
 from lodestack.runtime import scratch
 
@@ -33,6 +33,52 @@ FROM m GROUP BY doc_id
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    rules = secret_scan.RULES
+    base = [i for i, r in enumerate(rules) if r.base]
+
+    def count(i: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long").alias(f"n_{rules[i].kind}")
+
+    digest = F.sha2(secret_scan.span_text(F.filter("spans", lambda s: s["kind"] <= max(base))), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, base), digest, secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+def _op3_sql() -> str:
+    """Every rule over every text: the places follow from the lengths of matches and of the pieces between."""
+    parts = []
+    for i, r in enumerate(secret_scan.RULES):
+        rx = r.regex.replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {i} AS kind, '{r.kind}' AS name, unnest(regexp_extract_all(t, '{rx}', 0)) AS hit, unnest(regexp_extract_all(t, '{rx}', {r.group})) AS judged,
+         unnest(regexp_split_to_array(t, '{rx}')[:-2]) AS gap, generate_subscripts(regexp_extract_all(t, '{rx}', 0), 1) AS i, {r.least} AS least FROM d""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}
+), s AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM m
+), k AS (
+  SELECT doc_id, kind, name, CAST(stop - length(hit) AS BIGINT) AS start, name || ':' || CAST(stop - length(hit) AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM s WHERE length(judged) >= least
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+         coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+OP3_SQL = _op3_sql()
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules.apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,13 +98,21 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_quality_rules, op6_token_counts, op7_token_id_frames, op8_bpe_codec, op10_simhash_near_dedup)}
+    ops = (
+        op1_line_dedup, op2_html_extraction, op3_secret_scans, op4_lm_scoring, op5_quality_rules, op6_token_counts, op7_token_id_frames, op8_bpe_codec,
+        op9_benchmark_decontamination, op10_simhash_near_dedup,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_secret_scans": OP3_SQL}
