@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.tables import pieces
-from lodestack.llm.word_bpe import SPECIAL, TOKENIZER, WordTable, library
+from lodestack.llm.word_bpe import TOKENIZER, WordTable, library, vocabulary
 from lodestack.runtime import scratch
 
 FRAME_IDS = 65_536
@@ -129,26 +129,13 @@ class ShardReader:
 
 @cache
 def _table(name: str) -> WordTable:
-    """Distinct chunks through the library, many to a call: a special string keeps neighbours apart."""
-    tok = library(name)
-    mark = SPECIAL[1]
-    mark_id = tok.token_to_id(mark)
-
-    def encode(chunks: list[bytes]) -> list[np.ndarray]:
-        texts = [c.decode() for c in chunks]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if "<|" not in t]
-        for at in range(0, len(plain), 2000):
-            own = plain[at : at + 2000]
-            ids = np.array(tok.encode(mark.join(texts[i] for i in own), add_special_tokens=False).ids, np.int32)
-            for i, part in zip(own, np.split(ids, np.flatnonzero(ids == mark_id)), strict=True):
-                out[i] = part if i == own[0] else part[1:]
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = np.array(tok.encode(t, add_special_tokens=False).ids, np.int32)
-        return out  # type: ignore[return-value]
-
-    return WordTable(encode)
+    """Distinct pre-tokens through the library's own BPE model."""
+    v, model = vocabulary(name), library(name).model
+
+    def encode(pretokens: list[str]) -> list[np.ndarray]:
+        return [np.array([t.id for t in model.tokenize(v.spelled(p))], np.int32) for p in pretokens]
+
+    return WordTable(lambda chunks: v.encode_chunks(chunks, encode))
 
 
 def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", name: str = TOKENIZER, end_id: int = 2) -> DataFrame:

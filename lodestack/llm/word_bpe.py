@@ -18,9 +18,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Distinct chunks that a Python worker remembers; then it starts anew. Bounds memory, changes no result.
 REMEMBERED = 1_000_000
 
-#: Fixed values of the vocabulary: its pre-token pattern and its special strings.
+#: Fixed value of the vocabulary: its pre-token pattern.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 #: Printable ASCII and Latin-1: here normal form C changes nothing and lower case is a plain mapping.
 _PLAIN = regex.compile(r"[!-~¡-ÿ]*")
@@ -59,7 +58,7 @@ class Vocabulary:
         for s, i in {**ids, **self.special}.items():
             self.token[i] = s
         self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in map(_pair, spec["model"]["merges"])]
-        letters = _byte_letters()
+        letters = self.letters = _byte_letters()
         self.inner = np.array([ids[c] for c in letters], np.int32)
         self.last = np.array([ids[c + self.end] for c in letters], np.int32)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
@@ -72,35 +71,42 @@ class Vocabulary:
         clean = self._library.normalizer.normalize_str(chunk)
         return [clean[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(clean)]
 
+    def spelled(self, pretoken: str) -> str:
+        """A pre-token's bytes as the letters that stand for them."""
+        return pretoken if pretoken.isascii() else "".join(map(self.letters.__getitem__, pretoken.encode()))
+
     def symbols(self, pretoken: str) -> np.ndarray:
         raw = np.frombuffer(pretoken.encode(), np.uint8)
         out = self.inner[raw]
         out[-1] = self.last[raw[-1]]
         return out
 
-    def encode_chunks(self, chunks: list[bytes], encode_pretokens: Callable[[list[str]], list]) -> list[np.ndarray]:
-        """Ids of each chunk; encode_pretokens gives the ids of distinct pre-tokens."""
-        parts: list[list[str | int]] = []
+    def encode_chunks(self, chunks: list[bytes], encode_pretokens: Callable[[list[str]], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after another, and each chunk's number of ids.
+
+        encode_pretokens gives the ids of distinct pre-tokens. Special strings take the places after them.
+        """
         known: dict[str, int] = {}
-        for raw in chunks:
+        special = list(self.special)
+        places: list[int] = []
+        counts = np.ones(len(chunks), np.int64)
+        for i, raw in enumerate(chunks):
             chunk = raw.decode()
-            out: list[str | int] = []
+            if chunk.isascii() and chunk.isalpha():
+                places.append(known.setdefault(chunk.lower(), len(known)))
+                continue
+            before = len(places)
             for piece in self.split_special.split(chunk) if "<|" in chunk else (chunk,):
                 if piece in self.special:
-                    out.append(self.special[piece])
+                    places.append(-1 - special.index(piece))
                 elif piece:
-                    out += self.pretokens(piece)
-            for p in out:
-                if isinstance(p, str):
-                    known.setdefault(p, len(known))
-            parts.append(out)
-        ids = encode_pretokens(list(known))
-        none = np.zeros(0, np.int32)
-        made = []
-        for out in parts:
-            each = [ids[known[p]] if isinstance(p, str) else np.array([p], np.int32) for p in out]
-            made.append(each[0] if len(each) == 1 else np.concatenate(each) if each else none)
-        return made
+                    places += [known.setdefault(p, len(known)) for p in self.pretokens(piece)]
+            counts[i] = len(places) - before
+        ids = [*encode_pretokens(list(known)), *(np.array([self.special[s]], np.int32) for s in reversed(special))]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.array(places, np.int64)
+        at[at < 0] += len(ids)
+        return ragged_take(np.concatenate(ids), np.cumsum(lengths) - lengths, lengths, at), ragged_sums(lengths[at], counts)
 
 
 def _pair(merge: str | list[str]) -> tuple[str, str]:
@@ -137,7 +143,7 @@ class _Rows(dict):
 class WordTable:
     """Ragged table of the ids of all chunks met so far."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], limit: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = REMEMBERED):
         self.encode, self.limit = encode, limit
         self._reset()
 
@@ -147,13 +153,11 @@ class WordTable:
 
     def _grow(self) -> None:
         new, self.rows.new = self.rows.new, []
-        ids = self.encode(new)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(lengths.sum())
+        ids, lengths = self.encode(new)
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.flat[self.used : self.used + total] = ids
         self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
         self.used += total
@@ -179,9 +183,15 @@ class WordTable:
         """Ids of all texts one after another, and the number of each text's ids."""
         counts, rows = self.documents(texts)
         lengths = self.length[rows]
-        at = np.repeat(self.start[rows] - (np.cumsum(lengths) - lengths), lengths)
-        at += np.arange(len(at))
-        return self.flat[at], ragged_sums(lengths, counts)
+        return ragged_take(self.flat, self.start, self.length, rows), ragged_sums(lengths, counts)
+
+
+def ragged_take(flat: np.ndarray, start: np.ndarray, length: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The wanted rows of a ragged table one after another."""
+    lengths = length[rows]
+    at = np.repeat(start[rows] - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 def ragged_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
