@@ -52,7 +52,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """In [-1, 1]; 0 for invalid vectors or different lengths."""
-    both = _let(normalized(a), lambda x: _let(normalized(b), lambda y: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(x, y)))))
+
+    def clipped(d):
+        return F.when(d > 1, 1.0).when(d < -1, -1.0).otherwise(d)
+
+    both = _let(normalized(a), lambda x: _let(normalized(b), lambda y: _let(dot(x, y), clipped)))
     return F.coalesce(F.when(F.size(a) == F.size(b), both), F.lit(0.0))
 
 
