@@ -73,7 +73,7 @@ class Vocabulary:
 
     def spelled(self, pretoken: str) -> str:
         """A pre-token's bytes as the letters that stand for them."""
-        return pretoken if pretoken.isascii() else "".join(map(self.letters.__getitem__, pretoken.encode()))
+        return pretoken if pretoken.isascii() and pretoken.isprintable() else "".join(map(self.letters.__getitem__, pretoken.encode()))
 
     def symbols(self, pretoken: str) -> np.ndarray:
         raw = np.frombuffer(pretoken.encode(), np.uint8)
