@@ -63,6 +63,27 @@ def pending_batch(pending: DataFrame, stream: str) -> DataFrame:
     return minimal_scopes(own, "scope").crossJoin(F.broadcast(own.agg(F.max("id").alias("through"))))  # one row
 
 
+def prepare(streams: DataFrame, pending: DataFrame, stream: str, identity: str, current: int) -> tuple[int, DataFrame, DataFrame]:
+    """(cursor, streams, pending) at the start of a watch: streams has (stream, identity, checkpoint).
+
+    A known stream of the same identity goes on from its checkpoint. Otherwise, or if the checkpoint lies ahead
+    of the current id, history can't be trusted: it begins at the current id with the whole root to look at.
+    """
+    held = streams.filter((F.col("stream") == stream) & (F.col("identity") == identity) & (F.col("checkpoint") <= current)).first()  # one row
+    if held is not None:
+        return held["checkpoint"], streams, pending
+    spark = streams.sparkSession
+    fresh = spark.createDataFrame([(stream, identity, current)], "stream string, identity string, checkpoint long")
+    root = spark.createDataFrame([(stream, "", current)], "stream string, scope string, id long")
+    others = F.col("stream") != stream
+    return current, streams.filter(others).unionByName(fresh), pending.filter(others).unionByName(root)
+
+
+def forget(streams: DataFrame, pending: DataFrame, stream: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without a stream."""
+    return streams.filter(F.col("stream") != stream), pending.filter(F.col("stream") != stream)
+
+
 @dataclass
 class Journal:
     """Dirty scopes as snapshots in a folder: each micro-batch writes the next one.
