@@ -28,11 +28,12 @@ def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
     levels, and the hashes over the threshold are joined back; a hash that a third of all documents share is
     split by adaptive skew handling. Texts are not shuffled.
     """
-    lines = docs.select(docs[key].alias("key"), F.posexplode(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1)).alias("at", "line"))
+    lines = docs.select(docs[key].alias("key"), F.posexplode_outer(F.split(F.coalesce(docs[text], F.lit("")), "\n", -1)).alias("at", "line"))
     lines = lines.filter(F.length("line") >= min_chars).select("key", "at", line_key(F.col("line")).alias("line")).filter(F.length("line") >= min_chars)
     hashed = materialize(lines.select("key", "at", line_hash(F.col("line")).alias("h")).select("key", "at", "h.a", "h.b"), "line-hashes")
     counted = hashed.groupBy("a", "b").agg(F.count_distinct("key").alias("n"), F.max("key").alias("keeper"))
-    shared = counted.filter(F.col("n") >= min_documents).select("a", "b", "keeper")
+    # Written first: an aggregate right below the join would keep adaptive execution from splitting a hot hash.
+    shared = materialize(counted.filter(F.col("n") >= min_documents).select("a", "b", "keeper"), "shared-lines")
     lost = hashed.join(shared, ["a", "b"]).filter(F.col("key") != F.col("keeper"))
     # Repeated rows of a document give a position more than once; a set bounds the array by the document's lines.
     return lost.groupBy("key").agg(F.collect_set("at").alias("dropped")).withColumnRenamed("key", key)
