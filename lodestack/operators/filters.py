@@ -105,6 +105,11 @@ def in_scope(path: Column, scope: str) -> Column:
     return F.lit(True) if scope == "" else (path == scope) | path.startswith(scope + "/")
 
 
+def under(path: Column, root: str) -> Column:
+    """A path that is a source's folder or lies below it."""
+    return in_scope(path, root.rstrip("/"))
+
+
 def readable(found: DataFrame, access: DataFrame) -> DataFrame:
     """Rows whose file may be read now: access has (file_id, state) with state denied, redirected or missing.
 

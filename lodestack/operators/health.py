@@ -30,3 +30,11 @@ def orphan_contents(contents: DataFrame, files: DataFrame) -> DataFrame:
 def unembedded(passages: DataFrame, vectors: DataFrame, files: DataFrame) -> DataFrame:
     """Passages of owned contents that lack a vector."""
     return passages.join(files.select("content_id"), "content_id", "left_semi").join(vectors.select("passage_id"), "passage_id", "left_anti")
+
+
+def summary_json(sources: DataFrame, files: DataFrame, passages: DataFrame, vectors: DataFrame) -> str:
+    """One JSON document about a catalog's health: its counts and those of each source."""
+    import json
+
+    counts = statistics(files, passages, vectors).first().asDict()
+    return json.dumps({"counts": counts, "sources": [r.asDict() for r in source_health(sources, files).collect()]})  # one row per source

@@ -103,3 +103,19 @@ def upsert_sources(known: DataFrame, added: DataFrame) -> DataFrame:
         F.coalesce("a.source_id", "b.source_id").alias("source_id"), F.coalesce("a.identity", "b.identity").alias("identity"), F.coalesce("a.name", "b.name").alias("name"),
         F.when(new, F.col("b.path")).otherwise(F.col("a.path")).alias("path"), F.when(new, "online").otherwise(F.col("a.availability")).alias("availability"),
     )
+
+
+def exclude(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """Files that a source keeps after its exclusions change."""
+    from lodestack.functions.text import excluded
+
+    return files.filter(~excluded(F.col("relative_path"), patterns))
+
+
+RECONCILE_SECONDS = 900
+
+
+def due_sources(sources: DataFrame, now: float) -> DataFrame:
+    """Sources to look at again: neither paused nor offline, and not looked at for a quarter of an hour."""
+    late = F.col("last_scan").isNull() | (F.col("last_scan") <= now - RECONCILE_SECONDS)
+    return sources.filter(~F.col("availability").isin("paused", "offline") & late)

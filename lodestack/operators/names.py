@@ -142,3 +142,13 @@ def app_ranking(apps: DataFrame, query: str) -> DataFrame:
     by_file = app_score(own, query, "file_name").withColumn("score", F.col("score") - 10)
     best = by_name.unionByName(by_file).groupBy("path", "name").agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), F.lower("name"), "path")
+
+
+def result_identity(kind: Column, path: Column) -> Column:
+    """application:path or document:path."""
+    return F.concat_ws(":", kind, path)
+
+
+def with_extras(apps: DataFrame, extras: DataFrame) -> DataFrame:
+    """apps and the extras whose path isn't among them."""
+    return apps.unionByName(extras.join(apps.select("path"), "path", "left_anti"))

@@ -207,3 +207,41 @@ def probes(query) -> list[int]:
 def bucket_candidates(postings: DataFrame, query, limit: int = 1200) -> DataFrame:
     """(passage_id, hits): passages by the number of probed buckets they lie in; postings has (bucket, passage_id)."""
     return postings.filter(F.col("bucket").isin(*probes(query))).groupBy("passage_id").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "passage_id").limit(limit)
+
+
+#: Name of the built-in encoder; vectors are only comparable under one name.
+MODEL = "hashed-words-256-v1"
+ENCODED_CHARS, ENCODED_DIMENSIONS = 4096, 256
+
+
+def encode_text(text: str | None) -> list[float] | None:
+    """A deterministic unit vector of a text's folded words, each added to one signed place by its hash; None when
+    blank. It stands in for a sentence model, which needs files that this library doesn't have."""
+    import hashlib
+
+    from lodestack.functions.text import word_list
+
+    v = np.zeros(ENCODED_DIMENSIONS)
+    for w in word_list((text or "").strip()[:ENCODED_CHARS]):
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        v[h % ENCODED_DIMENSIONS] += 1.0 if h >> 63 else -1.0
+    unit = _unit(v)
+    return None if unit is None else unit.tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def encode(text: pd.Series) -> pd.Series:
+    return text.map(encode_text)
+
+
+def for_model(vectors: DataFrame, model: str) -> DataFrame:
+    return vectors.filter(F.col("model") == model)
+
+
+def backfill(passages: DataFrame, vectors: DataFrame, files: DataFrame, model: str = MODEL) -> DataFrame:
+    """(passage_id, model, packed) for owned passages that lack a vector of the model; blank ones get none."""
+    from lodestack.operators.health import unembedded
+
+    todo = unembedded(passages, for_model(vectors, model), files)
+    made = todo.select("passage_id", F.lit(model).alias("model"), pack(encode("text")).alias("packed"))
+    return made.filter(F.length("packed") > 0)

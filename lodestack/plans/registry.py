@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.engine import Engine
 from lodestack.functions import text as tx
-from lodestack.operators import filters, fulltext, fusion, health, history, incremental, names, vectors
+from lodestack.operators import filters, fulltext, fusion, health, history, incremental, names, relevance, vectors
 from lodestack.operators.filters import SearchRequest
 from lodestack.plans import catalog as cat
 from lodestack.plans.catalog import CATALOG_SQL, catalog, read
@@ -596,4 +596,61 @@ def stream_open_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/batch={done.lastProgress['batchId']}").select("query", "path", "count", cat.micros("last_open").alias("last_open"))
 
 
+@query("""WITH {cat}, p AS (SELECT DISTINCT regexp_replace(relative_path, '/[^/]*$', '') AS relative_path FROM files_)
+SELECT relative_path, row_number() OVER (ORDER BY CASE WHEN relative_path = 'app' OR starts_with(relative_path, 'app/') THEN 0 ELSE 1 END,
+  CASE WHEN relative_path = 'Documents' OR starts_with(relative_path, 'Documents/') THEN 0 WHEN relative_path = 'Desktop' OR starts_with(relative_path, 'Desktop/') THEN 1 ELSE 2 END, length(relative_path), relative_path) AS place FROM p""")
+def frontier_order(spark: SparkSession, sf: str) -> DataFrame:
+    folders = cat.files(read(spark, sf, "documents")).select(F.regexp_replace("relative_path", "/[^/]*$", "").alias("relative_path")).distinct()
+    return folders.withColumn("place", F.row_number().over(Window.orderBy(*incremental.frontier_order(["app"]))).cast("long"))  # a handful of folders
+
+
+@query("""WITH k AS (SELECT 's' || n_nationkey AS source_id, 'i' || n_nationkey AS identity, n_name AS name, '/old/' || n_name AS path, 'offline' AS availability FROM nation WHERE n_nationkey < 15),
+a AS (SELECT 'n' || n_nationkey AS source_id, 'i' || n_nationkey AS identity, lower(n_name) AS name, '/new/' || n_name AS path FROM nation WHERE n_nationkey >= 10)
+SELECT coalesce(k.source_id, a.source_id) AS source_id, coalesce(k.identity, a.identity) AS identity, coalesce(k.name, a.name) AS name, coalesce(a.path, k.path) AS path, CASE WHEN a.identity IS NULL THEN k.availability ELSE 'online' END AS availability
+FROM k FULL JOIN a ON k.identity = a.identity""")
+def source_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    n = read(spark, sf, "nation")
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+
+    def rows(mark: str, shown, folder: str, state: str) -> DataFrame:
+        return n.select(F.concat(F.lit(mark), key).alias("source_id"), F.concat(F.lit("i"), key).alias("identity"), shown.alias("name"), F.concat(F.lit(folder), name).alias("path"), F.lit(state).alias("availability"), "n_nationkey")
+
+    known = rows("s", name, "/old/", "offline").filter("n_nationkey < 15").drop("n_nationkey")
+    added = rows("n", F.lower(name), "/new/", "online").filter("n_nationkey >= 10").drop("n_nationkey")
+    return incremental.upsert_sources(known, added)
+
+
+@query("""WITH h AS (SELECT doc_id % 50 AS file_id, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS turn, doc_id AS position, doc_id % 7 AS passage_id FROM documents),
+f AS (SELECT file_id, passage_id, min((turn, position)) AS r FROM h GROUP BY file_id, passage_id), n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY r, passage_id) AS n FROM f)
+SELECT file_id, list(passage_id ORDER BY n) AS passage_ids FROM n WHERE n <= 3 GROUP BY file_id""")
+def passage_carry_over(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, fusion.KINDS)), (i % 3 + 1).cast("int"))
+    return fusion.carry_passages(read(spark, sf, "documents").select((i % 50).alias("file_id"), kind.alias("kind"), i.alias("position"), (i % 7).alias("passage_id")))
+
+
+@query("""WITH e AS (SELECT event_id, 'd' || (user_id % 30) || '/' || event_type AS scope FROM events), l AS (SELECT scope, max(event_id) AS id FROM e GROUP BY scope HAVING max(event_id) > 900)
+SELECT scope, (SELECT max(id) FROM l) AS through FROM l""")
+def journal_batch(spark: SparkSession, sf: str) -> DataFrame:
+    routed = read(spark, sf, "events").select(F.lit("s").alias("stream"), F.concat(F.lit("d"), F.col("user_id") % 30, F.lit("/"), F.col("event_type")).alias("scope"), "event_id")
+    none = spark.createDataFrame([], "stream string, scope string, id long")
+    return journal.pending_batch(journal.acknowledge(journal.capture(none, routed), "s", 900), "s").select("scope", "through")
+
+
+@query("""WITH r AS (SELECT item_id AS query_id, (item_id + k) % 40 AS item_id, (k * 7 + item_id) % 11 AS position FROM benchmark, range(11) t(k)), p AS (SELECT b.item_id, min(position) AS p FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id AND r.item_id = (b.item_id + b.item_id % 13) % 40 GROUP BY b.item_id)
+SELECT count(*) AS queries, round(avg(CASE WHEN p < 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN p < 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, round(avg(coalesce(1.0 / (p + 1), 0)), 6) AS mrr FROM p""")
+def relevance_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    b = read(spark, sf, "benchmark").select("item_id")
+    i = F.col("item_id")
+    ranked = b.select(i.alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k")).select("query_id", ((F.col("query_id") + F.col("k")) % 40).alias("item_id"), ((F.col("k") * 7 + F.col("query_id")) % 11).alias("position"))
+    return relevance.metrics(ranked, b.select(i.alias("query_id"), ((i + i % 13) % 40).alias("item_id")))
+
+
+@query()
+def vector_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    c = catalog(spark, sf)
+    held = c.passages.filter("passage_id % 2 = 0").select("passage_id", F.lit(vectors.MODEL).alias("model"))
+    return vectors.backfill(c.passages, held, c.files).select("passage_id", "model", F.length("packed").alias("bytes"))
+
+
 FLAGSHIP = "hybrid_fusion"
