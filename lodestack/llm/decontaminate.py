@@ -54,7 +54,9 @@ def windows(rows: DataFrame, key: str, text: str) -> DataFrame:
     """
     hashed = F.transform(tokens(F.col(text)), lambda x: F.xxhash64(_template(x)))
     each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("hashed") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("hashed", i, WINDOW)))
-    return rows.select(F.col(key).alias("key"), hashed.alias("hashed")).filter(F.size("hashed") > 0).select("key", F.posexplode(each).alias("at", "h"))
+    some = F.when(F.size("hashed") > 0, each)
+    # An outer explode: for an inner one Catalyst adds a filter on the array's size that computes it all again.
+    return rows.select(F.col(key).alias("key"), hashed.alias("hashed")).select("key", F.posexplode_outer(some).alias("at", "h")).filter(F.col("h").isNotNull())
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -94,11 +96,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     renamed = items.select("_item", F.col("_item_text").alias("_text"))
     found = materialize(overlaps(docs, renamed, "_doc", "_item", "_text"), "overlaps")
     own = docs.join(found, docs["_doc"] == found["doc"]).join(items, F.col("item") == items["_item"])
-    sides = own.select("_doc", "_item", "coverage", "shift", tokens(F.col("_text")).alias("d"), tokens(F.col("_item_text")).alias("i"))
+    # Written before it is used: inside the lambdas below Catalyst would tokenise again for every element.
+    sides = materialize(own.select("_doc", "_item", "coverage", "shift", tokens(F.col("_text")).alias("d"), tokens(F.col("_item_text")).alias("i")), "overlap-tokens")
     # Along the alignment, token p of the item stands opposite token p + shift of the document.
     first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("i"), F.size("d") - F.col("shift")) - 1
     opposite = F.transform(F.sequence(first, last), lambda p: F.struct(F.element_at("i", p + 1).alias("item"), F.element_at("d", p + F.col("shift") + 1).alias("doc")))
-    faced = sides.select("_doc", "_item", "coverage", opposite.alias("faced"))
+    faced = materialize(sides.select("_doc", "_item", "coverage", opposite.alias("faced")), "overlap-faced")
     slots = F.array_distinct(F.filter("faced", lambda x: _is_slot(x["item"]) & (F.substring(x["item"], 1, 1) == F.substring(x["doc"], 1, 1))))
     equal = F.size(F.filter("faced", lambda x: x["item"] == x["doc"])) / F.size("faced")
     judged = faced.select("_doc", "_item", "coverage", slots.alias("pairs"), equal.alias("literal"))
