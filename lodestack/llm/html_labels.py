@@ -48,7 +48,7 @@ def _header(d: _Draw) -> str:
 
 def _footer(d: _Draw) -> str:
     inner = d.of([f"&copy; {d.text(1, 12)}", f"<p>{d.text(4, 30)}</p>", " | ".join(_links(d, 2, 6)), f"<p>{d.text(2, 12)}</p><p>{d.of(_links(d, 1, 2))} {d.text(2, 8)}</p>"])
-    return d.of(["<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="colophon">{}</div>', '<div class="site-footer legal">{}</div>', '<p class="copyright">{}</p>']).format(inner)
+    return d.of(["<footer>{}</footer>", '<div class="footer">{}</div>', '<div id="colophon">{}</div>', '<div class="site-footer legal">{}</div>', '<div class="copyright">{}</div>']).format(inner)
 
 
 def _side(d: _Draw) -> str:
@@ -76,6 +76,18 @@ def _comments(d: _Draw) -> str:
     return d.of(['<section class="comments"><h3>{}</h3>{}</section>', '<div id="comments"><h2>{}</h2>{}</div>', '<ol class="commentlist"><li>{}</li>{}</ol>', '<div id="disqus_thread"><p>{}</p>{}</div>', '<section id="discussion"><h2>{}</h2>{}</section>']).format(d.text(1, 3), each)
 
 
+def _hidden(d: _Draw) -> str:
+    return d.of(['<div style="display:none">{}</div>', "<div hidden>{}</div>", '<p aria-hidden="true">{}</p>']).format(d.text(3, 40))
+
+
+def _share(d: _Draw) -> str:
+    return f'<div class="share">{" ".join(_links(d, 2, 4))}</div>'
+
+
+#: What may stand inside an article without belonging to it.
+_INSIDE = (_advert, _notice, _side, _form, _menu, _hidden, _share)
+
+
 def _article(d: _Draw) -> tuple[str, list[str]]:
     """The article's HTML and its blocks' texts. Adverts and share bars may stand inside."""
     parts, main = [], []
@@ -109,7 +121,11 @@ def _article(d: _Draw) -> tuple[str, list[str]]:
             parts.append("<table><tr>" + "</tr><tr>".join(f"<td>{cells[i]}</td><td>{cells[i + 1]}</td>" for i in (0, 2)) + "</tr></table>")
             main.extend(cells)
         else:
-            parts.append(d.of([_advert, _notice, _side])(d) if d.below(2) else f'<div class="share">{" ".join(_links(d, 2, 4))}</div>')
+            parts.append(d.of(_INSIDE)(d))
+        if not plain and d.below(6) == 0:
+            parts.append(d.of(_INSIDE)(d))
+    if not plain and d.below(8) == 0:
+        parts.append(_comments(d))
     return wrap.format("".join(parts)), main
 
 
@@ -122,5 +138,5 @@ def labelled_pages(n: int = PAGES) -> list[tuple[str, set[str]]]:
         top = "".join(d.of(x)(d) for x in ([_menu], [_header, _menu], [_advert, _notice], [_form, _header]) if d.below(2))
         end = "".join(d.of(x)(d) for x in ([_side, _advert], [_comments], [_form, _notice], [_menu, _side], [_footer]) if d.below(2))
         title = d.text(2, 6)
-        out.append((f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{top}<!-- x -->{article}<script>var a='<p>';</script>{end}{_footer(d)}</body></html>", set(main)))
+        out.append((f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{top}<!-- x -->{article}<script>var a='<p>';</script>{end}{_footer(d) if d.below(4) else ""}</body></html>", set(main)))
     return out

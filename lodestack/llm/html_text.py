@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html as entities
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +66,26 @@ class Block:
     zones: frozenset[str]
 
 
+@lru_cache(10_000)
+def _zone_of(word: str) -> str | None:
+    """A known word's zone; a compound like commentlist counts as the longest known word that begins it."""
+    if word in _ZONE_WORDS:
+        return _ZONE_WORDS[word]
+    begun = [w for w in _ZONE_WORDS if len(w) >= 6 and word.startswith(w)]
+    return _ZONE_WORDS[max(begun, key=len)] if begun else None
+
+
+def _zone(word: str) -> str | None:
+    return _zone_of(word.lower()) if len(word) < 40 else None
+
+
 def _attributes(raw: str) -> tuple[set[str], bool]:
     """Zones that an element's class, id and role name, and whether it is hidden."""
     zones, hidden = set(), False
     for name, a, b, c in _NAMED.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            zones |= {_ZONE_WORDS[w] for w in (x.lower() for x in _PARTS.findall(value)) if w in _ZONE_WORDS}
+            zones |= {z for z in map(_zone, _PARTS.findall(value)) if z}
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, regex.I):
             hidden = True
     return zones, hidden
