@@ -168,7 +168,11 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
         if sink is not None:
             writer.close()
             sink.close()
-            fs.move(part, final)
+            try:
+                fs.move(part, final)
+            except OSError:  # some stores don't replace: an earlier attempt of this task left the same bytes
+                fs.delete_file(final)
+                fs.move(part, final)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [final.rsplit("/", 1)[1]], "documents": pa.array([writer.documents], pa.int64()), "ids": pa.array([writer.total], pa.int64())})
 
     shards = ordered.mapInArrow(run, "shard long, file string, documents long, ids long")
@@ -195,5 +199,6 @@ def read_store(spark: SparkSession, path: str, manifest: DataFrame, key: str = "
                             start += len(ids)
                         yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in out.items()})
 
-    shards = manifest.select("file", "start").repartition("file")
+    # As many tasks as shards: by the manifest's size alone, adaptive execution would read all shards in one.
+    shards = manifest.select("file", "start").repartition(max(1, manifest.count()))
     return shards.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
