@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.tables import pieces
-from lodestack.runtime import materialize
+from lodestack.runtime import discard, materialize, release
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKETS, ROUNDS = 24, 12
 #: Hash of the end token and of the start context; no word has them (words' hashes have the lowest bit set).
 END, START = 0, 2
@@ -117,20 +117,15 @@ class Block:
         return train, np.bincount(at[self.token_fold == TUNING], minlength=size)
 
 
-def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Number of the even hash range, of n, that each hash lies in."""
-    mixed = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return ((mixed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def _sent(block: Block, ranges: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(kind, range, order, hashes): a block's distinct tokens and bigrams by range, ascending by hash."""
+    """(kind, range, order, hashes): a block's distinct tokens and bigrams by even range of their hashes, ascending."""
     for kind, hashes in (("word", block.words), ("pair", block.pairs)):
-        which = _ranges(hashes, ranges)
-        order = np.lexsort((hashes, which))
-        used, cuts = np.unique(which[order], return_index=True)
-        for r, own in zip(used.tolist(), np.split(order, cuts[1:]), strict=True):
-            yield kind, r, own, hashes[own]
+        order = np.argsort(hashes)
+        sorted_ = hashes[order]
+        which = (sorted_ >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        used, cuts = np.unique(which, return_index=True)
+        for r, own, h in zip(used.tolist(), np.split(order, cuts[1:]), np.split(sorted_, cuts[1:]), strict=True):
+            yield kind, int(r), own, h
 
 
 def totals(found: DataFrame, ranges: int) -> DataFrame:
@@ -264,16 +259,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     of = total.filter("kind = 'word'").agg(*[F.sum(c).alias(c) for c in ("types", "tokens", "kept_types", "kept_tokens")]).first()
     sums = {c: int(of[c] or 0) for c in ("types", "tokens", "kept_types", "kept_tokens")}
     full = materialize(resolved(found, total, ranges), "lm-resolved")
+    discard(found)
+    discard(total)
 
     def ends(frames):  # texts in training, and without the tuning fold: the counts of the start context
         for frame in frames:
             folds = [np.frombuffer(x, np.uint8) for x in frame["fold"]]
             yield pd.DataFrame({"train": [sum(int((f != HELD_OUT).sum()) for f in folds)], "kept": [sum(int(((f != HELD_OUT) & (f != TUNING)).sum()) for f in folds)]})
 
+    release(docs.sparkSession)
     texts = full.select("fold").mapInPandas(ends, "train long, kept long").agg(F.sum("train").alias("train"), F.sum("kept").alias("kept")).first()
     sums |= {"docs": int(texts["train"]), "kept_docs": int(texts["kept"])}
     rows = materialize(tuning_rows(full, sums), "lm-tuning")
     weights = learn(rows, sums["kept_types"])
+    discard(rows)
 
     def run(frames):
         n, v = sums["tokens"], sums["types"]
