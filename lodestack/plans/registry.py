@@ -137,30 +137,30 @@ def staleness_and_status(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("file_id", filters.stale().alias("stale"), filters.status_label().alias("label"))
 
 
-@query("""WITH {cat}, a AS (SELECT file_id, CASE file_id % 7 WHEN 0 THEN 'denied' WHEN 1 THEN 'redirected' WHEN 2 THEN 'missing' END AS state FROM files_)
+@query("""WITH {cat}, a AS (SELECT file_id, CASE ext WHEN 'node' THEN 'denied' WHEN 'swift' THEN 'redirected' WHEN 'html' THEN 'missing' END AS state FROM files_)
 SELECT f.file_id, CASE WHEN state = 'missing' THEN 'offline' ELSE availability END AS availability, coalesce(state = 'missing', false) OR coalesce(abs(indexed_mtime - mtime) > 1e-6, false) AS stale
 FROM files_ f JOIN sources_ s ON f.source_id = s.source_id JOIN a ON a.file_id = f.file_id WHERE coalesce(state, '') NOT IN ('denied', 'redirected')""")
 def access_recheck(spark: SparkSession, sf: str) -> DataFrame:
     c = catalog(spark, sf)
-    i = F.col("file_id") % 7
-    access = c.files.select("file_id", F.when(i == 0, "denied").when(i == 1, "redirected").when(i == 2, "missing").alias("state")).filter("state IS NOT NULL")
+    x = F.col("ext")
+    access = c.files.select("file_id", F.when(x == "node", "denied").when(x == "swift", "redirected").when(x == "html", "missing").alias("state")).filter("state IS NOT NULL")
     return filters.readable(c.files.join(c.sources, "source_id"), access).select("file_id", "availability", "stale")
 
 
-@query("""WITH {cat} SELECT file_id FROM files_ WHERE file_id % 4 <> 0 OR indexed_mtime > 1700000000 + 3600 * 500""")
+@query("""WITH {cat} SELECT file_id FROM files_ WHERE ext <> 'md' OR indexed_mtime > 1700000000 + 3600 * 500""")
 def revocation_epoch(spark: SparkSession, sf: str) -> DataFrame:
     f = cat.files(read(spark, sf, "documents")).withColumn("indexed_at", F.col("indexed_mtime"))
-    revoked = f.filter("file_id % 4 = 0").select("file_id", F.lit(cat.EPOCH + 3600.0 * 500).alias("revoked_at"))
+    revoked = f.filter("ext = 'md'").select("file_id", F.lit(cat.EPOCH + 3600.0 * 500).alias("revoked_at"))
     return filters.not_revoked(f, revoked).select("file_id")
 
 
 @query("""WITH {cat}, c AS (SELECT source_id, count(*) AS files, count(*) FILTER (status IN ('indexed', 'partial', 'needsOCR')) AS indexed, count(*) FILTER (status IN ('queued', 'needsOCR')) AS pending,
-  count(*) FILTER (status IN ('failed', 'locked', 'denied', 'partial')) AS failed, count(*) FILTER (status = 'unsupported') AS unsupported FROM files_ WHERE file_id % 40 < 38 GROUP BY source_id)
+  count(*) FILTER (status IN ('failed', 'locked', 'denied', 'partial')) AS failed, count(*) FILTER (status = 'unsupported') AS unsupported FROM files_ GROUP BY source_id)
 SELECT s.source_id, source_name, availability, coalesce(files, 0) AS files, coalesce(indexed, 0) AS indexed, coalesce(pending, 0) AS pending, coalesce(failed, 0) AS failed, coalesce(unsupported, 0) AS unsupported
 FROM sources_ s LEFT JOIN c ON c.source_id = s.source_id""")
 def source_health(spark: SparkSession, sf: str) -> DataFrame:
     c = catalog(spark, sf)
-    return health.source_health(c.sources, c.files.filter("file_id % 40 < 38"))
+    return health.source_health(c.sources, c.files)
 
 
 @query("WITH {cat} SELECT (SELECT count(*) FROM files_) AS files, (SELECT count(*) FROM passages_) AS passages, (SELECT count(*) FROM vectors_) AS vectors")
@@ -173,10 +173,10 @@ def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cat.files(read(spark, sf, "documents")).groupBy("fingerprint", "ext").agg(F.count(F.lit(1)).alias("files"), F.min("file_id").alias("first_file"))
 
 
-@query("WITH {cat} SELECT DISTINCT content_id FROM files_ a WHERE file_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM files_ b WHERE b.content_id = a.content_id AND b.file_id % 3 <> 0)")
+@query("WITH {cat} SELECT DISTINCT content_id FROM files_ a WHERE NOT EXISTS (SELECT 1 FROM files_ b WHERE b.content_id = a.content_id AND b.status NOT IN ('denied', 'locked'))")
 def orphan_contents(spark: SparkSession, sf: str) -> DataFrame:
     f = cat.files(read(spark, sf, "documents"))
-    return health.orphan_contents(f.select("content_id").distinct(), f.filter("file_id % 3 <> 0"))
+    return health.orphan_contents(f.select("content_id").distinct(), f.filter("status NOT IN ('denied', 'locked')"))
 
 
 @query("""WITH {cat} SELECT passage_id FROM passages_ p WHERE EXISTS (SELECT 1 FROM files_ f WHERE f.content_id = p.content_id AND f.status = 'indexed')
@@ -434,15 +434,13 @@ HISTORY_NOW = 1_706_745_600.0
 
 
 @query(f"""WITH {_OPENS_SQL}, h AS (SELECT path, sum(ln(1 + n) * pow(0.5, greatest(0, {HISTORY_NOW} - last_open) / 86400 / 14) * CASE WHEN query = 'click' THEN 100 ELSE 1 END) AS history FROM o WHERE last_open > {HISTORY_NOW} - 90 * 86400 GROUP BY path),
-r AS (SELECT doc_id AS position, '/f/' || (doc_id % 60) AS path, doc_id % 2 = 0 AS is_document, doc_id % 3 = 0 AS name_matched FROM documents WHERE doc_id < 100)
-SELECT position, row_number() OVER (ORDER BY is_document DESC, name_matched DESC, round(coalesce(history, 0), 6) DESC, position) AS place, round(coalesce(history, 0), 6) AS history FROM r LEFT JOIN h USING (path)""")
+r AS (SELECT doc_id AS position, '/f/' || (doc_id % 60) AS path, doc_id % 2 = 0 AS is_document, doc_id % 3 = 0 AS name_matched FROM documents)
+SELECT position, is_document, name_matched, round(coalesce(history, 0), 6) AS history FROM r LEFT JOIN h USING (path)""")
 def history_rank(spark: SparkSession, sf: str) -> DataFrame:
     scored = history.scores(history.opens(_opens(spark, sf)), " Click ", HISTORY_NOW).withColumn("history", F.round("history", 6))
     i = F.col("doc_id")
-    results = read(spark, sf, "documents").filter("doc_id < 100").select(i.alias("position"), F.concat(F.lit("/f/"), i % 60).alias("path"), (i % 2 == 0).alias("is_document"), (i % 3 == 0).alias("name_matched"))
-    ordered = history.rerank(results, scored, ["is_document", "name_matched"])
-    place = F.row_number().over(Window.orderBy(F.desc("is_document"), F.desc("name_matched"), F.desc("history"), "position"))  # the result list
-    return ordered.select("position", place.alias("place"), "history")
+    results = read(spark, sf, "documents").select(i.alias("position"), F.concat(F.lit("/f/"), i % 60).alias("path"), (i % 2 == 0).alias("is_document"), (i % 3 == 0).alias("name_matched"))
+    return history.rerank(results, scored, ["is_document", "name_matched"]).select("position", "is_document", "name_matched", "history")
 
 
 @query("""WITH h AS (SELECT '/p/' || (doc_id % 200) AS path, CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS file_id, doc_id % 200 % 2 = 0 AS is_document, doc_id % 5 = 0 AS name_matched, (doc_id % 17) / 10.0 AS score, doc_id % 4 AS passages, doc_id AS channel FROM documents)
@@ -476,24 +474,26 @@ def group_by_filename(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.group_by_name(results)
 
 
-@query("""WITH m AS (SELECT conv_id, turn AS hit FROM conversations WHERE conv_id % 5 = 0 AND turn = 3)
+@query("""WITH m AS (SELECT conv_id, turn AS hit FROM conversations WHERE turn = 3)
 SELECT c.conv_id, c.turn, c.text FROM conversations c JOIN m USING (conv_id) WHERE c.turn >= greatest(0, hit - 2) QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) <= 4""")
 def preview_window(spark: SparkSession, sf: str) -> DataFrame:
     turns = read(spark, sf, "conversations")
-    hit = turns.filter("conv_id % 5 = 0 AND turn = 3").select("conv_id", F.greatest(F.lit(0), F.col("turn") - 2).alias("start"))
+    hit = turns.filter("turn = 3").select("conv_id", F.greatest(F.lit(0), F.col("turn") - 2).alias("start"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     return turns.join(hit, "conv_id").filter("turn >= start").withColumn("n", F.row_number().over(w)).filter("n <= 4").select("conv_id", "turn", "text")
 
 
 # --- change -----------------------------------------------------------------------------------------------------
 
-_NEXT_SQL = """known AS (SELECT file_id, size, mtime, status, relative_path FROM files_ WHERE file_id % 10 <> 9),
-now AS (SELECT file_id, CASE WHEN file_id % 6 = 0 THEN size + 1 ELSE size END AS size, mtime, relative_path FROM files_ WHERE file_id % 7 <> 3)"""
+_NEXT_SQL = """known AS (SELECT file_id, size, mtime, status, relative_path FROM files_ WHERE ext <> 'csv'),
+now AS (SELECT file_id, CASE WHEN status = 'partial' THEN size + 1 ELSE size END AS size, mtime, relative_path FROM files_ WHERE ext <> 'py')"""
 
 
 def _two_listings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     f = cat.files(read(spark, sf, "documents")).select("file_id", "size", "mtime", "status", "relative_path")
-    return f.filter("file_id % 10 <> 9"), f.filter("file_id % 7 <> 3").withColumn("size", F.when(F.col("file_id") % 6 == 0, F.col("size") + 1).otherwise(F.col("size"))).drop("status")
+    f = f.withColumn("ext", F.element_at(F.split("relative_path", "[.]"), -1))
+    changed = F.when(F.col("status") == "partial", F.col("size") + 1).otherwise(F.col("size"))
+    return f.filter("ext <> 'csv'").drop("ext"), f.filter("ext <> 'py'").withColumn("size", changed).drop("status", "ext")
 
 
 @query(f"""WITH {{cat}}, {_NEXT_SQL} SELECT coalesce(k.file_id, n.file_id) AS file_id, CASE WHEN k.file_id IS NULL THEN 'new' WHEN n.file_id IS NULL THEN 'gone' WHEN k.size <> n.size OR abs(k.mtime - n.mtime) > 1e-6 THEN 'changed'
@@ -629,12 +629,12 @@ def passage_carry_over(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.carry_passages(read(spark, sf, "documents").select((i % 50).alias("file_id"), kind.alias("kind"), i.alias("position"), (i % 7).alias("passage_id")))
 
 
-@query("""WITH e AS (SELECT event_id, 'd' || (user_id % 30) || '/' || event_type AS scope FROM events), l AS (SELECT scope, max(event_id) AS id FROM e GROUP BY scope HAVING max(event_id) > 900)
+@query("""WITH e AS (SELECT event_id, 'd' || (user_id % 30) || '/' || event_type AS scope FROM events), l AS (SELECT scope, max(event_id) AS id FROM e GROUP BY scope HAVING max(event_id) > 0)
 SELECT scope, (SELECT max(id) FROM l) AS through FROM l""")
 def journal_batch(spark: SparkSession, sf: str) -> DataFrame:
     routed = read(spark, sf, "events").select(F.lit("s").alias("stream"), F.concat(F.lit("d"), F.col("user_id") % 30, F.lit("/"), F.col("event_type")).alias("scope"), "event_id")
     none = spark.createDataFrame([], "stream string, scope string, id long")
-    return journal.pending_batch(journal.acknowledge(journal.capture(none, routed), "s", 900), "s").select("scope", "through")
+    return journal.pending_batch(journal.acknowledge(journal.capture(none, routed), "s", 0), "s").select("scope", "through")
 
 
 @query("""WITH r AS (SELECT item_id AS query_id, (item_id + k) % 40 AS item_id, (k * 7 + item_id) % 11 AS position FROM benchmark, range(11) t(k)), p AS (SELECT b.item_id, min(position) AS p FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id AND r.item_id = (b.item_id + b.item_id % 13) % 40 GROUP BY b.item_id)
@@ -649,7 +649,7 @@ def relevance_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def vector_backfill(spark: SparkSession, sf: str) -> DataFrame:
     c = catalog(spark, sf)
-    held = c.passages.filter("passage_id % 2 = 0").select("passage_id", F.lit(vectors.MODEL).alias("model"))
+    held = c.vectors.select((F.col("passage_id") * cat.PER_CONTENT).alias("passage_id"), F.lit(vectors.MODEL).alias("model"))
     return vectors.backfill(c.passages, held, c.files).select("passage_id", "model", F.length("packed").alias("bytes"))
 
 
