@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that see this folder import the package even if the driver found it by sys.path alone."""
+    home = str(Path(__file__).resolve().parents[1])
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, held] if held else [home])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
