@@ -24,21 +24,40 @@ class TimedOut(Exception):
 
 @dataclass
 class Engine:
-    """Searches over a catalog. Indexes are plans too: pass written ones to read instead of to build."""
+    """Searches over a catalog. Indexes are plans too: pass written ones to read instead of to build, see indexed()."""
 
     catalog: Catalog
     name_index: DataFrame | None = None
     passage_index: DataFrame | None = None
+    name_stats: DataFrame | None = None
+    passage_stats: DataFrame | None = None
 
     def __post_init__(self):
         c = self.catalog
-        self._name_stats = fulltext.index_stats(c.files, ["name", "relative_path"])
-        self._passage_stats = fulltext.index_stats(c.passages, ["text"])
+        if self.name_stats is None:
+            self.name_stats = fulltext.index_stats(c.files, ["name", "relative_path"])
+        if self.passage_stats is None:
+            self.passage_stats = fulltext.index_stats(c.passages, ["text"])
         if self.name_index is None:
             self.name_index = fulltext.postings(c.files, "file_id", ["name", "relative_path"])
         if self.passage_index is None:
             self.passage_index = fulltext.postings(c.passages, "passage_id", ["text"])
 
+    @classmethod
+    def indexed(cls, catalog: Catalog, snapshots) -> Engine:
+        """An engine whose tables and indexes are written once, sorted by term, and then read."""
+        c = catalog
+        own = cls(c)
+        tables = {"sources": c.sources, "files": c.files, "passages": c.passages, "vectors": c.vectors, "name_index": own.name_index, "passage_index": own.passage_index, "name_stats": own.name_stats, "passage_stats": own.passage_stats}
+        version = snapshots.publish(tables, sort={"name_index": ["term"], "passage_index": ["term"]})
+        return cls.opened(snapshots, version)
+
+    @classmethod
+    def opened(cls, snapshots, version: int | None = None) -> Engine:
+        version = version or snapshots.current()
+        t = {n: snapshots.table(n, version) for n in ("sources", "files", "passages", "vectors", "name_index", "passage_index", "name_stats", "passage_stats")}
+        return cls(Catalog(*[t.pop(n) for n in ("sources", "files", "passages", "vectors")]), **t)
+
     def _visible(self, request: SearchRequest) -> DataFrame:
         return self.catalog.files.join(self.catalog.sources, "source_id").filter(visible(request))
 
@@ -88,7 +107,7 @@ class Engine:
 
     def _name_hits(self, found: DataFrame, request: SearchRequest, phrases) -> DataFrame:
         fields = None if is_path_query(request.query) else ["name"]
-        scored = fulltext.bm25(self.name_index, self._name_stats, "file_id", phrases, fields)
+        scored = fulltext.bm25(self.name_index, self.name_stats, "file_id", phrases, fields)
         order = [F.round("relevance", 9), F.col("file_id")]
         top = names.ranked(scored.join(found.select("file_id"), "file_id").orderBy(*order).limit(fusion.NAME_LIMIT), order)
         return top.select("file_id", F.lit(fusion.KINDS[0]).alias("kind"), fusion.contribution(F.col("position"), fusion.NAME).alias("score"), "position", F.lit(None).cast("long").alias("passage_id"))
@@ -99,7 +118,7 @@ class Engine:
 
     def _text_hits(self, found: DataFrame, phrases) -> DataFrame:
         allowed = found.filter(content_allowed())
-        scored = fulltext.bm25(self.passage_index, self._passage_stats, "passage_id", phrases)
+        scored = fulltext.bm25(self.passage_index, self.passage_stats, "passage_id", phrases)
         eligible = self.catalog.passages.join(allowed.select("content_id"), "content_id", "left_semi")
         best = fulltext.representatives(scored.withColumn("relevance", F.round("relevance", 9)), eligible)
         order = [F.col("relevance"), F.col("file_id")]

@@ -15,10 +15,12 @@ def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     Written sorted by term this is the index: a query reads the terms it asks for and nothing else.
     """
-    length = sum((F.size(words(F.col(c))) for c in columns), F.lit(0))
-    fields = [F.struct(F.lit(c).alias("field"), words(F.col(c)).alias("toks")) for c in columns]
-    each = rows.select(F.col(key), length.alias("dl"), F.inline(F.array(*fields)))
-    placed = each.select(key, "dl", "field", F.posexplode("toks").alias("at", "term"))
+    tokens = rows.select(key, *[words(F.col(c)).alias(f"_{c}") for c in columns])
+    length = sum((F.size(f"_{c}") for c in columns), F.lit(0))
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_{c}").alias("toks")) for c in columns])
+    each = tokens.select(key, length.alias("dl"), F.inline_outer(fields))
+    # Outer: for an inner explode Catalyst adds a filter on the array's size that tokenises once more.
+    placed = each.select(key, "dl", "field", F.posexplode_outer("toks").alias("at", "term")).filter(F.col("term").isNotNull())
     return placed.groupBy("term", key, "field", "dl").agg(F.sort_array(F.collect_list("at")).alias("places"))
 
 

@@ -92,3 +92,17 @@ def test_journal_prepare(spark):
         cursor, known, todo = journal.prepare(streams, pending, "s", identity, current)
         assert cursor == current and [r["scope"] for r in todo.collect()] == [""] and known.first()["identity"] == identity
     assert all(t.count() == 0 for t in journal.forget(streams, pending, "s"))
+
+
+def test_indexed_engine_gives_the_same_results(spark, tmp_path):
+    from lodestack.engine import Engine
+    from lodestack.operators.filters import SearchRequest
+    from lodestack.plans.catalog import catalog
+
+    c = catalog(spark, "/root/testdata/sf0.001")
+    request = SearchRequest("report thing", limit=20)
+    want = [r.asDict() for r in Engine(c).search(request).collect()]
+    held = Engine.indexed(c, Snapshots(spark, str(tmp_path)))
+    assert [r.asDict() for r in held.search(request).collect()] == want
+    plan = held.passage_index.filter("term = 'report'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,report)]" in plan
