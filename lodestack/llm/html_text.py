@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestack.llm.html_labels import labelled_pages
-from lodestack.llm.tables import extended
+from lodestack.llm.tables import extended, pieces
 
 # Fixed values of HTML: elements by role.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
@@ -237,9 +237,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 200):
-                part = batch.slice(at, 200)
-                texts = [main_text(p or "") for p in part.column(len(own)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*own, "text", "n_chars"])
+            for rows, raw in pieces(batch, "_html"):
+                texts = [main_text(p.decode()) for p in raw]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*own, "text", "n_chars"])
 
     return pages.mapInArrow(run, schema)
