@@ -101,7 +101,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     # Along the alignment, token p of the item stands opposite token p + shift of the document.
     first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("i"), F.size("d") - F.col("shift")) - 1
     opposite = F.transform(F.sequence(first, last), lambda p: F.struct(F.element_at("i", p + 1).alias("item"), F.element_at("d", p + F.col("shift") + 1).alias("doc")))
-    faced = materialize(sides.select("_doc", "_item", "coverage", opposite.alias("faced")), "overlap-faced")
+    # Another text of a repeated key may not reach the alignment at all.
+    faced = materialize(sides.filter(last >= first).select("_doc", "_item", "coverage", opposite.alias("faced")), "overlap-faced")
     slots = F.array_distinct(F.filter("faced", lambda x: _is_slot(x["item"]) & (F.substring(x["item"], 1, 1) == F.substring(x["doc"], 1, 1))))
     equal = F.size(F.filter("faced", lambda x: x["item"] == x["doc"])) / F.size("faced")
     judged = faced.select("_doc", "_item", "coverage", slots.alias("pairs"), equal.alias("literal"))

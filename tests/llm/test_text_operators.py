@@ -248,7 +248,7 @@ def test_decontamination(spark):
     filler = "some quite different words stand around it in every one of these texts "
     other = QUESTION.replace("Peter Miller", "Anna Jones").replace("Peter", "Anna").replace("12", "7").replace("30", "45").replace("5 kg", "9 kg")
     mixed = QUESTION.replace("Peter keeps", "Karl keeps").replace("does Peter", "does Otto")
-    docs = [(1, filler + QUESTION + " " + filler, "s"), (2, filler + other, "s"), (3, filler * 4, "s"), (4, None, "s"), (5, "", "s"), (1, filler + QUESTION, "s"), (6, QUESTION.upper(), "s"), (7, filler + mixed.replace("12", "3"), "s"), (None, QUESTION, "s")]
+    docs = [(1, filler + QUESTION + " " + filler, "s"), (2, filler + other, "s"), (3, filler * 4, "s"), (4, None, "s"), (5, "", "s"), (1, filler + QUESTION, "s"), (1, "short", "s"), (6, QUESTION.upper(), "s"), (7, filler + mixed.replace("12", "3"), "s"), (None, QUESTION, "s")]
     items = spark.createDataFrame([(1, QUESTION, "x"), (2, None, "x"), (3, "", "x"), (None, QUESTION, "x"), (4, "wholly unrelated question about the weather in spring and autumn here", "x")], "item_id long, text string, coverage string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(frame(spark, docs), items).collect()}
     assert set(got) >= {(1, 1), (2, 1)} and {k[0] for k in got} <= {1, 2, 6}
