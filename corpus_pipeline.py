@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import bpe_codec, decontaminate, line_dedup, quality_rules, simhash
 from lodestack.llm.tables import table
-from lodestack.runtime import materialize
+from lodestack.runtime import importable, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
+    importable(spark)
     return quality_rules.apply_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
@@ -25,6 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document of smallest doc_id stays, once."""
+    importable(spark)
     found = simhash.near_duplicates(docs)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -32,12 +34,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+    # Written first, so that the join is planned by the real number of leaks and texts stay where they are.
+    leaks = materialize(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, the token ids and their number."""
+    importable(spark)
     coded = bpe_codec.encode(docs.select(*COLUMNS))
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.llm.tables import extended, pieces
+from lodestack.runtime import materialize
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -124,7 +125,9 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source") -> Da
     texts fail (no words); repeated rows count each; an empty table gives an empty table.
     """
     measured = measure(docs, text)
-    verdicts = host_verdicts(measured.select(host, *[f"fail_{k}" for k in RULES]), host).select(F.col("host").alias("_host"), F.col("host_ok").alias("_host_ok"))
+    judged = host_verdicts(measured.select(host, *[f"fail_{k}" for k in RULES]), host)
+    # Written first, so that the join is planned by the table's real size and texts aren't shuffled for a small one.
+    verdicts = materialize(judged.select(F.col("host").alias("_host"), F.col("host_ok").alias("_host_ok")), "host-verdicts")
     joined = measured.join(verdicts, measured[host].eqNullSafe(verdicts["_host"]), "inner")
     own = [c for c in measured.columns if c not in ("base_failed", "kept")]
     return joined.select(*[measured[c] for c in own], F.col("fail_base").alias("base_failed"), (~F.col("fail_base") & F.col("_host_ok")).alias("kept"))
