@@ -25,11 +25,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of smallest doc_id stays, once."""
+    """Of each group the document of smallest doc_id stays, once. Rows without doc_id can't be told apart and stay."""
     importable(spark)
-    found = simhash.near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
+    kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS).union(docs.select(*COLUMNS).filter("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

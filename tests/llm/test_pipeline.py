@@ -52,3 +52,11 @@ def test_repeated_rows(spark):
     twice = docs.union(docs)
     once = corpus_pipeline.near_dedup(spark, docs, SF).count()
     assert corpus_pipeline.near_dedup(spark, twice, SF).count() == once
+
+
+def test_null_columns(spark):
+    rows = [(None, "some words of a text without a key, long enough to stay in here", None, None, None), (1, None, "en", None, None), (2, "", None, "s", 0), (3, "another text of more than ten words that should stay where it is", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 3]
