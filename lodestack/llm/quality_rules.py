@@ -117,14 +117,19 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
     return out.select("host", "documents", *[f"failed_{k}" for k in RULES], *rates, ok.alias("host_ok"))
 
 
-def apply_rules(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", carry_text: bool = True) -> DataFrame:
     """measure() with base_failed and kept added: kept is false if base_failed, else the host's verdict.
 
+    Without carry_text the result lacks the text, and texts are read and measured once, the measures being
+    written for both uses; with it they are measured twice, which costs less than writing all texts.
+
     The verdict table has a row per host. It comes back by a join on the host that Spark broadcasts only
     below its own measured threshold; beyond it a hot host is split by adaptive skew handling. Null and empty
     texts fail (no words); repeated rows count each; an empty table gives an empty table.
     """
     measured = measure(docs, text)
+    if not carry_text:
+        measured = materialize(measured.drop(text), "measures")
     judged = host_verdicts(measured.select(host, *[f"fail_{k}" for k in RULES]), host)
     # Written first, so that the join is planned by the table's real size and texts aren't shuffled for a small one.
     verdicts = materialize(judged.select(F.col("host").alias("_host"), F.col("host_ok").alias("_host_ok")), "host-verdicts")
