@@ -15,6 +15,10 @@ from lodestack.llm.tables import extended, pieces
 from lodestack.llm.word_bpe import TOKENIZER, Vocabulary, WordTable, vocabulary
 
 
+#: Compatibility answers that a Python worker remembers; then it starts anew. Bounds memory, changes no result.
+REMEMBERED_PAIRS = 250_000
+
+
 class PrefixEncoder:
     """Exact BPE ids from one left-to-right pass.
 
@@ -76,7 +80,7 @@ class PrefixEncoder:
                 key = left << 20 | token
                 fit = fits.get(key)
                 if fit is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > REMEMBERED_PAIRS:
                         fits.clear()
                     fit = fits[key] = self.compatible(left, token)
                 if not fit:

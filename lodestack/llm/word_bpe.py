@@ -16,7 +16,7 @@ import regex
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct chunks that a Python worker remembers; then it starts anew. Bounds memory, changes no result.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 #: Fixed value of the vocabulary: its pre-token pattern.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
