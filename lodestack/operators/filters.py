@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.batch import negative_id
 from lodestack.functions.text import excluded, unquoted
 
 # What counts as a document, and folders that hold dependencies or belong to the system.
@@ -164,4 +165,4 @@ def metadata_hits(paths: DataFrame, sources: DataFrame, request: SearchRequest,
     if ".node" not in query:
         keep = keep & ((F.col("ext") != "node") | exact)
     keep = keep & ~F.exists(F.split("relative_path", "/"), lambda x: x.endswith(".app") | x.endswith(".framework"))
-    return rows.filter(keep).select("path", "name", "ext", "mtime", "source_id", "source_name")
+    return rows.filter(keep).select(negative_id("path").alias("file_id"), "path", "name", "ext", "mtime", "source_id", "source_name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.batch import composed
+
 # Each channel's weight and the limits of its list.
 NAME, LITERAL_BASE, LITERAL, TEXT, MEANING, OFFSET = 3.0, 0.08, 1.0, 1.8, 1.3, 60
 NAME_LIMIT, TEXT_LIMIT = 180, 360
@@ -62,7 +64,7 @@ def group_by_name(results: DataFrame, limit: int | None = None) -> DataFrame:
     A path counts once, at its first position.
     """
     once = results.groupBy("path").agg(F.min_by(F.struct("position", "name"), "position").alias("r")).select("path", "r.*")
-    groups = once.groupBy(F.lower("name").alias("group_key")).agg(F.min("position").alias("first_position"), F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]).alias("paths"))
+    groups = once.groupBy(F.lower(composed("name")).alias("group_key")).agg(F.min("position").alias("first_position"), F.transform(F.array_sort(F.collect_list(F.struct("position", "path"))), lambda x: x["path"]).alias("paths"))
     out = groups.orderBy("first_position", "group_key")
     return out.limit(limit) if limit else out
 

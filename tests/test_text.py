@@ -63,3 +63,10 @@ def test_index_refresh(spark):
 
 def test_highlight(spark):
     assert one(spark, fulltext.highlight(F.lit("The cat THE end of it"), "the of")) == "[The] cat [THE] end of it"
+
+
+def test_batch_functions(spark):
+    from lodestack.functions.batch import composed, fnv1a, negative_id
+
+    assert fnv1a("") == 14695981039346656037 and fnv1a("a") == 0xAF63DC4C8601EC8C
+    assert one(spark, composed(F.lit("e\u0301"))) == "é" and one(spark, negative_id(F.lit("/a"))) < 0
