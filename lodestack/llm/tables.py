@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that a Python worker handles at once; a longer text makes a piece of its own.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

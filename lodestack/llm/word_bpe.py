@@ -149,18 +149,20 @@ class WordTable:
 
     def _reset(self) -> None:
         self.rows = _Rows()
-        self.start, self.length, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1024, np.int32), 0
+        self.start, self.length, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
+        self.held = self.used = 0
 
     def _grow(self) -> None:
         new, self.rows.new = self.rows.new, []
         ids, lengths = self.encode(new)
-        total = len(ids)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        self.flat[self.used : self.used + total] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.used += total
+        self.start = _room(self.start, self.held + len(new))
+        self.length = _room(self.length, self.held + len(new))
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.start[self.held : self.held + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.held : self.held + len(new)] = lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.held += len(new)
+        self.used += len(ids)
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its number of chunks, and the table rows of all chunks in order."""
@@ -186,9 +188,18 @@ class WordTable:
         return ragged_take(self.flat, self.start, self.length, rows), ragged_sums(lengths, counts)
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """values with place for size entries, twice as long each time."""
+    if size <= len(values):
+        return values
+    out = np.zeros(max(size, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 def ragged_take(flat: np.ndarray, start: np.ndarray, length: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The wanted rows of a ragged table one after another."""
-    lengths = length[rows]
+    lengths = length[rows].astype(np.int64)
     at = np.repeat(start[rows] - (np.cumsum(lengths) - lengths), lengths)
     at += np.arange(len(at))
     return flat[at]
@@ -196,6 +207,6 @@ def ragged_take(flat: np.ndarray, start: np.ndarray, length: np.ndarray, rows: n
 
 def ragged_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of values, counts long each."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
