@@ -54,7 +54,7 @@ def _fold(keys: pa.Array) -> np.ndarray:
 
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per block: block, docs (keys), fold and length of each document, words (hashes of the block's
-    distinct tokens, ascending) and at (each token as a number of that list; a document's last is the end)."""
+    distinct tokens, ascending), size (their number) and at (each token as a number of that list; a document's last is the end)."""
     docs = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
 
     def run(batches):
@@ -65,7 +65,7 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
             words, at = np.unique(flat, return_inverse=True)
             return pa.RecordBatch.from_pydict({
                 "docs": pa.array([[None if k is None else k for k in keys]], pa.list_(pa.int64())), "fold": [np.concatenate(folds).tobytes()], "length": [_pack(np.array(lengths, np.int64))],
-                "words": [_pack(np.diff(words, prepend=np.uint64(0)))], "at": [_pack(at.astype(np.uint32))],
+                "size": pa.array([len(words)], pa.int64()), "words": [_pack(np.diff(words, prepend=np.uint64(0)))], "at": [_pack(at.astype(np.uint32))],
             })
 
         digest = xxhash.xxh64_intdigest
@@ -85,28 +85,31 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         if keys:
             yield emit()
 
-    found = docs.mapInArrow(run, "docs array<long>, fold binary, length binary, words binary, at binary")
+    found = docs.mapInArrow(run, "docs array<long>, fold binary, length binary, size long, words binary, at binary")
     return found.withColumn("block", F.monotonically_increasing_id())
 
 
 class Block:
-    """The arrays of a row of blocks(), with its bigrams: pair numbers per token and their hashes."""
+    """The arrays of a row of blocks(), with its bigrams: pair numbers per token and, where words are given, hashes."""
 
     def __init__(self, row):
         self.fold = np.frombuffer(row["fold"], np.uint8)
         self.length = _unpack(row["length"], np.int64)
-        self.words = np.cumsum(_unpack(row["words"], np.uint64), dtype=np.uint64)
+        size = int(row["size"])
         self.at = _unpack(row["at"], np.uint32).astype(np.int64)
         self.ends = np.cumsum(self.length)
         self.token_fold = np.repeat(self.fold, self.length)
         before = np.empty_like(self.at)
         before[1:] = self.at[:-1]
         self.first = self.ends - self.length
-        before[self.first] = len(self.words)  # the start context
+        before[self.first] = size  # the start context
         self.before = before
-        pair, self.pair_at = np.unique(before * len(self.words) + self.at, return_inverse=True)
-        left = np.append(self.words, np.uint64(START))[pair // len(self.words)]
-        right = self.words[pair % len(self.words)]
+        pair, self.pair_at = np.unique(before * size + self.at, return_inverse=True)
+        if "words" not in row:
+            return
+        self.words = np.cumsum(_unpack(row["words"], np.uint64), dtype=np.uint64)
+        left = np.append(self.words, np.uint64(START))[pair // size]
+        right = self.words[pair % size]
         h = (left * _MIX) ^ ((right ^ (right >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (left >> np.uint64(31)))
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
         self.pairs = h ^ (h >> np.uint64(31))
@@ -160,7 +163,7 @@ def totals(found: DataFrame, ranges: int) -> DataFrame:
 
 
 def resolved(found: DataFrame, total: DataFrame, ranges: int) -> DataFrame:
-    """found's columns with the total counts of the block's words and pairs: word_train, word_tuning, pair_..."""
+    """found's columns but words, with the total counts of the block's words and pairs: word_train, word_tuning, pair_..."""
     back = total.groupBy("block").agg(F.collect_list(F.struct("kind", "range", "train", "tuning")).alias("back"))
     met = found.join(back, "block")  # one row per block on either side
     own = found.columns
@@ -170,6 +173,7 @@ def resolved(found: DataFrame, total: DataFrame, ranges: int) -> DataFrame:
             for row in frame.to_dict("records"):
                 b = Block(row)
                 parts = {(x["kind"], x["range"]): x for x in row.pop("back")}
+                del row["words"]
                 for kind, hashes in (("word", b.words), ("pair", b.pairs)):
                     for c in ("train", "tuning"):
                         row[f"{kind}_{c}"] = np.zeros(len(hashes), np.int64)
@@ -179,7 +183,7 @@ def resolved(found: DataFrame, total: DataFrame, ranges: int) -> DataFrame:
                 yield pd.DataFrame([{k: _pack(v) if k.startswith(("word_", "pair_")) else v for k, v in row.items()}])
 
     added = ", ".join(f"{kind}_{c} binary" for kind in ("word", "pair") for c in ("train", "tuning"))
-    return met.select(*own, "back").mapInPandas(place, f"docs array<long>, fold binary, length binary, words binary, at binary, block long, {added}")
+    return met.select(*own, "back").mapInPandas(place, f"docs array<long>, fold binary, length binary, size long, at binary, block long, {added}")
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -248,7 +252,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     a key share it; rows of null key train. Repeated rows count each. An empty table gives an empty table.
     """
     found = materialize(blocks(docs, key, text), "lm-blocks")
-    names = ["docs", "fold", "length", "words", "at", "block"]
+    names = ["docs", "fold", "length", "size", "words", "at", "block"]
     found = found.select(*names)
     n_blocks = found.count()
     schema = f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
