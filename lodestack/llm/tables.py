@@ -8,12 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lodestack.runtime import plan_bytes
+
 #: UTF-8 bytes of text that a Python worker handles at once; a longer text makes a piece of its own.
 PIECE_BYTES = 1_000_000
 
 
+#: A table read in fewer tasks than the cluster has cores is dealt out anew into parts of at least this size.
+LEAST_PART = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = min(spark.sparkContext.defaultParallelism, plan_bytes(df) // LEAST_PART)
+    if parts >= 4 and df._jdf.queryExecution().toRdd().getNumPartitions() < parts:  # one large file of one row group, say
+        return df.repartition(parts)
+    return df
 
 
 def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
