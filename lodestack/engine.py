@@ -182,7 +182,12 @@ def within(spark: SparkSession, df: DataFrame, seconds: float):
     spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
-        return df.collect()
+        rows = df.collect()
+        if late.is_set():
+            raise TimedOut(f"more than {seconds} s")
+        return rows
+    except TimedOut:
+        raise
     except Exception as e:
         if late.is_set():
             raise TimedOut(f"more than {seconds} s") from e
