@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe_codec, decontaminate, line_dedup, quality_rules, simhash
+from lodestack.llm import bpe_codec, decontaminate, line_dedup, near_copies, quality_rules
 from lodestack.llm.tables import table
 from lodestack.runtime import importable, materialize
 
@@ -25,9 +25,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of smallest doc_id stays, once. Rows without doc_id can't be told apart and stay."""
+    """Of each group (5-word shingles of Jaccard similarity 0.8, or operator 10's links) the document of smallest
+    doc_id stays, once. Rows without doc_id can't be told apart and stay."""
     importable(spark)
-    keep = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id")
+    keep = near_copies.near_copies(docs).filter("doc_id = component_id").select("doc_id")
     kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*COLUMNS).union(docs.select(*COLUMNS).filter("doc_id IS NULL"))
 
