@@ -7,6 +7,9 @@ tokens or more of a longer item; the candidate's slots are then compared along i
 the item must stand for one value of the document and the other way round. Copies with other numbers or names
 keep that rule, chance meetings of common phrases don't. Where slots disagree, a match still counts if the two
 passages agree word by word to LITERAL.
+
+Names are known by capitals, so copies in other letter case are found by a second key that takes names as plain
+words.
 """
 
 from __future__ import annotations
@@ -47,39 +50,73 @@ def _template(token: Column) -> Column:
     return F.when(_is_slot(token), F.substring(token, 1, 1)).otherwise(token)
 
 
-def windows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, at, h): the 64-bit hash of each window of template tokens and its first token's place from 0.
+def _folded(token: Column) -> Column:
+    """A name without its mark: the same in every letter case."""
+    return F.when(token < F.lit("\x02"), F.substring(token, 2, 1 << 30)).otherwise(token)
+
+
+def _slices(hashed: Column | str, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashed) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(hashed, i, width)))
+
+
+def windows(rows: DataFrame, key: str, text: str, literal: bool = False, width: int = WINDOW) -> DataFrame:
+    """(key, at, hs): the 64-bit hashes of each window of tokens and its first token's place from 0.
 
-    A text of fewer tokens than WINDOW is one window; one without tokens has none.
+    hs has the window's template and the same with names as plain words; with literal its tokens with all values.
+    A text of fewer tokens than width is one window; one without tokens has none.
     """
-    hashed = F.transform(tokens(F.col(text)), lambda x: F.xxhash64(_template(x)))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("hashed") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("hashed", i, WINDOW)))
-    some = F.when(F.size("hashed") > 0, each)
+    hashed = rows.select(F.col(key).alias("key"), tokens(F.col(text)).alias("toks")).select(
+        "key",
+        F.transform("toks", lambda x: F.xxhash64(_template(x))).alias("named"),
+        F.transform("toks", lambda x: F.xxhash64(_template(_folded(x)))).alias("plain"),
+        *([F.transform("toks", lambda x: F.xxhash64(_folded(x))).alias("exact")] if literal else []),
+    )
+    some = F.when(F.size("named") > 0, F.arrays_zip(*[_slices(c, width).alias(c) for c in hashed.columns[1:]]))
     # An outer explode: for an inner one Catalyst adds a filter on the array's size that computes it all again.
-    return rows.select(F.col(key).alias("key"), hashed.alias("hashed")).select("key", F.posexplode_outer(some).alias("at", "h")).filter(F.col("h").isNotNull())
+    each = hashed.select("key", F.posexplode_outer(some).alias("at", "w")).filter(F.col("w").isNotNull())
+    return each.select("key", "at", "w.*")
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, at, h, n): the benchmark's windows with enough words, n being the item's number of them."""
+    """(item, kind, at, h, n): the benchmark's windows, n being the item's number of them in this kind.
+
+    Kind 0: templates with enough words. Kind 1, for items of WINDOW tokens or more: every window of enough
+    words with names as plain words.
+    """
     toks = items.select(F.col(key).alias("key"), tokens(F.col(text)).alias("toks"))
-    wordy = toks.select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - (WINDOW - 1), F.lit(1))), lambda i: F.size(F.filter(F.slice("toks", i, WINDOW), lambda x: ~_is_slot(x))))).alias("at", "words"))
-    used = windows(items, key, text).join(wordy.filter(F.col("words") >= WORDS), ["key", "at"]).select(F.col("key").alias("item"), "at", "h").distinct()
-    return used.join(used.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item")
+
+    def words(i: Column, names: bool) -> Column:
+        return F.size(F.filter(F.slice("toks", i, WINDOW), lambda x: ~_is_slot(_folded(x) if names else x)))
+
+    counts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("toks") - (WINDOW - 1), F.lit(1))), lambda i: F.struct(words(i, False).alias("words"), words(i, True).alias("plain_words")))
+    wordy = toks.select("key", F.size("toks").alias("size"), F.posexplode(counts).alias("at", "c")).select("key", "size", "at", "c.*")
+    all_ = windows(items, key, text, True).join(wordy, ["key", "at"])
+    item = F.col("key").alias("item")
+    used = all_.filter(F.col("words") >= WORDS).select(item, F.lit(0).alias("kind"), "at", F.col("named").alias("h"))
+    long = all_.filter((F.col("size") >= WINDOW) & (F.col("plain_words") >= WORDS))
+    used = used.union(long.select(item, F.lit(1), "at", "plain"))
+    used = used.distinct()
+    return used.join(used.groupBy("item", "kind").agg(F.count(F.lit(1)).alias("n")), ["item", "kind"])
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """Candidates (doc, item, coverage, shift): documents that cover an item's windows, and the shift from item
-    to document places that most of the shared windows have."""
-    wanted = materialize(item_windows(items, item_key, text), "item-windows").select("item", F.col("at").alias("item_at"), "h", "n")
-    met = windows(docs, key, text).join(wanted, "h")
+    """Candidates (doc, item, coverage, shift): documents that cover an item's windows of one kind, and the shift
+    from item to document places that most of the shared windows have."""
+    wanted = materialize(item_windows(items, item_key, text), "item-windows").select("item", "kind", F.col("at").alias("item_at"), "h", "n")
+    # A window without names has one template.
+    literal = False
+    hs = F.array_distinct(F.array("named", "plain", *(["exact"] if literal else [])))
+    met = windows(docs, key, text, literal).select("key", "at", F.explode(hs).alias("h")).join(wanted, "h")
     # One row per (document, item, shift) first; then per pair. Partial sums come before either shuffle.
-    by_shift = met.groupBy(F.col("key").alias("doc"), "item", "n", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
-    pairs = by_shift.groupBy("doc", "item", "n").agg(
+    by_shift = met.groupBy(F.col("key").alias("doc"), "item", "kind", "n", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
+    pairs = by_shift.groupBy("doc", "item", "kind", "n").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
         F.max(F.struct(F.size("places").alias("most"), (-F.col("shift")).alias("back"))).alias("best"),
     )
     wide = (F.col("covered") >= COVERAGE * F.col("n")) | (F.col("best.most") >= RUN - WINDOW + 1)
-    return pairs.filter(wide).select("doc", "item", (F.col("covered") / F.col("n")).alias("coverage"), (-F.col("best.back")).alias("shift"))
+    # Every kind that found the pair names its alignment.
+    found = pairs.filter(wide).select("doc", "item", (F.col("covered") / F.col("n")).alias("coverage"), (-F.col("best.back")).alias("shift"))
+    return found.groupBy("doc", "item", "shift").agg(F.max("coverage").alias("coverage")).select("doc", "item", "coverage", "shift")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
@@ -104,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     # Another text of a repeated key may not reach the alignment at all.
     faced = materialize(sides.filter(last >= first).select("_doc", "_item", "coverage", opposite.alias("faced")), "overlap-faced")
     slots = F.array_distinct(F.filter("faced", lambda x: _is_slot(x["item"]) & (F.substring(x["item"], 1, 1) == F.substring(x["doc"], 1, 1))))
-    equal = F.size(F.filter("faced", lambda x: x["item"] == x["doc"])) / F.size("faced")
+    equal = F.size(F.filter("faced", lambda x: _folded(x["item"]) == _folded(x["doc"]))) / F.size("faced")
     judged = faced.select("_doc", "_item", "coverage", slots.alias("pairs"), equal.alias("literal"))
     agree = (F.size(F.array_distinct("pairs.item")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.doc")) == F.size("pairs"))
     judged = judged.select("_doc", "_item", "coverage", F.size("pairs").alias("slots"), agree.alias("slots_agree"), "literal")
