@@ -9,7 +9,7 @@ keep that rule, chance meetings of common phrases don't. Where slots disagree, a
 passages agree word by word to LITERAL.
 
 Names are known by capitals, so copies in other letter case are found by a second key that takes names as plain
-words.
+words. Windows of few words (lists of numbers) are hashed with all their values.
 """
 
 from __future__ import annotations
@@ -80,8 +80,8 @@ def windows(rows: DataFrame, key: str, text: str, literal: bool = False, width:
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item, kind, at, h, n): the benchmark's windows, n being the item's number of them in this kind.
 
-    Kind 0: templates with enough words. Kind 1, for items of WINDOW tokens or more: every window of enough
-    words with names as plain words.
+    Kind 0: templates with enough words. Kind 1, for items of WINDOW tokens or more: every window with names as
+    plain words, or with all its values where it has too few words even so.
     """
     toks = items.select(F.col(key).alias("key"), tokens(F.col(text)).alias("toks"))
 
@@ -93,18 +93,25 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     all_ = windows(items, key, text, True).join(wordy, ["key", "at"])
     item = F.col("key").alias("item")
     used = all_.filter(F.col("words") >= WORDS).select(item, F.lit(0).alias("kind"), "at", F.col("named").alias("h"))
-    long = all_.filter((F.col("size") >= WINDOW) & (F.col("plain_words") >= WORDS))
-    used = used.union(long.select(item, F.lit(1), "at", "plain"))
+    long = all_.filter(F.col("size") >= WINDOW)
+    used = used.union(long.select(item, F.lit(1), "at", F.when(F.col("plain_words") >= WORDS, F.col("plain")).otherwise(F.col("exact"))))
     used = used.distinct()
     return used.join(used.groupBy("item", "kind").agg(F.count(F.lit(1)).alias("n")), ["item", "kind"])
 
 
+def poor_items(items: DataFrame, text: str) -> bool:
+    """Whether a window of an item has too few words even if names count as such."""
+    toks = items.select(tokens(F.col(text)).alias("toks"))
+    poor = F.exists(F.sequence(F.lit(1), F.greatest(F.size("toks") - (WINDOW - 1), F.lit(1))), lambda i: F.size(F.filter(F.slice("toks", i, WINDOW), lambda x: ~_is_slot(_folded(x)))) < WORDS)
+    return toks.filter(poor).limit(1).count() > 0
+
+
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """Candidates (doc, item, coverage, shift): documents that cover an item's windows of one kind, and the shift
     from item to document places that most of the shared windows have."""
     wanted = materialize(item_windows(items, item_key, text), "item-windows").select("item", "kind", F.col("at").alias("item_at"), "h", "n")
-    # A window without names has one template.
-    literal = False
+    # All values are hashed only if an item asks for them; a window without names has one template.
+    literal = poor_items(items, text)
     hs = F.array_distinct(F.array("named", "plain", *(["exact"] if literal else [])))
     met = windows(docs, key, text, literal).select("key", "at", F.explode(hs).alias("h")).join(wanted, "h")
     # One row per (document, item, shift) first; then per pair. Partial sums come before either shuffle.
