@@ -9,7 +9,9 @@ keep that rule, chance meetings of common phrases don't. Where slots disagree, a
 passages agree word by word to LITERAL.
 
 Names are known by capitals, so copies in other letter case are found by a second key that takes names as plain
-words. Windows of few words (lists of numbers) are hashed with all their values.
+words. Windows of few words (lists of numbers) are hashed with all their values. An item of fewer tokens than
+WINDOW is looked up whole, with its values, in document windows of its own length; a very short item ("Why?") thus
+stands in every document that has its words in sequence.
 """
 
 from __future__ import annotations
@@ -81,7 +83,8 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     """(item, kind, at, h, n): the benchmark's windows, n being the item's number of them in this kind.
 
     Kind 0: templates with enough words. Kind 1, for items of WINDOW tokens or more: every window with names as
-    plain words, or with all its values where it has too few words even so.
+    plain words, or with all its values where it has too few words even so. Kind 2, for shorter
+    items: the whole item with all its values; at is 0.
     """
     toks = items.select(F.col(key).alias("key"), tokens(F.col(text)).alias("toks"))
 
@@ -95,6 +98,9 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     used = all_.filter(F.col("words") >= WORDS).select(item, F.lit(0).alias("kind"), "at", F.col("named").alias("h"))
     long = all_.filter(F.col("size") >= WINDOW)
     used = used.union(long.select(item, F.lit(1), "at", F.when(F.col("plain_words") >= WORDS, F.col("plain")).otherwise(F.col("exact"))))
+    short = toks.filter((F.size("toks") > 0) & (F.size("toks") < WINDOW))
+    whole = F.xxhash64(F.transform("toks", lambda x: F.xxhash64(_folded(x))))
+    used = used.union(short.select(item, F.lit(2), F.lit(0), whole))
     used = used.distinct()
     return used.join(used.groupBy("item", "kind").agg(F.count(F.lit(1)).alias("n")), ["item", "kind"])
 
@@ -113,7 +119,13 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: s
     # All values are hashed only if an item asks for them; a window without names has one template.
     literal = poor_items(items, text)
     hs = F.array_distinct(F.array("named", "plain", *(["exact"] if literal else [])))
-    met = windows(docs, key, text, literal).select("key", "at", F.explode(hs).alias("h")).join(wanted, "h")
+    met = windows(docs, key, text, literal).select("key", "at", F.explode(hs).alias("h")).join(wanted.filter("kind < 2"), "h")
+    # One pass for each length of an item shorter than WINDOW, whatever other text stands around it.
+    sizes = items.select(F.size(tokens(F.col(text))).alias("size")).filter(F.col("size").between(1, WINDOW - 1)).distinct()
+    for (width,) in sizes.collect():  # WINDOW - 1 rows at most
+        own = items.filter(F.size(tokens(F.col(text))) == width).select(F.col(item_key).alias("item")).distinct()
+        whole = windows(docs, key, text, True, width).select("key", "at", F.col("exact").alias("h"))
+        met = met.unionByName(whole.join(wanted.filter("kind = 2").join(own, "item", "left_semi"), "h"))
     # One row per (document, item, shift) first; then per pair. Partial sums come before either shuffle.
     by_shift = met.groupBy(F.col("key").alias("doc"), "item", "kind", "n", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"))
     pairs = by_shift.groupBy("doc", "item", "kind", "n").agg(
