@@ -6,7 +6,7 @@ blocks. PAGES is the documented bound of the sample.
 
 from __future__ import annotations
 
-PAGES = 240
+PAGES = 400
 
 _WORDS = (
     "river stone market winter garden paper engine window letter forest silver harbor mountain teacher history village music bridge summer island "
@@ -52,7 +52,7 @@ def _footer(d: _Draw) -> str:
 
 
 def _side(d: _Draw) -> str:
-    inner = d.of([f"<h3>{d.text(1, 4)}</h3>" + "".join(f"<p>{x}</p>" for x in _links(d, 2, 5)), f"<h2>{d.text(1, 3)}</h2><p>{d.text(5, 40)}</p>", f"<p>{d.text(3, 25)}</p>"])
+    inner = d.of([f"<article><h3>{_links(d, 1, 1)[0]}</h3><p>{d.text(4, 20)}</p></article>" * 2, f"<h3>{d.text(1, 4)}</h3>" + "".join(f"<p>{x}</p>" for x in _links(d, 2, 5)), f"<h2>{d.text(1, 3)}</h2><p>{d.text(5, 40)}</p>", f"<p>{d.text(3, 25)}</p>"])
     return d.of(["<aside>{}</aside>", '<div class="sidebar">{}</div>', '<div id="right-rail">{}</div>', '<section class="related">{}</section>', '<div class="widget">{}</div>', '<div class="recommended">{}</div>']).format(inner)
 
 
@@ -73,6 +73,8 @@ def _form(d: _Draw) -> str:
 
 def _comments(d: _Draw) -> str:
     each = "".join(d.of([f'<div class="comment"><p>{d.text(3, 60)}</p></div>', f"<li><p>{d.text(2, 40)}</p></li>", f"<div><b>{d.text(1, 2)}</b><p>{d.text(4, 50)}</p></div>"]) for _ in range(1 + d.below(4)))
+    if d.below(3) == 0:
+        each = "".join(f'<article class="comment"><h4>{d.text(1, 2)}</h4><div class="comment-content"><p>{d.text(3, 60)}</p></div></article>' for _ in range(1 + d.below(4)))
     return d.of(['<section class="comments"><h3>{}</h3>{}</section>', '<div id="comments"><h2>{}</h2>{}</div>', '<ol class="commentlist"><li>{}</li>{}</ol>', '<div id="disqus_thread"><p>{}</p>{}</div>', '<section id="discussion"><h2>{}</h2>{}</section>']).format(d.text(1, 3), each)
 
 
@@ -117,6 +119,11 @@ def _article(d: _Draw) -> tuple[str, list[str]]:
             parts.append(f'<p>{a} <a href="/x">{b}</a></p>')
             main.append(f"{a} {b}")
         elif kind == 14:
+            if d.below(2):
+                a, b = d.text(3, 20)[:-1], d.text(3, 20)
+                parts.append(d.of(['<p>{} <svg/> {}</p>', '<p>{} <svg><title>x</title><path d=""/></svg> {}</p>', "<p>{} <b hidden>x</b> {}</p>"]).format(a, b))
+                main.append(f"{a} {b}")
+                continue
             cells = [d.text(1, 5) for _ in range(4)]
             parts.append("<table><tr>" + "</tr><tr>".join(f"<td>{cells[i]}</td><td>{cells[i + 1]}</td>" for i in (0, 2)) + "</tr></table>")
             main.extend(cells)
@@ -129,6 +136,11 @@ def _article(d: _Draw) -> tuple[str, list[str]]:
     return wrap.format("".join(parts)), main
 
 
+_BODIES = ("<body>", "<body>", '<body class="single has-sidebar comments-open">', '<body id="top" class="page no-menu cookie-consent">')
+#: What may stand around all of a page's regions.
+_LAYOUTS = ("{}", "{}", '<div id="page" class="site with-sidebar">{}</div>', '<div class="sidebar-right"><div class="inner">{}</div></div>', '<form id="aspnetForm">{}</form>', '<div class="wrap">' * 4 + "{}" + "</div>" * 4)
+
+
 def labelled_pages(n: int = PAGES) -> list[tuple[str, set[str]]]:
     """(page, texts of the article's blocks) for n pages."""
     out = []
@@ -138,5 +150,7 @@ def labelled_pages(n: int = PAGES) -> list[tuple[str, set[str]]]:
         top = "".join(d.of(x)(d) for x in ([_menu], [_header, _menu], [_advert, _notice], [_form, _header]) if d.below(2))
         end = "".join(d.of(x)(d) for x in ([_side, _advert], [_comments], [_form, _notice], [_menu, _side], [_footer]) if d.below(2))
         title = d.text(2, 6)
-        out.append((f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{top}<!-- x -->{article}<script>var a='<p>';</script>{end}{_footer(d) if d.below(4) else ""}</body></html>", set(main)))
+        body = d.of(_BODIES)
+        inner = d.of(_LAYOUTS).format(f"{top}<!-- x -->{article}<script>var a='<p>';</script>{end}")
+        out.append((f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head>{body}{inner}{_footer(d) if d.below(4) else ''}</body></html>", set(main)))
     return out

@@ -1,8 +1,9 @@
 """Operator 2: main text of web pages from a flat list of text blocks.
 
 A page is cut into blocks at block-level tags. Each block is described by its word count and link density, by
-those of its neighbours, and by flags of the elements and class names that enclose it. A decision tree, grown
-on the blocks of a small labelled table (``labelled_pages``), says which blocks belong to the article.
+those of its neighbours, and by flags of the regions that enclose it (elements and class names). Class names of
+html and body, and of elements that hold all signs of an article, describe a layout and aren't regions. A decision
+tree, grown on the blocks of a small labelled table (``labelled_pages``), says which blocks belong to the article.
 """
 
 from __future__ import annotations
@@ -21,40 +22,70 @@ from lodestack.llm.html_labels import labelled_pages
 from lodestack.llm.tables import extended, pieces
 
 # Fixed values of HTML: elements by role.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
+#: Their content isn't markup. Code is dropped to the end of the page if it isn't closed, the others hide nothing then.
+CODE = {"script", "style"}
+RAW = CODE | {"noscript", "template", "textarea", "iframe", "xmp", "noembed", "noframes", "title"}
+#: Shown as graphics or not at all; a block element inside ends them, as browsers do.
+UNSEEN = {"svg", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "label", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section",
-    "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
+    "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ITEMS = {"li", "dd", "dt"}
 #: Elements that end when their like begins.
 SIBLINGS = {"li", "dt", "dd", "option", "tr", "td", "th"}
-HIDDEN_HEAD = {"head", "title"}
+#: What may stand in the head; anything else ends it.
+IN_HEAD = {"html", "head", "title", "base", "link", "meta", "script", "style", "noscript", "template"}
+#: Their class names describe the page, not a region.
+WHOLE = {"html", "body"}
+#: Words after these name a part that the element has or lacks, not the element.
+HAVING = {"has", "with", "no", "without"}
 #: Enclosing elements and the words of class, id and role names that hint at each region.
 ZONES = {
-    "menu": ({"nav", "menu", "dir"}, "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toolbar skip sitemap"),
-    "edge": ({"footer"}, "footer copyright colophon legal masthead topbar banner contentinfo credits"),
-    "header": ({"header"}, "header"),
-    "side": ({"aside"}, "sidebar side aside rail complementary widget related recommended trending popular teaser promo more also"),
-    "notice": ({"dialog"}, "cookie cookies consent gdpr notice alert modal popup overlay newsletter subscribe subscription signup paywall privacy disclaimer toast"),
-    "advert": (set(), "ad ads advert adverts advertisement advertising sponsor sponsored adsense dfp promotion promoted outbrain taboola commercial"),
-    "form": ({"form", "button", "select", "option", "label", "fieldset", "legend"}, "form login search searchbox contact signin register"),
-    "comment": (set(), "comment comments discussion reply replies disqus respond thread feedback"),
-    "share": (set(), "share sharing social follow tags"),
-    "article": ({"article", "main"}, "article content post entry main story body text"),
+    "menu": ({"nav", "menu", "dir"}, ("nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "tabs", "toolbar", "skip", "sitemap")),
+    "edge": ({"footer"}, ("footer", "copyright", "colophon", "legal", "masthead", "topbar", "banner", "contentinfo", "credits")),
+    "header": ({"header"}, ("header",)),
+    "side": ({"aside"}, ("sidebar", "side", "aside", "rail", "complementary", "widget", "related", "recommended", "trending", "popular", "teaser", "promo", "more", "also")),
+    "notice": ({"dialog"}, ("cookie", "cookies", "consent", "gdpr", "notice", "alert", "modal", "popup", "overlay", "newsletter", "subscribe", "subscription", "signup", "paywall", "privacy", "disclaimer", "toast")),
+    "advert": (set(), ("ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "adsense", "dfp", "promotion", "promoted", "outbrain", "taboola", "commercial")),
+    "form": ({"form", "button", "select", "option", "label", "fieldset", "legend"}, ("form", "login", "search", "searchbox", "contact", "signin", "register")),
+    "comment": (set(), ("comment", "comments", "discussion", "reply", "replies", "disqus", "respond", "thread", "feedback")),
+    "share": (set(), ("share", "sharing", "social", "follow", "tags")),
+    "article": ({"article", "main"}, ("article", "content", "post", "entry", "main", "story", "body", "text")),
 }
-_ZONE_ELEMENTS = {z: e for z, (e, _) in ZONES.items()}
-_ZONE_WORDS = {w: z for z, (_, words) in ZONES.items() for w in words.split()}
+#: An article element's own class names are often the topics it is filed under; these zones alone are believed.
+OF_ARTICLE = {"article", "comment", "side", "advert"}
+#: An element with this share of a page's words and with all signs of an article is a layout, not a region.
+LAYOUT = 0.25
+_ZONE_ELEMENTS = {e: z for z, (elements, _) in ZONES.items() for e in elements}
+_ZONE_WORDS = {w: z for z, (_, words) in ZONES.items() for w in words}
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_list", "hidden", "other_zones", *ZONES)
 
-_TAG = regex.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]|["'](?=[^"']*>))*)(?:>|\Z)""", regex.S)
-_NAMED = regex.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", regex.I)
-_PARTS = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Comments, declarations and tags; an attribute's value may hold >. Each alternative of the loop takes what no other can.
+_TAG = regex.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*'|["']?[^\s>]*)|[^=>]+)*+)(?:>|\Z)""", regex.S)
+_NAMED = regex.compile(r"""(?<![\w-])(class|id|role|hidden|href|style|aria-hidden)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", regex.I)
+_CLOSED = regex.compile(r"""(?:^|[\s"'])/\s*$""")
+_INVISIBLE = regex.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", regex.I)
+_PARTS = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+|\s+")
 _SPACE = regex.compile(r"\s+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+class Region:
+    """An element that has zones. Its parent is the innermost such element around it."""
+
+    __slots__ = ("alone", "over", "own", "parent", "signs", "words", "zones")
+
+    def __init__(self, parent: Region | None, own: frozenset[str], alone: bool):
+        self.parent, self.own, self.alone = parent, own, alone
+        self.over = False
+        self.words = self.signs = 0
+        self.zones: frozenset[str] = frozenset()
+
+
 @dataclass
 class Block:
     text: str
@@ -63,98 +94,221 @@ class Block:
     heading: bool
     in_list: bool
     hidden: bool
-    zones: frozenset[str]
+    region: Region | None
+    zones: frozenset[str] = frozenset()
 
 
 @lru_cache(10_000)
-def _zone_of(word: str) -> str | None:
+def _zone(word: str) -> str | None:
     """A known word's zone; a compound like commentlist counts as the longest known word that begins it."""
+    word = word.lower()
     if word in _ZONE_WORDS:
         return _ZONE_WORDS[word]
     begun = [w for w in _ZONE_WORDS if len(w) >= 6 and word.startswith(w)]
     return _ZONE_WORDS[max(begun, key=len)] if begun else None
 
 
-def _zone(word: str) -> str | None:
-    return _zone_of(word.lower()) if len(word) < 40 else None
+def _named_zones(value: str) -> set[str]:
+    zones, skip = set(), False
+    for word in _PARTS.findall(value):
+        if word.isspace():
+            skip = False
+        elif word.lower() in HAVING:
+            skip = True
+        elif not skip and (z := _zone(word)):
+            zones.add(z)
+    return zones
 
 
-def _attributes(raw: str) -> tuple[set[str], bool]:
-    """Zones that an element's class, id and role name, and whether it is hidden."""
-    zones, hidden = set(), False
+def _attributes(raw: str) -> tuple[set[str], bool, bool]:
+    """Zones that an element's class, id and role name, whether it is hidden, and whether it has an address."""
+    zones, hidden, linked = set(), False, False
     for name, a, b, c in _NAMED.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            zones |= {z for z in map(_zone, _PARTS.findall(value)) if z}
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, regex.I):
+            zones |= _named_zones(value)
+        elif name == "href":
+            linked = True
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _INVISIBLE.search(value):
             hidden = True
-    return zones, hidden
+    return zones, hidden, linked
+
+
+class _Open:
+    """The open elements: their states are counted when pushed and popped, so that depth costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple | None] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.regions: list[Region] = []
+        self.hidden = self.links = self.headings = self.items = self.unseen = 0
+
+    def push(self, name: str, own: frozenset[str], hides: bool, linked: bool) -> None:
+        region = None
+        if own:
+            region = Region(self.regions[-1] if self.regions else None, own, name == "main")
+            self.regions.append(region)
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, region, hides, linked))
+        self._count(name, hides, linked, 1)
+
+    def _count(self, name: str, hides: bool, linked: bool, by: int) -> None:
+        self.hidden += by * hides
+        self.links += by * linked
+        self.headings += by * (name in HEADINGS)
+        self.items += by * (name in ITEMS)
+        self.unseen += by * (name in UNSEEN or name == "head")
+
+    def remove(self, i: int) -> None:
+        """Close element i alone; it is the innermost of its name."""
+        name, region, hides, linked = self.stack[i]
+        self.stack[i] = None
+        self.at[name].pop()
+        if name in BLOCK:
+            self.blocks.pop()
+        if region:
+            region.over = True
+            while self.regions and self.regions[-1].over:
+                self.regions.pop()
+        self._count(name, hides, linked, -1)
+        while self.stack and self.stack[-1] is None:
+            self.stack.pop()
+
+    def cut(self, depth: int) -> None:
+        """Close element depth and all inside it."""
+        while len(self.stack) > depth:
+            self.remove(len(self.stack) - 1)
+
+    def innermost(self, name: str) -> int | None:
+        found = self.at.get(name)
+        return found[-1] if found else None
+
+    def end(self, name: str) -> None:
+        """An end tag closes what is open inside it, but an inline one never closes a block."""
+        depth = self.innermost(name)
+        if depth is not None:
+            if name in BLOCK or not self.blocks or self.blocks[-1] < depth:
+                self.cut(depth)
+            else:
+                self.remove(depth)
+
+    def start(self, name: str) -> None:
+        """Close what the start of an element implies to be over."""
+        if name not in IN_HEAD and (head := self.innermost("head")) is not None:
+            self.cut(head)
+        if name == "a" and self.innermost("a") is not None:
+            self.end("a")
+        if name not in BLOCK:
+            return
+        inside = self.innermost("foreignobject")
+        for odd in UNSEEN:
+            if (depth := self.innermost(odd)) is not None and (inside is None or inside < depth):
+                self.cut(depth)
+        # A paragraph, and inline elements left open in it, end at the next block.
+        while self.blocks and (self.stack[self.blocks[-1]][0] == "p" or self.stack[self.blocks[-1]][0] == name and name in SIBLINGS):
+            self.cut(self.blocks[-1])
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order; scripts, styles, comments and the head yield none."""
+    """Text blocks of a page in order; scripts, styles, comments, the head and graphics yield none.
+
+    One pass over the tags; work is linear in the page however deep its elements lie. Text of formulas (math),
+    and the text that stands in for objects and canvases, belongs to the block around it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
-    zones: frozenset[str] = frozenset()
-    hidden, link, parts = False, 0, []
+    open_ = _Open()
+    regions: list[Region] = []
+    parts: list[tuple[str, bool, bool]] = []
+    endless: set[str] = set()
+    loose = 0  # headings outside all regions
 
     def close() -> None:
-        text = _SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
+        shown = [x for x in parts if not x[2]]
+        hidden = not any(p.strip() for p, _, _ in shown)
+        used = parts if hidden else shown  # hidden words of a block that is seen are left out
+        text = _SPACE.sub(" ", "".join(p for p, _, _ in used)).strip()
         if text:
-            n = len(text)
-            linked = sum(len(p.strip()) for p, in_link in parts if in_link)
-            names = [s[0] for s in stack]
-            out.append(Block(text, len(_WORD.findall(text)), min(1.0, linked / n), any(x in ("h1", "h2", "h3", "h4", "h5", "h6") for x in names), any(x in ("li", "dd", "dt") for x in names), hidden, zones))
+            linked = sum(len(p.strip()) for p, in_link, _ in used if in_link)
+            out.append(Block(text, len(_WORD.findall(text)), min(1.0, linked / len(text)), open_.headings > 0, open_.items > 0, hidden, open_.regions[-1] if open_.regions else None))
+            if out[-1].region:
+                out[-1].region.words += out[-1].words
         parts.clear()
 
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not (stack and stack[-1][0] in RAW) and not any(s[0] in HIDDEN_HEAD for s in stack):
-            parts.append((entities.unescape(text), link > 0))
+        if text and not open_.unseen:
+            parts.append((entities.unescape(text), open_.links > 0, open_.hidden > 0))
         if not m:
             break
         at = m.end()
         name = (m[1] or "").lower()
         if not name:
             continue
-        closing = page.startswith("</", m.start())
-        if name in RAW and not closing:
-            end = regex.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", regex.I).search(page, at)
-            at = end.end() if end else n
+        if page.startswith("</", m.start()):
+            if name in BLOCK:
+                close()
+            open_.end(name)
+            continue
+        closed = _CLOSED.search(m[2]) is not None
+        if name in RAW and not (name == "title" and open_.unseen and open_.innermost("head") is None):
+            if not closed:
+                end = None if name in endless else regex.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", regex.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in CODE:
+                    break
+                else:
+                    endless.add(name)
             continue
         if name in BLOCK:
             close()
         elif name == "br":
-            parts.append((" ", False))
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                # An end tag closes what is open inside it, but an inline one never closes a block.
-                if name in BLOCK or not any(s[0] in BLOCK for s in stack[depth + 1 :]):
-                    del stack[depth:]
-                else:
-                    del stack[depth]
-        elif name not in VOID and not m[2].rstrip().endswith("/"):
-            if name in BLOCK:
-                top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-                if top is not None and (stack[top][0] == "p" or stack[top][0] == name and name in SIBLINGS):
-                    del stack[top:]  # a paragraph, and inline elements left open in it, end at the next block
-                if name == "body":
-                    stack = [s for s in stack if s[0] not in HIDDEN_HEAD]
-            own, hides = _attributes(m[2])
-            own |= {z for z, e in _ZONE_ELEMENTS.items() if name in e}
-            stack.append((name, frozenset(own), hides))
-        elif name in BLOCK:
+            parts.append((" ", False, False))
+        open_.start(name)
+        if name in VOID or closed or name == "form" and open_.innermost("form") is not None:
             continue
-        zones = frozenset().union(*(s[1] for s in stack))
-        hidden = any(s[2] for s in stack)
-        link = sum(s[0] == "a" for s in stack)
+        own, hides, linked = _attributes(m[2])
+        if name in WHOLE:
+            own, hides = set(), False
+        if name in ("article", "main"):
+            own &= OF_ARTICLE
+        if name in _ZONE_ELEMENTS:
+            own.add(_ZONE_ELEMENTS[name])
+        before = len(open_.regions)
+        open_.push(name, frozenset(own), hides, linked and name == "a")
+        if len(open_.regions) > before:
+            regions.append(open_.regions[-1])
+        if name == "h1" or own == {"article"}:
+            if open_.regions:
+                open_.regions[-1].signs += 1
+            else:
+                loose += 1
     close()
+    _place(out, regions, loose)
     return out
 
 
+def _place(found: list[Block], regions: list[Region], loose: int) -> None:
+    """Give each block its zones. regions has parents before children."""
+    for r in reversed(regions):
+        if r.parent:
+            r.parent.words += r.words
+            r.parent.signs += r.signs
+    words = sum(b.words for b in found)
+    signs = loose + sum(r.signs for r in regions if r.parent is None)
+    for r in regions:
+        around = r.parent.zones if r.parent and not r.alone else frozenset()
+        layout = r.signs and r.signs == signs and r.words >= LAYOUT * words
+        r.zones = around | (r.own & {"article"} if layout else r.own)
+    for b in found:
+        b.zones = b.region.zones if b.region else frozenset()
+
+
 def features(found: list[Block]) -> np.ndarray:
     rows = np.zeros((len(found), len(FEATURES)))
     for i, b in enumerate(found):
@@ -228,8 +382,9 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages' columns but html, with text and n_chars (code points) added.
 
-    No shuffle; each page alone. Null and empty pages have the empty text; repeated rows stay; an empty table
-    gives an empty table. Columns named text or n_chars are replaced.
+    No shuffle; each page alone and whole: work is linear in its length, however long it is and however deep its
+    elements lie. Null and empty pages have the empty text; repeated rows stay; an empty table gives an empty
+    table. Columns named text or n_chars are replaced.
     """
     own = [c for c in pages.columns if c not in ("text", "n_chars", html)]
     pages = pages.select(*[pages[c] for c in own], pages[html].alias("_html"))
