@@ -1,7 +1,14 @@
 """Operator 5: quality rules per document and per host.
 
-Each document is measured and judged by rules; failures are summed by host; each host's failure rate is
-shrunk towards an empirical beta prior fitted to all hosts; hosts whose shrunken rate is high lose all documents.
+Each document is measured and judged by rules; failures are summed by host; each host's failure rate of a rule is
+shrunk towards an empirical beta prior fitted to all hosts. The host's verdict comes back to its documents:
+
+* prone: a rule whose shrunken rate reaches TOLERATED is a habit of the host, and its documents that fail it go;
+  below, a failure counts as a chance find (the rule's own false alarms) and the document stays.
+* bad: if the rate less two posterior standard deviations exceeds HOST_RATE, all documents of the host go. The
+  margin keeps small hosts, whose rates are mostly the prior's, from being judged by a few documents.
+
+The base rule rejects a document whatever its host.
 """
 
 from __future__ import annotations
@@ -17,8 +24,8 @@ from lodestack.runtime import materialize
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: A host is rejected if its shrunken failure rate of any rule exceeds this.
-HOST_RATE = 0.9
+#: A host is rejected if its failure rate of a rule surely exceeds HOST_RATE; a rule is a host's habit from TOLERATED.
+HOST_RATE, TOLERATED = 0.5, 0.01
 #: Document rules whose failures are counted by host. base is the only one that rejects a document by itself.
 RULES = {
     "base": f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
@@ -86,7 +93,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host (null is a host too): documents, failures and shrunken rate per rule, host_ok.
+    """One row per host (null is a host too): documents, failures, shrunken rate and prone_<rule> per rule, host_ok.
 
     The prior of a rule is the beta distribution whose mean and variance match the hosts' observed rates
     (method of moments, weighted by documents, less the binomial variance); with no spread beyond binomial
@@ -102,37 +109,41 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
         ]
     prior = counts.agg((F.count(F.lit(1)) / F.sum("documents")).alias("inverse_size"), *moments)
     out = counts.crossJoin(F.broadcast(prior))  # one row
-    rates = {}
+    rates, habits, ok = {}, {}, F.lit(True)
     for k in RULES:
         mean, spread = F.col(f"mean_{k}"), F.col(f"square_{k}") - F.col(f"mean_{k}") * F.col(f"mean_{k}")
         chance = mean * (1 - mean)
         # spread = between + (chance - between) * inverse_size; strength = chance / between - 1
         between = (spread - chance * F.col("inverse_size")) / F.greatest(1 - F.col("inverse_size"), F.lit(1e-9))
         strength = F.least(F.greatest(chance / F.greatest(between, F.lit(1e-12)) - 1, F.lit(1e-3)), F.lit(1e9))
-        rates[f"rate_{k}"] = (F.col(f"failed_{k}") + mean * strength) / (F.col("documents") + strength)
-    out = out.withColumns(rates)
-    ok = F.lit(True)
-    for k in RULES:
-        ok = ok & (F.col(f"rate_{k}") <= HOST_RATE)
-    return out.select("host", "documents", *[f"failed_{k}" for k in RULES], *rates, ok.alias("host_ok"))
+        size = F.col("documents") + strength
+        rate = (F.col(f"failed_{k}") + mean * strength) / size
+        rates[f"rate_{k}"] = rate
+        habits[f"prone_{k}"] = rate >= TOLERATED
+        ok = ok & (rate - 2 * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (size + 1)) <= HOST_RATE)
+    return out.withColumns(rates | habits).select("host", "documents", *[f"failed_{k}" for k in RULES], *rates, *habits, ok.alias("host_ok"))
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", carry_text: bool = True) -> DataFrame:
-    """measure() with base_failed and kept added: kept is false if base_failed, else the host's verdict.
+    """measure() with base_failed and kept added: kept is false if base_failed, else the host's verdict on it.
 
     Without carry_text the result lacks the text, and texts are read and measured once, the measures being
     written for both uses; with it they are measured twice, which costs less than writing all texts.
 
     The verdict table has a row per host. It comes back by a join on the host that Spark broadcasts only
     below its own measured threshold; beyond it a hot host is split by adaptive skew handling. Null and empty
-    texts fail (no words); repeated rows count each; an empty table gives an empty table.
+    texts fail (no words); very long texts are measured whole; repeated rows count each; an empty table gives an
+    empty table. Columns named like a measure, fail_<rule>, base_failed or kept are replaced.
     """
+    docs = docs.drop("base_failed", "kept")
     measured = measure(docs, text)
     if not carry_text:
         measured = materialize(measured.drop(text), "measures")
     judged = host_verdicts(measured.select(host, *[f"fail_{k}" for k in RULES]), host)
     # Written first, so that the join is planned by the table's real size and texts aren't shuffled for a small one.
-    verdicts = materialize(judged.select(F.col("host").alias("_host"), F.col("host_ok").alias("_host_ok")), "host-verdicts")
+    verdicts = materialize(judged.select(F.col("host").alias("_host"), F.col("host_ok").alias("_host_ok"), *[F.col(f"prone_{k}").alias(f"_prone_{k}") for k in RULES]), "host-verdicts")
     joined = measured.join(verdicts, measured[host].eqNullSafe(verdicts["_host"]), "inner")
-    own = [c for c in measured.columns if c not in ("base_failed", "kept")]
-    return joined.select(*[measured[c] for c in own], F.col("fail_base").alias("base_failed"), (~F.col("fail_base") & F.col("_host_ok")).alias("kept"))
+    kept = ~F.col("fail_base") & F.col("_host_ok")
+    for k in RULES:
+        kept = kept & ~(F.col(f"fail_{k}") & F.col(f"_prone_{k}"))
+    return joined.select(*[measured[c] for c in measured.columns], F.col("fail_base").alias("base_failed"), kept.alias("kept"))

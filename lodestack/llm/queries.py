@@ -84,6 +84,53 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, carry_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _op5_sql() -> str:
+    """The measures by unnested words and lines, the prior and the verdicts by sums per host."""
+    q = quality_rules
+    rules = ", ".join(f"({rule}) AS fail_{k}" for k, rule in q.RULES.items())
+    each = lambda form, sep=", ": sep.join(form.format(k=k) for k in q.RULES)
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM d
+), w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM split
+), five AS (
+  SELECT doc_id, pos, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), twice AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS n FROM five WHERE g IS NOT NULL) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(pos, pos + {q.WINDOW})) AS p FROM twice) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), same AS (
+  SELECT doc_id, line, count(*) AS n FROM l GROUP BY doc_id, line
+), dup AS (
+  SELECT doc_id, sum(n) AS n_lines, coalesce(sum(n - 1) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')), 0) AS n_dup_lines FROM same GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_lines FROM d JOIN split USING (doc_id) JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)
+), f AS (
+  SELECT *, {rules} FROM m
+), h AS (
+  SELECT source AS host, count(*) AS n, {each("count(*) FILTER (fail_{k}) AS failed_{k}")} FROM f GROUP BY source
+), p AS (
+  SELECT count(*) / sum(n) AS inv, {each("sum(failed_{k}) / sum(n) AS mean_{k}, sum(n * (failed_{k} / n) * (failed_{k} / n)) / sum(n) AS square_{k}")} FROM h
+), s AS (
+  SELECT h.*, p.*, {each("least(greatest(mean_{k} * (1 - mean_{k}) / greatest((square_{k} - mean_{k} * mean_{k} - mean_{k} * (1 - mean_{k}) * inv) / greatest(1 - inv, 1e-9), 1e-12) - 1, 1e-3), 1e9) AS strength_{k}")} FROM h, p
+), r AS (
+  SELECT *, {each("(failed_{k} + mean_{k} * strength_{k}) / (n + strength_{k}) AS rate_{k}")} FROM s
+), v AS (
+  SELECT host, {each("rate_{k} >= " + str(q.TOLERATED) + " AS prone_{k}")}, {each("rate_{k} - 2 * sqrt(greatest(rate_{k} * (1 - rate_{k}), 0) / (n + strength_{k} + 1)) <= " + str(q.HOST_RATE), " AND ")} AS host_ok FROM r
+)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, fail_base AS base_failed,
+       NOT fail_base AND host_ok AND {each("NOT (fail_{k} AND prone_{k})", " AND ")} AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.host
+"""
+
+
+OP5_SQL = _op5_sql()
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -115,4 +162,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_secret_scans": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_secret_scans": OP3_SQL, "op5_quality_rules": OP5_SQL}

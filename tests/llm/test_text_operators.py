@@ -227,7 +227,42 @@ def test_quality_edges_and_kept(spark):
     assert quality_rules.apply_rules(frame(spark, EDGE).limit(0)).count() == 0
     for r in queries.op5_quality_rules(spark, SF).collect():
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
-        assert r["kept"] == (not r["base_failed"])  # these hosts are mixed; none is rejected
+
+
+def kept_by_hand(rows):
+    """Keys of (key, text, host) rows that the rules and the hosts' verdicts keep, in plain Python."""
+    fails = {}
+    for i, t, h in rows:
+        n, chars, symbols, dup, repeated = measured_by_hand(t)
+        fails[i] = h, {"base": n < 10 or 100 * repeated > 20 * n, "symbols": 10 * symbols > n, "dup_lines": 10 * dup > 3 * len((t or "").split("\n")), "word_length": chars < 2 * n or chars > 15 * n}
+    size = Counter(h for h, _ in fails.values())
+    total, verdict = len(fails), {h: (True, set()) for h in size}
+    for k in quality_rules.RULES:
+        failed = Counter(h for h, f in fails.values() if f[k])
+        mean = sum(failed.values()) / total
+        chance = mean * (1 - mean)
+        inverse = len(size) / total
+        between = (sum(n * (failed[h] / n) ** 2 for h, n in size.items()) / total - mean * mean - chance * inverse) / max(1 - inverse, 1e-9)
+        strength = min(max(chance / max(between, 1e-12) - 1, 1e-3), 1e9)
+        for h, n in size.items():
+            rate = (failed[h] + mean * strength) / (n + strength)
+            ok, prone = verdict[h]
+            verdict[h] = ok and rate - 2 * math.sqrt(max(rate * (1 - rate), 0) / (n + strength + 1)) <= quality_rules.HOST_RATE, prone | ({k} if rate >= quality_rules.TOLERATED else set())
+    return {i for i, (h, f) in fails.items() if not f["base"] and verdict[h][0] and not any(f[k] for k in verdict[h][1])}
+
+
+def test_host_verdicts_on_documents_and_on_bad_hosts(spark):
+    rows = [(i, t, s) for i, t, s in corpus()]
+    extra = [(10_000 + i, "### " * 3 + f"text {i} with many odd signs and more than ten plain words after them", "junk") for i in range(60)]
+    extra += [(11_000 + i, f"a plain text {i} of some twelve words that nothing at all is wrong with", "junk") for i in range(40)]
+    extra += [(12_000 + i, f"a plain text {i} of some twelve words that nothing at all is wrong with" + " #" * (3 if i == 7 else 0), "clean") for i in range(2_000)]
+    for given in (rows, rows + extra[:60], rows + extra):
+        got = {r["doc_id"] for r in quality_rules.apply_rules(frame(spark, given)).filter("kept").collect()}
+        assert got == kept_by_hand(given)
+    assert 12_007 in got and not got & set(range(10_000, 10_060))  # a chance find in a clean host stays, a habit goes
+    base = {i for i, t, _ in rows if i in got}
+    failed = {i for i, t, _ in rows if 10 * measured_by_hand(t)[2] > measured_by_hand(t)[0]}
+    assert failed and not failed & base  # the verdict acts on the supplied documents
 
 
 def test_bad_hosts_are_rejected_and_small_ones_shrunk(spark):
