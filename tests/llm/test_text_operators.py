@@ -145,53 +145,69 @@ def test_lm_scores(spark):
     assert sum(got[i]["score"] for i in own) > sum(got[i]["base_score"] for i in own)  # better on texts it has not seen
 
 
-def bigram_scores_by_hand(toks, fold):
+def trigram_scores_by_hand(toks, fold):
     """The model in plain Python: counts, weights by EM over the tuning fold, scores of all texts."""
 
+    def grams(ws):
+        ws = [("<start>",), *((w,) for w in ws)]
+        return [(a[0], b[0], None if i == 0 else ws[i - 1][0]) for i, (a, b) in enumerate(zip(ws, ws[1:], strict=False))]  # (v, w, u)
+
     def counts(keep):
-        one, two, texts = Counter(), Counter(), 0
+        one, two, three, texts = Counter(), Counter(), Counter(), 0  # no trigram begins a text
         for i, ws in toks.items():
             if keep(fold[i]):
                 one.update(ws)
-                two.update(zip(["<start>", *ws], ws, strict=False))
+                for v, w, u in grams(ws):
+                    two[v, w] += 1
+                    three[u, v, w] += u is not None
                 texts += 1
-        return one, two, texts
+        return one, two, three, texts, sum(one.values())
+
+    def parts(v, w, u, one, two, three, texts, n):
+        context = texts if v == "<start>" else one[v]
+        around = two[u, v] if u is not None else 0
+        bucket = lambda c: min(c.bit_length(), lm_scoring.BUCKETS - 1)
+        return bucket(around), bucket(context), (three[u, v, w] if u is not None else 0) / max(around, 1), two[v, w] / max(context, 1), one[w] / max(n, 1)
 
-    def parts(h, w, one, two, texts):
-        ctx = texts if h == "<start>" else one[h]
-        bucket = min(ctx.bit_length(), lm_scoring.BUCKETS - 1)
-        return bucket, two[h, w] / max(ctx, 1), one[w] / max(sum(one.values()), 1)
+    def terms(weights, k, j, three, two, one, floor):
+        a, b, g = weights["three", k], weights["two", j], weights["one", 0]
+        return a * three, (1 - a) * b * two, (1 - a) * (1 - b) * g * one, (1 - a) * (1 - b) * (1 - g) * floor
 
     kept = counts(lambda f: f not in (2, 3))
-    seen = [parts(h, w, *kept) for i, ws in toks.items() if fold[i] == 3 for h, w in zip(["<start>", *ws], ws, strict=False)]
-    weights = {k: [1 / 3] * 3 if k else [0, 0.5, 0.5] for k in range(lm_scoring.BUCKETS)}
+    seen = [parts(*g, *kept) for i, ws in toks.items() if fold[i] == 3 for g in grams(ws)]
+    size = {"three": lm_scoring.BUCKETS, "two": lm_scoring.BUCKETS, "one": 1}
+    weights = {(k, i): 0.5 if i or k == "one" else 0 for k, n in size.items() for i in range(n)}
     for _ in range(lm_scoring.ROUNDS):
-        sums = defaultdict(lambda: [0.0] * 3)
-        for k, two, one in seen:
-            terms = [weights[k][0] * two, weights[k][1] * one, weights[k][2] / (len(kept[0]) + 1)]
-            for j in range(3):
-                sums[k][j] += terms[j] / sum(terms)
-        for k in weights:
-            near = min(sums, key=lambda j: (abs(j - k), j))
-            w = [max(x / sum(sums[near]), 1e-9) for x in sums[near]]
-            w[0] = w[0] if k else 0
-            weights[k] = [x / sum(w) for x in w]
-    full = counts(lambda f: f != 2)
-    out = {}
+        hit, of = defaultdict(float), defaultdict(float)
+        for k, j, *estimates in seen:
+            t = terms(weights, k, j, *estimates, 1 / (len(kept[0]) + 1))
+            p3, p2, p1 = (x / sum(t) for x in t[:3])
+            for name, h, o in ((("three", k), p3, 1), (("two", j), p2, 1 - p3), (("one", 0), p1, 1 - p3 - p2)):
+                hit[name] += h
+                of[name] += o
+        before = dict(weights)
+        for k, i in weights:
+            near = min((j for name, j in of if name == k), key=lambda j: (abs(j - i), j))
+            weights[k, i] = min(max(hit[k, near] / of[k, near], 1e-6), 1 - 1e-6) if i or k == "one" else 0
+        if max(abs(weights[x] - before[x]) for x in weights) <= lm_scoring.TOLERANCE:
+            break
+    full, out = counts(lambda f: f != 2), {}
+    types = len(full[0])
     for i, ws in toks.items():
-        total = 0.0
-        for h, w in zip(["<start>", *ws], ws, strict=False):
-            k, two, one = parts(h, w, *full)
-            total += math.log10(weights[k][0] * two + weights[k][1] * one + weights[k][2] / (len(full[0]) + 1))
-        out[i] = total
+        mine = full
+        if fold[i] != 2:  # without the document itself
+            own = Counter(ws), Counter((v, w) for v, w, _ in grams(ws)), Counter((u, v, w) for v, w, u in grams(ws) if u is not None)
+            mine = *({x: f[x] - n for x, n in c.items()} for f, c in zip(full, own, strict=False)), full[3] - 1, full[4] - len(ws)
+            mine = *(defaultdict(int, c) for c in mine[:3]), *mine[3:]
+        out[i] = sum(math.log10(sum(terms(weights, *parts(*g, *mine), 1 / (types + 1)))) for g in grams(ws))
     return out
 
 
 def test_lm_equals_plain_python(spark):
-    docs = [(i, (t or "")[:400], s) for i, t, s in corpus()]
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(frame(spark, docs)).collect()}
-    toks = {i: [*(t.encode().lower().split()), None] for i, t, _ in docs}
-    want = bigram_scores_by_hand(toks, {i: zlib.crc32(str(i).encode()) % 7 for i in toks})
+    docs = corpus()  # whole texts, in many blocks
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(frame(spark, docs), block_tokens=3_000).collect()}
+    toks = {i: [*((t or "").encode().lower().split()), None] for i, t, _ in docs}
+    want = trigram_scores_by_hand(toks, {i: zlib.crc32(str(i).encode()) % 7 for i in toks})
     assert all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
 
 
