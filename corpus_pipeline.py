@@ -2,51 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe_codec, decontaminate, line_dedup, near_copies, quality_rules
 from lodestack.llm.tables import table
 from lodestack.runtime import importable, materialize
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go."""
+    """Documents that the rules or their host's verdict on them reject go.
+
+    Null and empty texts have no words and go; a null source is a host of its own; a very long text is measured
+    whole; repeated rows are judged each; an empty table stays empty. Columns beyond those of documents are left out
+    by all stages, missing ones are null.
+    """
     importable(spark)
-    return quality_rules.apply_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    return quality_rules.apply_rules(_columns(docs)).filter("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines go; n_chars is counted anew."""
-    kept = line_dedup.drop_shared_lines(docs.select(*COLUMNS))
+    """Lines of 40 characters or more that five documents share go, but in the largest doc_id; n_chars is counted anew.
+
+    Null texts become empty; rows without doc_id count as no document and lose nothing; repeated rows of a doc_id are
+    one document; very long texts are split whole; an empty table stays empty.
+    """
+    kept = line_dedup.drop_shared_lines(_columns(docs))
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group (5-word shingles of Jaccard similarity 0.8, or operator 10's links) the document of smallest
-    doc_id stays, once. Rows without doc_id can't be told apart and stay."""
+    """Of each group (5-word shingles of Jaccard similarity 0.8, or operator 10's links) one document stays, once.
+
+    It is the one of smallest doc_id (rows without doc_id come last; of several texts of that doc_id the one of
+    smallest hash). Rows are told apart by doc_id and text: texts of one doc_id that aren't alike stay, and of rows equal
+    in both the one of least source, lang and n_chars stays. Texts without words are one group; very long texts
+    count whole; an empty table stays empty.
+    """
     importable(spark)
-    keep = near_copies.near_copies(docs).filter("doc_id = component_id").select("doc_id")
-    kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).union(docs.select(*COLUMNS).filter("doc_id IS NULL"))
+    named = _columns(docs).withColumn("_row", _row())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    keep = near_copies.near_copies(named.select(key.alias("key"), "text"), "key").filter("key = component_id")
+    keep = materialize(keep.select("key._row").distinct(), "near-keep")
+    # One row of each (doc_id, text): these are in one place after the join.
+    rest = ("source", "lang", "n_chars", "doc_id", "text")
+    one = named.join(keep, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*rest)).alias("least"))
+    return one.select(*[F.col(f"least.{c}").alias(c) for c in COLUMNS])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go.
+
+    Rows are judged each by its own text, whatever their doc_id; null and empty texts leak nothing; very long texts
+    are read whole; an empty table stays empty.
+    """
+    named = _columns(docs).withColumn("_row", _row())
     # Written first, so that the join is planned by the real number of leaks and texts stay where they are.
-    leaks = materialize(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+    leaks = materialize(decontaminate.contaminated(named, table(spark, sf_dir, "benchmark"), "_row").select("_row").distinct(), "leaks")
+    return named.join(leaks, "_row", "left_anti").select(*COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, the token ids and their number."""
+    """The columns of documents, the token ids and their number; null and empty texts have none. Every row stays."""
     importable(spark)
-    coded = bpe_codec.encode(docs.select(*COLUMNS))
+    coded = bpe_codec.encode(_columns(docs))
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*[docs[c] if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in COLUMNS.items()])
+
+
+def _row() -> Column:
+    """A row's own name: the hash of doc_id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),

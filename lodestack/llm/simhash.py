@@ -127,6 +127,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     firsts = prints.groupBy("fp").agg(F.min(key).alias("first"))
     roots = components(pivot_links(prints)).select(F.col("node").alias("fp"), "root")
     classes = materialize(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = classes.join(least, "root").select("fp", "component_id")
+    # Written before their joins: an aggregate right below would keep adaptive execution from splitting a hot root.
+    least = materialize(classes.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    known = materialize(classes.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(known, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
