@@ -53,5 +53,12 @@ def drop_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lost = shared_lines(docs, key, text, min_chars, min_documents).select(F.col(key).alias("_key"), F.col("dropped").alias("_dropped"))
     joined = docs.join(lost, docs[key] == lost["_key"], "left")
     lines = F.split(F.coalesce(docs[text], F.lit("")), "\n", -1)
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce(docs[text], F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_dropped", i)), "\n"))
+
+    def left(each: Column) -> Column:
+        """The lines whose positions aren't dropped, by a hash set of positions."""
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(each) - 1), "_dropped"), lambda i: F.get(each, i)), "\n")
+
+    # The outer lambda splits the text once; named inside the inner one, the split would run for every line.
+    reassembled = F.element_at(F.transform(F.array(lines), left), 1)
+    kept = F.when(F.col("_dropped").isNull(), F.coalesce(docs[text], F.lit(""))).otherwise(reassembled)
     return joined.select(*[(kept.alias(c) if c == text else docs[c]) for c in own], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
