@@ -30,8 +30,9 @@ class Rule:
 # The base kinds, then the kinds that are added to them.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
-    Rule("hex", r"[0-9a-f]+", 0, 24, True),
+    # These ask for their least length at once: a run of characters that is too short has no match inside either.
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20, True),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
@@ -164,6 +165,10 @@ def candidates(postings: DataFrame, wanted: list[str], queries: dict[str, Query]
     return met.filter(any_rule)
 
 
+#: Matches whose spans are gathered at once: appending to an array copies it, so long lists grow by parts.
+_PART = 256
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, kind, end>> of a rule's matches, leftmost and non-overlapping, in code points.
 
@@ -175,7 +180,6 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     gaps = F.split(text, rule.regex, -1)
     steps = F.arrays_zip(F.transform(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(judged, F.length).alias("judged"))
     kind = "array<struct<start:int,kind:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc, x):
         a = acc["at"] + x["gap"]
@@ -183,14 +187,24 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         new = F.struct(a.alias("start"), F.lit(order).alias("kind"), b.alias("end"))
         return F.struct(b.alias("at"), F.when(x["judged"] >= rule.least, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    def part(acc, some):
+        done = F.array(F.aggregate(some, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step))
+        return F.element_at(F.transform(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out"))), 1)
+
+    def parts(each):
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(each) / _PART).cast("int")), lambda i: F.slice(each, i * _PART + 1, _PART))
+
+    # The outer lambda names the matches once; they would be searched anew for every part otherwise.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.flatten(F.aggregate(F.element_at(F.transform(F.array(steps), parts), 1), start, part, lambda acc: acc["out"]))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of docs: key and ``spans``, the array of (start, kind number in rules, end), sorted.
 
     Candidates meet their rows in one join on key, with nulls equal; a repeated key's postings are united, so
-    each of its rows is verified. Null and empty texts have no spans; an empty table gives an empty table.
+    each of its rows is verified. Null and empty texts have no spans; very long texts are scanned whole, in time
+    about linear in their matches; an empty table gives an empty table.
     Only key and text are read, so other columns can't clash.
     """
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -204,9 +218,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
     each = []
     for i, r in enumerate(rules):
         test = F.coalesce(F.col(f"may_{r.kind}"), F.lit(False)) if r.kind in indexed else F.lit(True)
-        # A regex that is one repeated class can ask for its least length at once; other texts skip the spans.
-        quick = f"{r.regex[:-1]}{{{r.least}}}" if r.regex.startswith("[") and r.regex.count("[") == 1 and r.regex.endswith("]+") and r.least else r.regex
-        each.append(F.when(test & F.col("text").rlike(quick), spans(F.col("text"), r, i)).otherwise(none))
+        each.append(F.when(test & F.col("text").rlike(r.regex), spans(F.col("text"), r, i)).otherwise(none))
     return docs.select(F.col("key").alias(key), F.array_sort(F.concat(*each)).alias("spans"))
 
 
