@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import cache
 
 import numpy as np
@@ -13,6 +14,8 @@ from lodestack.llm.tables import extended, pieces
 from lodestack.llm.word_bpe import TOKENIZER, WordTable, vocabulary
 
 NONE = np.iinfo(np.int64).max
+#: Longer sequences keep their ranks between rounds; shorter ones are ranked anew, many at once.
+LONG = 200
 
 
 class RankMerger:
@@ -34,11 +37,58 @@ class RankMerger:
         at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return np.where(self.key[at] == want, self.order[at], NONE)
 
+    def merge_long(self, sequence: np.ndarray) -> np.ndarray:
+        """merge() of one long sequence: places wait in a bucket per rank, and a round ranks only the pairs beside its
+        merges. Every merge makes two pairs at most, so work is about linear in the sequence."""
+        n = len(sequence)
+        symbol = np.append(sequence.astype(np.int32), 0)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, NONE)
+        buckets: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def file(places: np.ndarray) -> None:
+            """Rank the pairs that begin at places, all of which have a successor."""
+            found = self.ranks(symbol[places], symbol[after[places]])
+            rank[places] = found
+            places, found = places[found != NONE], found[found != NONE]
+            order = np.argsort(found, kind="stable")
+            which, cuts = np.unique(found[order], return_index=True)
+            for r, own in zip(which.tolist(), np.split(places[order], cuts[1:]) if len(which) else (), strict=True):
+                if r not in buckets:
+                    heapq.heappush(heap, r)
+                buckets.setdefault(r, []).append(own)
+
+        file(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(buckets.pop(r)))
+            at = at[rank[at] == r]
+            if len(at) > 1:  # of a run of overlapping places take the first, third, ...
+                run = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            symbol[at] = self.made[r]
+            rank[gone] = rank[at] = NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            beside = np.unique(np.concatenate([at, left[left >= 0]]))
+            file(beside[after[beside] < n])
+        alive = np.ones(n, bool)
+        place = np.arange(n)
+        alive[place[1:]] = after[np.maximum(before[1:n], 0)] == place[1:]
+        return symbol[:n][alive]
+
     def merge(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        done: list[np.ndarray | None] = [None] * len(sequences)
-        if not sequences:
-            return []
-        names = np.arange(len(sequences))
+        done: list[np.ndarray | None] = [self.merge_long(s) if len(s) > LONG else None for s in sequences]
+        names = np.array([i for i, x in enumerate(done) if x is None], np.int64)
+        if not len(names):
+            return done  # type: ignore[return-value]
+        sequences = [sequences[i] for i in names]
         lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
         flat = np.concatenate(sequences).astype(np.int32)
         while len(names):
@@ -82,8 +132,8 @@ def _table(name: str) -> WordTable:
 def count_tokens(docs: DataFrame, text: str = "text", name: str = TOKENIZER, limit: int = 2048) -> DataFrame:
     """docs' columns with n_bytes, n_tokens and over_limit (n_tokens > limit) added.
 
-    No shuffle: one pass over the rows. Null and empty texts have zero bytes and tokens; repeated rows stay,
-    each counted alone; an empty table gives an empty table. Columns of docs named like the three new ones
+    No shuffle: one pass over the rows. Null and empty texts have zero bytes and tokens; very long texts and single
+    words are counted whole, in about linear time; repeated rows stay, each counted alone; an empty table gives an empty table. Columns of docs named like the three new ones
     are replaced.
     """
     new = ("n_bytes", "n_tokens", "over_limit")

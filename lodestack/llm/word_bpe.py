@@ -15,8 +15,9 @@ import numpy as np
 import regex
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct chunks that a Python worker remembers; then it starts anew. Bounds memory, changes no result.
-REMEMBERED = 600_000
+#: Distinct chunks, and bytes of chunks and ids, that a Python worker remembers; then it starts anew. Bounds memory,
+#: changes no result.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 32_000_000
 
 #: Fixed value of the vocabulary: its pre-token pattern.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -143,14 +144,14 @@ class _Rows(dict):
 class WordTable:
     """Ragged table of the ids of all chunks met so far."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = REMEMBERED):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = REMEMBERED, limit_bytes: int = REMEMBERED_BYTES):
+        self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self._reset()
 
     def _reset(self) -> None:
         self.rows = _Rows()
         self.start, self.length, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
-        self.held = self.used = 0
+        self.held = self.used = self.bytes = 0
 
     def _grow(self) -> None:
         new, self.rows.new = self.rows.new, []
@@ -163,10 +164,11 @@ class WordTable:
         self.flat[self.used : self.used + len(ids)] = ids
         self.held += len(new)
         self.used += len(ids)
+        self.bytes += sum(map(len, new)) + ids.nbytes
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each text its number of chunks, and the table rows of all chunks in order."""
-        if len(self.rows) > self.limit:
+        if len(self.rows) > self.limit or self.bytes > self.limit_bytes:
             self._reset()
         counts, parts = np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
