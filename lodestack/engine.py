@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import parse_query
 from lodestack.operators import fulltext, fusion, health, names, vectors
-from lodestack.operators.filters import SearchRequest, content_allowed, is_path_query, stale, visible
+from lodestack.operators.filters import SearchRequest, content_allowed, is_document, is_path_query, not_revoked, readable, stale, visible
 from lodestack.plans.catalog import Catalog
 
 PREVIEW, BEFORE, RELATED = 300, 30, 6
@@ -24,13 +24,19 @@ class TimedOut(Exception):
 
 @dataclass
 class Engine:
-    """Searches over a catalog. Indexes are plans too: pass written ones to read instead of to build, see indexed()."""
+    """Searches over a catalog. Indexes are plans too: pass written ones to read instead of to build, see indexed().
+
+    access has (file_id, state) of files that a check found denied, redirected or missing just now, revoked has
+    (file_id, revoked_at): both hold for every search, preview and related list.
+    """
 
     catalog: Catalog
     name_index: DataFrame | None = None
     passage_index: DataFrame | None = None
     name_stats: DataFrame | None = None
     passage_stats: DataFrame | None = None
+    access: DataFrame | None = None
+    revoked: DataFrame | None = None
 
     def __post_init__(self):
         c = self.catalog
@@ -58,21 +64,39 @@ class Engine:
         t = {n: snapshots.table(n, version) for n in ("sources", "files", "passages", "vectors", "name_index", "passage_index", "name_stats", "passage_stats")}
         return cls(Catalog(*[t.pop(n) for n in ("sources", "files", "passages", "vectors")]), **t)
 
+    def _current(self) -> DataFrame:
+        """Files with their sources as they may be shown now, with stale."""
+        found = self.catalog.files.join(self.catalog.sources, "source_id")
+        if self.revoked is not None:
+            found = not_revoked(found if "indexed_at" in found.columns else found.withColumn("indexed_at", F.col("indexed_mtime")), self.revoked)
+        return found.withColumn("stale", stale()) if self.access is None else readable(found, self.access)
+
     def _visible(self, request: SearchRequest) -> DataFrame:
-        return self.catalog.files.join(self.catalog.sources, "source_id").filter(visible(request))
+        return self._current().filter(visible(request))
 
     def search(self, request: SearchRequest) -> DataFrame:
-        """Results of a request in order: file_id, name, path, source_name, ext, mtime, score, name_matched, match_kind, stale.
+        """Results of a request in order: file_id, name, path, source_name, ext, mtime, score, name_matched, match_kind,
+        stale, passage_ids (up to three, best first), passage (text of the first), ordinal (its place).
 
-        Category all fills up: documents first, then other files; every channel's limit holds per category.
+        Category all fills up: documents first, then other files; every channel's limit holds per category. Without a
+        query, and for files found by name alone, the passage is the file's first.
         """
         if request.category == "all":
             parts = [self._search(replace(request, category=c)) for c in ("documents", "other")]
         else:
             parts = [self._search(request)]
-        if not request.query.strip():
-            return fusion.fill(parts, request.clamped, [F.desc("mtime"), F.col("file_id")])
-        return fusion.fill(parts, request.clamped, fusion.final_order())
+        order = fusion.final_order() if request.query.strip() else [F.desc("mtime"), F.col("file_id")]
+        rows = fusion.fill(parts, request.clamped, order)
+        return rows.drop("content_id", "shows", "part") if request.names_only else self._with_passage(rows, order)
+
+    def _with_passage(self, rows: DataFrame, order: list) -> DataFrame:
+        """rows with the passage to show: the first of passage_ids, else the file's first where its content may be shown."""
+        shown = rows.select("file_id", "content_id", "shows", F.get("passage_ids", F.lit(0)).alias("asked") if "passage_ids" in rows.columns else F.lit(None).cast("long").alias("asked"))
+        met = self.catalog.passages.join(F.broadcast(shown), "content_id").filter(F.col("shows"))  # at most 100 rows
+        best = met.groupBy("file_id").agg(F.min(F.struct((~F.coalesce(F.col("passage_id") == F.col("asked"), F.lit(False))).alias("other"), "ordinal", "passage_id", "text")).alias("p"))
+        passages = best.select("file_id", F.col("p.passage_id").alias("first"), F.col("p.text").alias("passage"), F.col("p.ordinal").alias("ordinal"))
+        ids = F.when((F.size("passage_ids") > 0) | F.col("first").isNull(), F.col("passage_ids")).otherwise(F.array("first"))
+        return rows.join(passages, "file_id", "left").withColumn("passage_ids", ids).drop("content_id", "shows", "first").orderBy("part", *order).drop("part")
 
     def hits(self, request: SearchRequest) -> DataFrame:
         """(file_id, kind, score, position, passage_id): every channel's list for one category."""
@@ -98,12 +122,13 @@ class Engine:
         found = self._visible(request)
         if not request.query.strip():
             rows = found.orderBy(F.desc("mtime"), "file_id").limit(request.clamped)
-            fused = rows.select("file_id", F.lit(0.0).alias("score"), F.lit(False).alias("name_matched"), F.lit("").alias("match_kind"))
+            fused = rows.select("file_id", F.lit(0.0).alias("score"), F.lit(False).alias("name_matched"), F.lit("").alias("match_kind"), F.array().cast("array<long>").alias("passage_ids"))
         else:
             fused = fusion.fuse(self.hits(request))
+        path = F.concat_ws("/", "source_path", "relative_path")
         return fused.join(found, "file_id").select(
-            "file_id", "name", F.concat_ws("/", "source_path", "relative_path").alias("path"), "source_name", "ext", "mtime", "score", "name_matched", "match_kind", stale().alias("stale")
-        )
+            "file_id", "name", path.alias("path"), "source_name", "ext", "mtime", "score", "name_matched", "match_kind", "stale", "passage_ids", "content_id", content_allowed().alias("shows"),
+        )
 
     def _name_hits(self, found: DataFrame, request: SearchRequest, phrases) -> DataFrame:
         fields = None if is_path_query(request.query) else ["name"]
@@ -141,7 +166,7 @@ class Engine:
     def preview(self, file_id: int, matching_passage: int | None = None) -> DataFrame:
         """Passages of a file from a little before the match on, in order."""
         c = self.catalog
-        file = c.files.filter((F.col("file_id") == file_id) & (F.col("status") != "denied")).join(c.sources, "source_id").filter(content_allowed()).select("content_id")
+        file = self._current().filter((F.col("file_id") == file_id) & (F.col("status") != "denied")).filter(content_allowed()).select("content_id")
         own = c.passages.join(file, "content_id", "left_semi")
         if matching_passage is not None:
             start = own.filter(F.col("passage_id") == matching_passage).agg(F.greatest(F.coalesce(F.max("ordinal"), F.lit(0)) - BEFORE, F.lit(0)).alias("start"))
@@ -151,7 +176,7 @@ class Engine:
     def related(self, file_id: int) -> DataFrame:
         """Files whose meaning is nearest to the file's first vector, itself left out."""
         c = self.catalog
-        own = c.files.filter((F.col("file_id") == file_id) & (F.col("status") != "denied")).join(c.sources, "source_id").filter(content_allowed()).select("content_id")
+        own = self._current().filter((F.col("file_id") == file_id) & (F.col("status") != "denied")).filter(content_allowed()).select("content_id")
         first = c.vectors.join(own, "content_id", "left_semi").orderBy("passage_id").limit(1).collect()  # one vector
         found = self._visible(SearchRequest(""))
         if not first:
@@ -218,6 +243,20 @@ def citation(text, name, location, path):
     return F.concat(text, F.lit("\n\n"), name, F.lit(", "), location, F.lit("\n"), path)
 
 
+def _merged(spark: SparkSession, channels: list[list], request: SearchRequest) -> list[dict]:
+    """The channels' rows (a few hundred) merged by fusion.merge_channels; content is the first channel."""
+    own, hits = {}, []
+    for channel, rows in enumerate(channels):
+        for r in (x.asDict() for x in rows):
+            own.setdefault((r["path"], r["file_id"]), r)
+            hits.append((r["path"], r["file_id"], r["ext"], bool(r.get("name_matched")), float(r.get("score") or 0), len(r.get("passage_ids") or ()), channel))
+    if not hits:
+        return []
+    table = spark.createDataFrame(hits, "path string, file_id long, ext string, name_matched boolean, score double, passages int, channel int")
+    best = fusion.merge_channels(table.withColumn("is_document", is_document(F.col("ext"))).drop("ext"), request.clamped).collect()
+    return [own[r["path"], r["file_id"]] | {"name_matched": r["name_matched"], "score": r["score"]} for r in best]
+
+
 def search_channels(engine: Engine, request: SearchRequest, metadata: DataFrame | None = None, on_update=None) -> list:
     """Names, metadata and content side by side; on_update sees the merged list after each of them.
 
@@ -230,7 +269,7 @@ def search_channels(engine: Engine, request: SearchRequest, metadata: DataFrame
     calls = {"content": (engine.search(request), FULL_SECONDS)}
     if request.mode != "semantic":
         calls = {"names": (engine.search(replace(request, names_only=True)), NAMES_SECONDS)} | ({"metadata": (metadata, NAMES_SECONDS)} if metadata is not None else {}) | calls
-    merged: dict[str, dict] = {}
+    arrived: dict[str, list] = {}
     ranked: list = []
     late = False
 
@@ -246,16 +285,8 @@ def search_channels(engine: Engine, request: SearchRequest, metadata: DataFrame
                 if waiting[done] == "content":
                     raise
                 continue
-            for r in (x.asDict() for x in rows):
-                old = merged.get(r["path"])
-                if old is None:
-                    merged[r["path"]] = r
-                    continue
-                best = r if (r["file_id"] or -1) > 0 and (old["file_id"] or -1) < 0 else old
-                merged[r["path"]] = best | {"name_matched": old["name_matched"] or r["name_matched"], "score": max(old["score"], r["score"])}
-            from lodestack.operators.filters import DOCUMENT_EXTENSIONS
-
-            ranked = sorted(merged.values(), key=lambda r: (r["ext"].lower() not in DOCUMENT_EXTENSIONS, not r["name_matched"], -r["score"], r["path"]))[: request.clamped]
+            arrived[waiting[done]] = rows
+            ranked = _merged(spark, [arrived.get(name, []) for name in ("content", "names", "metadata")], request)
             if on_update:
                 on_update(ranked)
     if late:

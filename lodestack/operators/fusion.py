@@ -11,6 +11,7 @@ from lodestack.functions.batch import composed
 NAME, LITERAL_BASE, LITERAL, TEXT, MEANING, OFFSET = 3.0, 0.08, 1.0, 1.8, 1.3, 60
 NAME_LIMIT, TEXT_LIMIT = 180, 360
 KINDS = ("Filename match", "Text match", "Meaning match")
+CARRIED = 3
 
 
 def contribution(position, weight: float, base: float = 0.0):
@@ -18,17 +19,24 @@ def contribution(position, weight: float, base: float = 0.0):
 
 
 def fuse(hits: DataFrame) -> DataFrame:
-    """(file_id, score, name_matched, match_kind) from hits (file_id, kind, score).
+    """(file_id, score, name_matched, match_kind, passage_ids) from hits (file_id, kind, score, position, passage_id).
 
-    A channel counts once, by its best hit (so the two name lists are one channel); channels add up.
+    A channel counts once, by its best hit (so the two name lists are one channel); channels add up. passage_ids are
+    those of carry_passages(), empty where no hit has one, and left out where hits has no passages. A file has few
+    hits: every list is limited.
     """
-    best = hits.groupBy("file_id", "kind").agg(F.max("score").alias("score"))
     # Three channels at most: adding them in one fixed order makes sums equal everywhere.
-    each = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)) for k in KINDS]
-    return best.groupBy("file_id").agg(
-        (each[0] + each[1] + each[2]).alias("score"),
+    each = [F.max(F.when(F.col("kind") == k, F.col("score"))) for k in KINDS]
+    met = [e.isNotNull().cast("int") for e in each]
+    carried = []
+    if "passage_id" in hits.columns:
+        found = F.array_sort(F.collect_set(F.when(F.col("passage_id").isNotNull(), F.struct(_turn().alias("turn"), "position", "passage_id"))))
+        carried = [F.slice(F.array_distinct(F.transform(found, lambda x: x["passage_id"])), 1, CARRIED).alias("passage_ids")]
+    return hits.groupBy("file_id").agg(
+        (F.coalesce(each[0], F.lit(0.0)) + F.coalesce(each[1], F.lit(0.0)) + F.coalesce(each[2], F.lit(0.0))).alias("score"),
         F.bool_or(F.col("kind") == KINDS[0]).alias("name_matched"),
-        F.when(F.count(F.lit(1)) > 1, "Hybrid match").otherwise(F.min("kind")).alias("match_kind"),
+        F.when(met[0] + met[1] + met[2] > 1, "Hybrid match").otherwise(F.min("kind")).alias("match_kind"),
+        *carried,
     )
 
 
@@ -69,10 +77,14 @@ def group_by_name(results: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def carry_passages(hits: DataFrame, most: int = 3) -> DataFrame:
+def _turn():
+    """Text matches give a file's passages first, then meaning matches."""
+    return F.when(F.col("kind") == KINDS[1], 0).when(F.col("kind") == KINDS[2], 1).otherwise(2)
+
+
+def carry_passages(hits: DataFrame, most: int = CARRIED) -> DataFrame:
     """(file_id, passage_ids): up to three distinct passages per file; the text match's first, else the meaning match's."""
-    turn = F.when(F.col("kind") == KINDS[1], 0).when(F.col("kind") == KINDS[2], 1).otherwise(2)
-    first = hits.filter(F.col("passage_id").isNotNull()).groupBy("file_id", "passage_id").agg(F.min(F.struct(turn.alias("turn"), "position")).alias("r"))
+    first = hits.filter(F.col("passage_id").isNotNull()).groupBy("file_id", "passage_id").agg(F.min(F.struct(_turn().alias("turn"), "position")).alias("r"))
     w = Window.partitionBy("file_id").orderBy("r", "passage_id")
     kept = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
     return kept.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "passage_id"))), lambda x: x["passage_id"]).alias("passage_ids"))

@@ -14,6 +14,7 @@ from lodestack.operators.filters import SearchRequest
 from lodestack.plans import catalog as cat
 from lodestack.plans.catalog import CATALOG_SQL, catalog, read
 from lodestack.runtime import scratch
+from lodestack.sources.snapshots import Snapshots
 from lodestack.streaming import journal
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,6 +424,73 @@ for _key, (_request, _with) in _REQUESTS.items():
     SQL[_key] = search_sql(_request, _with)
 
 
+def _indexed(spark: SparkSession, sf: str) -> Engine:
+    """An engine over a published catalog: its tables and indexes are written once per session and folder."""
+    held = _PUBLISHED.get(sf)
+    if held is None or held.catalog.files.sparkSession is not spark:
+        held = _PUBLISHED[sf] = Engine.indexed(catalog(spark, sf), Snapshots(spark, scratch(spark, "catalog")))
+    return held
+
+
+_PUBLISHED: dict[str, Engine] = {}
+
+
+def _search_indexed(request: SearchRequest, with_vector: bool = False) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from dataclasses import replace
+
+        asked = replace(request, vector=tuple(_probe(spark, sf))) if with_vector else request
+        return _indexed(spark, sf).search(asked).select("file_id", F.round("score", 6).alias("score"), "name_matched", "match_kind")
+
+    return run
+
+
+for _key, (_request, _with) in _REQUESTS.items():
+    QUERIES[f"{_key}_indexed"] = _search_indexed(_request, _with)
+    SQL[f"{_key}_indexed"] = SQL[_key]
+
+
+_SHOWN = SearchRequest("report notes", limit=80)
+_REVOKED_AT = cat.EPOCH + 3600.0 * 100
+
+
+def _shown_sql() -> str:
+    """search_sql() with denied, missing and revoked files, and the passage that each result shows."""
+    body = search_sql(_SHOWN)
+    ctes, final = body.rsplit(" SELECT file_id, round(score, 6) AS score, name_matched, match_kind FROM ", 1)
+    ctes = ctes.replace("f.status <> 'denied'", f"f.status <> 'denied' AND f.ext <> 'swift' AND (f.ext <> 'md' OR f.indexed_mtime > {_REVOKED_AT})")
+    ctes = ctes.replace("SELECT f.*, s.availability,", "SELECT f.*, f.ext = 'csv' OR coalesce(abs(f.indexed_mtime - f.mtime) > 1e-6, false) AS stale, CASE WHEN f.ext = 'csv' THEN 'offline' ELSE s.availability END AS availability,")
+    asked = " UNION ALL ".join(f"SELECT file_id, passage_id FROM (SELECT a.file_id, passage_id, row_number() OVER (ORDER BY relevance, a.file_id) - 1 AS r FROM rep_{t} JOIN vis_{t} a USING (content_id) WHERE availability <> 'offline' OR offline_content) WHERE r < 360" for t in "do")
+    return f"""{ctes}, res AS (SELECT * FROM {final}), asked AS ({asked}), vis AS (SELECT * FROM vis_d UNION ALL SELECT * FROM vis_o), met AS (
+  SELECT file_id, p.passage_id, p.text, p.ordinal, row_number() OVER (PARTITION BY file_id ORDER BY coalesce(p.passage_id = a.passage_id, false) DESC, p.ordinal) AS n
+  FROM res JOIN vis v USING (file_id) JOIN passages_ p USING (content_id) LEFT JOIN asked a USING (file_id) WHERE v.availability <> 'offline' OR v.offline_content)
+SELECT r.file_id, round(r.score, 6) AS score, r.match_kind, v.stale, CASE WHEN m.passage_id IS NULL THEN [] ELSE [m.passage_id] END AS passage_ids, m.text AS passage, CAST(coalesce(m.ordinal, -1) AS BIGINT) AS ordinal
+FROM res r JOIN vis v USING (file_id) LEFT JOIN (SELECT * FROM met WHERE n = 1) m USING (file_id)"""
+
+
+@query()
+def search_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole request whose results carry passages and hide what may not be read or was revoked."""
+    c = catalog(spark, sf)
+    x = F.col("ext")
+    access = c.files.select("file_id", F.when(x == "swift", "redirected").when(x == "csv", "missing").alias("state")).filter("state IS NOT NULL")
+    revoked = c.files.filter("ext = 'md'").select("file_id", F.lit(_REVOKED_AT).alias("revoked_at"))
+    found = Engine(c, access=access, revoked=revoked).search(_SHOWN)
+    return found.select("file_id", F.round("score", 6).alias("score"), "match_kind", "stale", "passage_ids", "passage", F.coalesce(F.col("ordinal").cast("long"), F.lit(-1).cast("long")).alias("ordinal"))
+
+
+SQL["search_shown"] = _shown_sql()
+
+
+@query("""WITH {cat}, own AS (SELECT p.* FROM passages_ p JOIN files_ f USING (content_id) WHERE f.file_id = 7), hit AS (SELECT max(ordinal) AS last_one FROM own)
+SELECT passage_id, CAST(ordinal AS BIGINT) AS ordinal, text FROM own, hit WHERE ordinal >= greatest(0, last_one - 30) ORDER BY ordinal LIMIT 300""")
+def preview_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The preview of a file around its last passage."""
+    engine = Engine(catalog(spark, sf))
+    last = engine.preview(7).agg(F.max_by("passage_id", "ordinal")).first()[0]
+    return engine.preview(7, last).select("passage_id", F.col("ordinal").cast("long").alias("ordinal"), "text")
+
+
 _OPENS_SQL = """o AS (SELECT query, path, count(*) AS n, max(epoch(ts)) AS last_open FROM (SELECT event_type AS query, '/f/' || (user_id % 40) AS path, ts FROM events) GROUP BY query, path)"""
 
 

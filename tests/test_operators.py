@@ -228,3 +228,17 @@ def test_metadata_owner_is_the_longest_source(spark):
     paths = spark.createDataFrame([("/v/in/x/report.md", 1.0), ("/v/report.md", 1.0), ("/v/in/off/report.md", 1.0), ("/v/node_modules/report.md", 1.0), ("/v/A.app/report.md", 1.0)], "path string, mtime double")
     got = {(r["path"], r["source_id"]) for r in filters.metadata_hits(paths, sources, SearchRequest("report")).collect()}
     assert got == {("/v/in/x/report.md", "b"), ("/v/report.md", "a"), ("/v/in/off/report.md", "b")}
+
+
+def test_search_shows_passages_and_respects_access(spark):
+    files = [(1, "budget.md"), (2, "other.md"), (3, "gone.md"), (4, "moved.md")]
+    c = _catalog(spark, files, [(10, "c1", 0, "first words"), (11, "c1", 1, "the budget of the year"), (20, "c2", 0, "budget budget"), (30, "c3", 0, "budget"), (40, "c4", 0, "budget here")])
+    access = spark.createDataFrame([(3, "denied"), (4, "missing")], "file_id long, state string")
+    plain = {r["file_id"]: r for r in Engine(c).search(SearchRequest("budget")).collect()}
+    assert set(plain) == {1, 2, 3, 4} and plain[1]["passage_ids"] == [11] and plain[1]["passage"] == "the budget of the year" and plain[2]["ordinal"] == 0
+    held = {r["file_id"]: r for r in Engine(c, access=access).search(SearchRequest("budget")).collect()}
+    assert 3 not in held and (4 not in held or held[4]["passage"] is None)
+    recent = {r["file_id"]: r["passage"] for r in Engine(c).search(SearchRequest("")).collect()}
+    assert recent[1] == "first words"
+    revoked = spark.createDataFrame([(2, 1e12)], "file_id long, revoked_at double")
+    assert 2 not in {r["file_id"] for r in Engine(c, revoked=revoked).search(SearchRequest("budget")).collect()}
