@@ -149,6 +149,60 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op9_sql() -> str:
+    """Windows as strings instead of hashes. RE2 has no looking around: what would be looked at is matched and put
+    back, twice, as neighbours may share it."""
+    d = decontaminate
+    name, unit = "'([\\p{L}\\p{N},;][ \\n])(\\p{Lu}\\p{Ll}+)', '\\1' || chr(1) || '\\2', 'g'", f"'(?i)(\\x02[0-9.,]+) ?({'|'.join(d.UNITS)})([^\\p{{L}}\\p{{N}}]|$)', '\\1 ' || chr(3) || '\\2\\3', 'g'"
+
+    def tokens(text: str) -> str:
+        t = f"regexp_replace(coalesce({text}, ''), '[\\x01-\\x03]', ' ', 'g')"
+        t = f"regexp_replace(regexp_replace({t}, {name}), {name})"
+        t = f"regexp_replace({t}, '[0-9]+(?:[.,][0-9]+)*', chr(2) || '\\0', 'g')"
+        t = f"regexp_replace(regexp_replace({t}, {unit}), {unit})"
+        return f"regexp_extract_all(lower({t}), '\\x02[0-9]+(?:[.,][0-9]+)*|[\\x01\\x03]?[\\p{{L}}\\p{{M}}]+')"
+
+    folded = "CASE WHEN x < chr(2) THEN x[2:] ELSE x END"
+    lists = f"""toks, len(toks) AS size, list_transform(toks, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS named,
+         list_transform(toks, lambda x: {folded}) AS exact, list_transform(list_transform(toks, lambda x: {folded}), lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS plain"""
+    window = lambda c, width=d.WINDOW: f"array_to_string({c}[pos + 1 : pos + {width}], ' ')"
+    at = f"unnest(range(greatest(size - {d.WINDOW - 1}, 1))) AS pos"
+    return f"""
+WITH d AS (SELECT doc_id, {lists} FROM (SELECT doc_id, {tokens("text")} AS toks FROM documents WHERE doc_id IS NOT NULL) WHERE len(toks) > 0),
+b AS (SELECT item_id, {lists} FROM (SELECT item_id, {tokens("text")} AS toks FROM benchmark WHERE item_id IS NOT NULL) WHERE len(toks) > 0),
+iw AS (SELECT *, len(list_filter(toks[pos + 1 : pos + {d.WINDOW}], lambda x: x >= chr(4))) AS words, len(list_filter(exact[pos + 1 : pos + {d.WINDOW}], lambda x: x >= chr(4))) AS plain_words FROM (SELECT *, {at} FROM b)),
+used AS (
+  SELECT item_id, 0 AS kind, pos AS item_at, {window("named")} AS h FROM iw WHERE words >= {d.WORDS} UNION
+  SELECT item_id, 1, pos, CASE WHEN plain_words >= {d.WORDS} THEN {window("plain")} ELSE {window("exact")} END FROM iw WHERE size >= {d.WINDOW} UNION
+  SELECT item_id, 2, 0, array_to_string(exact, ' ') FROM b WHERE size < {d.WINDOW}
+), wanted AS (SELECT *, count(*) OVER (PARTITION BY item_id, kind) AS n FROM used),
+dw AS (SELECT *, {at} FROM d),
+dh AS (SELECT doc_id, pos, {window("named")} AS h FROM dw UNION SELECT doc_id, pos, {window("plain")} FROM dw UNION SELECT doc_id, pos, {window("exact")} FROM dw),
+short AS (SELECT DISTINCT size AS width FROM b WHERE size < {d.WINDOW}),
+sw AS (SELECT doc_id, exact, width, unnest(range(greatest(size - width + 1, 1))) AS pos FROM d, short),
+met AS (
+  SELECT doc_id, item_id, kind, n, pos - item_at AS shift, item_at FROM dh JOIN wanted USING (h) WHERE kind < 2 UNION
+  SELECT doc_id, item_id, kind, n, pos, 0 FROM (SELECT *, {window("exact", "width")} AS h FROM sw) w JOIN wanted USING (h) JOIN b USING (item_id) WHERE kind = 2 AND b.size = width
+), shifts AS (SELECT doc_id, item_id, kind, n, shift, count(*) AS most FROM met GROUP BY ALL),
+best AS (SELECT doc_id, item_id, kind, n, shift, most FROM shifts QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, kind ORDER BY most DESC, shift) = 1),
+pairs AS (SELECT doc_id, item_id, kind, n, count(DISTINCT item_at) AS covered FROM met GROUP BY ALL),
+found AS (SELECT doc_id, item_id, shift, max(covered / n) AS coverage FROM pairs JOIN best USING (doc_id, item_id, kind, n) WHERE covered >= {d.COVERAGE} * n OR most >= {d.RUN - d.WINDOW + 1} GROUP BY ALL),
+faced AS (
+  SELECT doc_id, item_id, shift, coverage, b.toks[p + 1] AS i, d.toks[p + shift + 1] AS t
+  FROM (SELECT *, unnest(range(greatest(0, -shift), least(bn, dn - shift))) AS p FROM (SELECT f.*, b.size AS bn, d.size AS dn FROM found f JOIN b USING (item_id) JOIN d USING (doc_id))) f JOIN b USING (item_id) JOIN d USING (doc_id)
+), judged AS (
+  SELECT doc_id, item_id, coverage, count(DISTINCT i || ' ' || t) FILTER (i < chr(4) AND i[1] = t[1]) AS slots, count(DISTINCT i) FILTER (i < chr(4) AND i[1] = t[1]) AS left_, count(DISTINCT t) FILTER (i < chr(4) AND i[1] = t[1]) AS right_,
+         count(*) FILTER ({folded.replace("x", "i", 1).replace("x[", "i[").replace("ELSE x", "ELSE i")} = {folded.replace("x", "t", 1).replace("x[", "t[").replace("ELSE x", "ELSE t")}) / count(*) AS literal
+  FROM faced GROUP BY doc_id, item_id, shift, coverage
+)
+SELECT doc_id, item_id, coverage, CAST(slots AS INTEGER) AS slots, slots = left_ AND slots = right_ AS slots_agree, literal FROM judged WHERE slots = left_ AND slots = right_ OR literal >= {d.LITERAL}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY coverage DESC, literal DESC, slots DESC, slots_agree DESC) = 1
+"""
+
+
+OP9_SQL = _op9_sql()
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -162,4 +216,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_secret_scans": OP3_SQL, "op5_quality_rules": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_secret_scans": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL}
