@@ -12,6 +12,7 @@ from lodestack.functions import text as tx
 from lodestack.operators import filters, fulltext, fusion, health, history, incremental, names, relevance, vectors
 from lodestack.operators.filters import SearchRequest
 from lodestack.plans import catalog as cat
+from lodestack.plans import oracles
 from lodestack.plans.catalog import CATALOG_SQL, catalog, read
 from lodestack.runtime import scratch
 from lodestack.sources.snapshots import Snapshots
@@ -252,21 +253,21 @@ def highlight_terms(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", fulltext.highlight(F.col("text"), "the of and").alias("shown"))
 
 
-@query()
+@query(oracles.CHUNK_LINES)
 def chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
     from lodestack.sources.extract import extract
 
     docs = read(spark, sf, "documents")
     made = extract(docs.select(F.concat(F.lit("d."), F.when(F.col("doc_id") % 2 == 0, "md").otherwise("txt")).alias("name"), F.encode("text", "utf-8").alias("content")))
-    return made.select("fingerprint", "extractor", "status", F.inline_outer("passages")).select("fingerprint", "extractor", "status", "ordinal", "text", "location", "line")
+    return made.select("fingerprint", "extractor", "status", F.inline_outer("passages")).select("fingerprint", "extractor", "status", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), "text", "location", F.coalesce("line", F.lit(-1)).alias("line"))
 
 
-@query()
+@query(oracles.HTML_TEXT)
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     from lodestack.sources.extract import extract
 
     made = extract(read(spark, sf, "pages").select(F.lit("page.html").alias("name"), F.encode("html", "utf-8").alias("content")))
-    return made.select("fingerprint", "status", F.inline_outer("passages")).select("fingerprint", "status", "ordinal", "text", "location")
+    return made.select("fingerprint", "status", F.inline_outer("passages")).select("fingerprint", "status", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), "text", "location")
 
 
 # --- names, applications ---------------------------------------------------------------------------------------
@@ -340,19 +341,19 @@ def related_docs(spark: SparkSession, sf: str) -> DataFrame:
     return Engine(catalog(spark, sf)).related(PROBE).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(oracles.pack_roundtrip(PROBE))
 def vector_pack_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     packed = read(spark, sf, "embeddings").select("vec_id", "embedding", vectors.pack("embedding").alias("packed"))
     back = packed.select("vec_id", "embedding", F.length("packed").alias("bytes"), vectors.unpack("packed").alias("back"), vectors.packed_cosine(F.col("packed"), _probe(spark, sf)).alias("to_probe"))
     return back.select("vec_id", "bytes", F.round(vectors.cosine(F.col("embedding"), F.col("back")), 6).alias("fidelity"), F.round("to_probe", 6).alias("to_probe"))
 
 
-@query()
+@query(oracles.LSH_BUCKETS)
 def lsh_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", F.explode(vectors.buckets("embedding")).alias("bucket"))
 
 
-@query()
+@query(oracles.multiprobe(PROBE))
 def lsh_multiprobe(spark: SparkSession, sf: str) -> DataFrame:
     held = read(spark, sf, "embeddings").select(F.col("vec_id").alias("passage_id"), F.explode(vectors.buckets("embedding")).alias("bucket"))
     return vectors.bucket_candidates(held, _probe(spark, sf))
