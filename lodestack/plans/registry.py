@@ -270,6 +270,33 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("fingerprint", "status", F.inline_outer("passages")).select("fingerprint", "status", F.coalesce("ordinal", F.lit(-1)).alias("ordinal"), "text", "location")
 
 
+@query("""WITH l AS (SELECT n_regionkey, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS line FROM nation), c AS (
+  SELECT n_regionkey, line, 'A' || line AS cell, n_name AS v FROM l UNION ALL SELECT n_regionkey, line, 'B' || line, CAST(n_nationkey AS VARCHAR) || ',' || n_name FROM l
+  UNION ALL SELECT r_regionkey, 1, 'A1', 'name' FROM region UNION ALL SELECT r_regionkey, 1, 'B1', 'key' FROM region)
+SELECT n_regionkey AS region, cell, cell || ': ' || v AS text, 'CSV · ' || cell || ' · line ' || line AS location, CAST(line AS INTEGER) AS line FROM c""")
+def delimited_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of one delimited file per region; the second column is quoted and holds the delimiter."""
+    from lodestack.sources.extract import extract
+
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.concat(r["n_name"], F.lit(',"'), r["n_nationkey"].cast("string"), F.lit(","), r["n_name"], F.lit('"')))
+    made = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("name,key\n"), F.array_join(rows, "\n")).alias("text"))
+    held = made.select("n_regionkey", F.sha2("text", 256).alias("fingerprint"), F.encode("text", "utf-8").alias("content"))
+    found = extract(held.select(F.lit("table.csv").alias("name"), "content")).select("fingerprint", F.inline("passages"))
+    return found.join(held.select("n_regionkey", "fingerprint"), "fingerprint").select(F.col("n_regionkey").alias("region"), "cell", "text", "location", "line")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'fresh words of document ' || doc_id ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),
+w AS (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS places FROM w GROUP BY term""")
+def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """An index after every tenth document changed and every next one went."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    changed = docs.filter(i % 10 == 0).select("doc_id", F.concat(F.lit("fresh words of document "), i).alias("text"))
+    index = fulltext.postings(docs, "doc_id", ["text"])
+    now = fulltext.refresh(index, "doc_id", docs.filter(i % 10 < 2), fulltext.postings(changed, "doc_id", ["text"]))
+    return now.groupBy("term").agg(F.count_distinct("doc_id").alias("documents"), F.sum(F.size("places")).alias("places"))
+
+
 # --- names, applications ---------------------------------------------------------------------------------------
 
 
