@@ -118,14 +118,59 @@ def unpack_one(b: bytes | None) -> np.ndarray:
     return none if unit is None else unit
 
 
+def _by_length(rows, least: int = 1) -> list[tuple[list[int], int]]:
+    """(places, length) of a batch's rows that aren't null, by their length."""
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(rows):
+        if x is not None and len(x) >= least:
+            at.setdefault(len(x), []).append(i)
+    return [(own, n) for n, own in at.items()]
+
+
+def _units(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of a matrix as floats, and which rows are valid vectors."""
+    m = np.asarray(m, np.float64)
+    top = np.abs(m).max(axis=1)
+    good = np.isfinite(m).all(axis=1) & (top > 0) & (m.shape[1] <= MOST_DIMENSIONS)
+    m = m[good] / top[good, None]
+    return (m / np.sqrt((m * m).sum(axis=1))[:, None]).astype(np.float32), good
+
+
+def _packed(rows: pd.Series) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, bytes, scales) of a batch's well-formed packed vectors, one matrix per dimension."""
+    out = []
+    for own, size in _by_length(rows, 13):
+        raw = np.frombuffer(b"".join(rows.iloc[i] for i in own), np.uint8).reshape(-1, size)
+        n, scale = raw[:, 4:8].copy().view("<u4")[:, 0], raw[:, 8:12].copy().view("<f4")[:, 0]
+        q = raw[:, 12:].view(np.int8)
+        good = (raw[:, :4] == np.frombuffer(MAGIC, np.uint8)).all(axis=1) & (n == size - 12) & (n <= MOST_DIMENSIONS) & np.isfinite(scale) & (scale > 0) & (scale <= 1) & (q != -128).all(axis=1) & (q != 0).any(axis=1)
+        out.append((np.array(own)[good], q[good], scale[good]))
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def pack(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: b"" if x is None else pack_one(x))
+    """Packed vectors of a batch, a matrix per dimension; empty for invalid ones."""
+    out = [b""] * len(v)
+    for own, n in _by_length(v):
+        unit, good = _units(np.stack([v.iloc[i] for i in own]))
+        scale = (np.abs(unit).max(axis=1) / np.float32(127))[:, None] if len(unit) else np.zeros((0, 1), np.float32)
+        q = unit / scale
+        q = np.clip(np.sign(q) * np.floor(np.abs(q) + np.float32(0.5)), -127, 127).astype(np.int8)
+        for i, row, s in zip(np.array(own)[good], q, scale[:, 0], strict=True):
+            out[i] = MAGIC + struct.pack("<If", n, s) + row.tobytes()
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: unpack_one(x).tolist())
+    """Unit vectors of a batch of packed ones; empty for malformed bytes."""
+    out: list = [np.zeros(0, np.float32)] * len(b)
+    for own, q, scale in _packed(b):
+        unit, good = _units(q.astype(np.float32) * scale[:, None])
+        for i, row in zip(own[good], unit, strict=True):
+            out[i] = row
+    return pd.Series(out)
 
 
 def packed_cosine(packed: Column, query) -> Column:
@@ -135,11 +180,10 @@ def packed_cosine(packed: Column, query) -> Column:
     @F.pandas_udf("double")
     def kernel(column: pd.Series) -> pd.Series:
         out = np.full(len(column), -2.0)
-        if q is not None:
-            good = [i for i, b in enumerate(column) if b is not None and len(b) == 12 + len(q) and len(unpack_one(b))]
-            if good:
-                m = np.stack([np.frombuffer(column.iloc[i], np.int8, -1, 12) for i in good]).astype(np.float64)
-                out[good] = np.clip(m @ q.astype(np.float64) / np.sqrt((m * m).sum(axis=1)), -1, 1)
+        for own, m, _ in _packed(column) if q is not None else ():
+            if m.shape[1] == len(q) and len(own):
+                m = m.astype(np.float64)
+                out[own] = np.clip(m @ q.astype(np.float64) / np.sqrt((m * m).sum(axis=1)), -1, 1)
         return pd.Series(out)
 
     return kernel(packed)
@@ -179,12 +223,13 @@ def buckets_of(v) -> list[int]:
 def buckets(v: pd.Series) -> pd.Series:
     """One key per table, made for a whole batch by one matrix product per dimension."""
     out: list[list[int]] = [[] for _ in range(len(v))]
-    units = [_unit(x) if x is not None else None for x in v]
-    for n in {len(u) for u in units if u is not None}:
-        own = [i for i, u in enumerate(units) if u is not None and len(u) == n]
-        bits, _ = _signatures(np.stack([units[i] for i in own]))
-        for i, row in zip(own, bits, strict=True):
-            out[i] = [(t << BITS) | int(b) for t, b in enumerate(row)]
+    for own, _ in _by_length(v):
+        units, good = _units(np.stack([v.iloc[i] for i in own]))
+        if len(units):
+            bits, _ = _signatures(units)
+            keys = (np.arange(TABLES) << BITS) | bits
+            for i, row in zip(np.array(own)[good], keys.tolist(), strict=True):
+                out[i] = row
     return pd.Series(out)
 
 
