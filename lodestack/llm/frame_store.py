@@ -1,10 +1,12 @@
 """Operator 7: token ids in independent zstandard frames with a trailing seek table.
 
-A store is a folder of shards ``ids-00000.zst``. A shard is a plain zstandard file:
+A store is a folder of shards ``ids-00000-<attempt>.zst``, named by a manifest. A shard is a plain zstandard file:
 
 * data frames, each holding a run of documents (at most FRAME_IDS ids, or one longer document):
-  u32 n, n x i64 document key, n x u32 length, then all ids as u32, little-endian throughout;
-* one skippable frame, the document index: per data frame its number of documents and first key, last key;
+  u32 n, n x i64 document key, n x u32 length (highest bit set: a document without key), then all ids as u32,
+  little-endian throughout;
+* one skippable frame, the document index: per data frame its number of documents (highest bit set: some have no
+  key), and the first and last key of the others (first above last where there are none);
 * one skippable frame, the seek table: per frame its compressed size, decompressed size and the low 32 bits
   of the XXH64 of its decompressed bytes; then the number of frames, a descriptor byte and a magic number.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -36,8 +39,7 @@ from lodestack.runtime import scratch
 FRAME_IDS = 65_536
 #: Fixed values of the public zstandard seekable format.
 SKIPPABLE, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
-INDEX_SKIPPABLE = 0x184D2A50
-NULL_KEY = -(1 << 63)
+INDEX_SKIPPABLE, KEYLESS = 0x184D2A50, 1 << 31
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -54,7 +56,7 @@ class ShardWriter:
         self.sink = sink
         self.entries: list[tuple[int, int, int]] = []
         self.index: list[tuple[int, int, int]] = []
-        self.keys: list[int] = []
+        self.keys: list[int | None] = []
         self.ids: list[np.ndarray] = []
         self.held = 0
         self.documents = self.total = 0
@@ -63,18 +65,20 @@ class ShardWriter:
     def add(self, key: int | None, ids: np.ndarray) -> None:
         if self.keys and self.held + len(ids) > FRAME_IDS:
             self.flush()
-        self.keys.append(NULL_KEY if key is None else key)
+        self.keys.append(key)
         self.ids.append(ids)
         self.held += len(ids)
 
     def flush(self) -> None:
         if not self.keys:
             return
-        raw = b"".join([struct.pack("<I", len(self.keys)), np.array(self.keys, "<i8").tobytes(), np.array([len(x) for x in self.ids], "<u4").tobytes(), np.concatenate(self.ids).astype("<u4").tobytes()])
+        known = [k for k in self.keys if k is not None]
+        lengths = [len(x) | (KEYLESS if k is None else 0) for k, x in zip(self.keys, self.ids, strict=True)]
+        raw = b"".join([struct.pack("<I", len(self.keys)), np.array([k or 0 for k in self.keys], "<i8").tobytes(), np.array(lengths, "<u4").tobytes(), np.concatenate(self.ids).astype("<u4").tobytes()])
         packed = self.pack.compress(raw)
         self.sink.write(packed)
         self.entries.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-        self.index.append((len(self.keys), self.keys[0], self.keys[-1]))
+        self.index.append((len(self.keys) | (KEYLESS if len(known) < len(self.keys) else 0), *((min(known), max(known)) if known else (1, 0))))
         self.documents += len(self.keys)
         self.total += self.held
         self.keys, self.ids, self.held = [], [], 0
@@ -109,20 +113,22 @@ class ShardReader:
             raise ValueError(f"frame {i} is damaged")
         (n,) = struct.unpack_from("<I", raw)
         keys = np.frombuffer(raw, "<i8", n, 4)
-        lengths = np.frombuffer(raw, "<u4", n, 4 + 8 * n).astype(np.int64)
+        marked = np.frombuffer(raw, "<u4", n, 4 + 8 * n)
+        lengths = (marked & ~np.uint32(KEYLESS)).astype(np.int64)
         ids = np.frombuffer(raw, "<u4", -1, 4 + 12 * n)
         ends = np.cumsum(lengths)
-        for key, a, b in zip(keys.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
-            yield (None if key == NULL_KEY else key), ids[a:b]
+        for key, keyless, a, b in zip(keys.tolist(), (marked >= KEYLESS).tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+            yield (None if keyless else key), ids[a:b]
 
     def lookup(self, keys: Iterable[int | None]) -> dict[int | None, list[np.ndarray]]:
         """The ids of the wanted documents; only frames whose key range holds one are decompressed."""
-        want = {NULL_KEY if k is None else k for k in keys}
+        want = set(keys)
+        known = sorted(k for k in want if k is not None)
         out: dict[int | None, list[np.ndarray]] = {}
-        for i, (_, first, last) in enumerate(self.index):
-            if any(first <= k <= last for k in want):
+        for i, (n, first, last) in enumerate(self.index):
+            if n >= KEYLESS and None in want or bisect_left(known, first) < bisect_right(known, last):
                 for key, ids in self.frame(i):
-                    if (NULL_KEY if key is None else key) in want:
+                    if key in want:
                         out.setdefault(key, []).append(ids)
         return out
 
@@ -141,10 +147,11 @@ def _table(name: str) -> WordTable:
 def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", name: str = TOKENIZER, end_id: int = 2) -> DataFrame:
     """Encode the rows of docs, in ascending key order, into a store at path; returns its manifest.
 
-    One range shuffle of the texts by key (rows of equal key are ordered by text). Each task writes one shard
-    under a name of its attempt and renames it when complete, so a repeated task replaces equal bytes. Null
-    keys come first; null texts are empty (only the end id); repeated rows stay. The manifest has a row per
-    shard: shard, file, documents, ids, start (ids of all earlier shards).
+    One range shuffle of the texts by key (rows of equal key are ordered by text). Each attempt of a task writes a
+    shard under a name of its own, and the manifest names that of the attempt which counted; others, of tasks that
+    were repeated or ran twice at once, are never read. Null keys come first; null texts are empty (only the end id);
+    very long texts make a frame of their own; repeated rows stay; an empty table gives an empty store. The manifest
+    has a row per shard: shard, file, documents, ids, start (ids of all earlier shards).
     """
     spark = docs.sparkSession
     ordered = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
@@ -158,8 +165,8 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 if sink is None:
                     fs, root = open_fs(path)
                     fs.create_dir(root, recursive=True)
-                    final, part = f"{root}/ids-{shard:05d}.zst", f"{root}/.{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(part)
+                    shard_file = f"ids-{shard:05d}-{uuid.uuid4().hex}.zst"
+                    sink = fs.open_output_stream(f"{root}/{shard_file}", compression=None)
                     writer = ShardWriter(sink)
                 flat, n = table.token_ids(texts)
                 ends = np.cumsum(n).tolist()
@@ -168,12 +175,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
         if sink is not None:
             writer.close()
             sink.close()
-            try:
-                fs.move(part, final)
-            except OSError:  # some stores don't replace: an earlier attempt of this task left the same bytes
-                fs.delete_file(final)
-                fs.move(part, final)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [final.rsplit("/", 1)[1]], "documents": pa.array([writer.documents], pa.int64()), "ids": pa.array([writer.total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [shard_file], "documents": pa.array([writer.documents], pa.int64()), "ids": pa.array([writer.total], pa.int64())})
 
     shards = ordered.mapInArrow(run, "shard long, file string, documents long, ids long")
     made = scratch(spark, "manifest")

@@ -132,6 +132,16 @@ def test_shard_reads_only_the_frames_it_needs(tmp_path):
         assert reader.lookup([3])[3][0].tolist() == [3] * 40_000 and seen == [3]
 
 
+def test_any_key_and_none_read_back(tmp_path):
+    least = -(1 << 63)
+    fs = _shard(tmp_path, [(None, [1]), (None, []), (least, [2]), (0, [3] * 70_000), (5, [])])
+    with fs.open_input_file(f"{tmp_path}/s") as f:
+        reader = frame_store.ShardReader(f)
+        assert [(k, len(ids)) for i in range(len(reader.entries)) for k, ids in reader.frame(i)] == [(None, 1), (None, 0), (least, 1), (0, 70_000), (5, 0)]
+        found = reader.lookup([None, least, 7])
+        assert set(found) == {None, least} and [x.tolist() for x in found[None]] == [[1], []]
+
+
 def test_shard_is_plain_zstandard_and_guarded(tmp_path):
     import io
 

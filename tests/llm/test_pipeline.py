@@ -4,19 +4,37 @@ from collections import defaultdict
 
 import corpus_pipeline
 from lodestack.llm.word_bpe import TOKENIZER, library
-from tests.llm.test_text_operators import SPACE, UPPER, classes_by_hand, corpus, measured_by_hand, print_by_hand
+from tests.llm.test_near_copies import pairs_by_hand, shingles_by_hand
+from tests.llm.test_text_operators import SPACE, UPPER, classes_by_hand, corpus, kept_by_hand, print_by_hand
 
 SF = "/root/testdata/sf0.001"
 
 
+def least_of_groups(docs):
+    """Smallest id of each document's group: links of two fingerprint bits or of Jaccard similarity 0.8, over all pairs."""
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = defaultdict(list)
+    for i, t in docs.items():
+        sets[shingles_by_hand(t)].append(i)
+    links = [*pairs_by_hand(list(docs.items())), *((same[0], i) for same in sets.values() for i in same)]
+    links += [(i, r) for i, r in classes_by_hand([(i, print_by_hand(t)) for i, t in docs.items()]).items()]
+    for i, j in links:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in docs}
+
+
 def by_hand(bench):
     import re
 
-    docs = {}
-    for i, t, _ in corpus():
-        n, _, _, _, repeated = measured_by_hand(t)
-        if not (n < 10 or 100 * repeated > 20 * n):
-            docs[i] = t
+    kept = kept_by_hand(corpus())
+    docs = {i: t for i, t, _ in corpus() if i in kept}
     holders = defaultdict(set)
     key = lambda x: x.strip(SPACE).translate(UPPER)
     for i, t in docs.items():
@@ -24,7 +42,7 @@ def by_hand(bench):
             holders[key(x)].add(i)
     lost = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= 5}
     docs = {i: "\n".join(x for x in t.split("\n") if lost.get(key(x), i) == i) for i, t in docs.items()}
-    roots = classes_by_hand([(i, print_by_hand(t)) for i, t in docs.items()])
+    roots = least_of_groups(docs)
     docs = {i: t for i, t in docs.items() if roots[i] == i}
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     return {i: t for i, t in docs.items() if not any(f" {words(b)} " in f" {words(t)} " for b in bench)}
@@ -60,3 +78,26 @@ def test_null_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 3]
+
+
+def test_rows_are_told_apart_by_key_and_text(spark):
+    words = [f"w{i}" for i in range(300)]
+    one, two = " ".join(words), " ".join(reversed(words))
+    near = " ".join([*words[:150], "edited", *words[151:]])
+    rows = [(1, one, "en", "b", 1), (1, one, "de", "a", 1), (1, two, "en", "s", 1), (None, near, "en", "s", 1), (None, "some words of its own", None, None, None), (None, "some words of its own", None, None, None)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    got = sorted(((r["doc_id"] or 0), r["text"], r["source"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [(0, "some words of its own", None), (1, one, "a"), (1, two, "s")]
+
+
+def test_rows_without_key_leak_too(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, f"before it {item} after it", None, None, 1), (None, "a clean text", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["text"] for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()] == ["a clean text"]
+
+
+def test_missing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text of more than ten words that is neither short nor repeated at all")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 1
