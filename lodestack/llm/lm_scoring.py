@@ -41,7 +41,9 @@ from lodestack.llm.tables import pieces
 from lodestack.runtime import discard, materialize
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
-BLOCK_TOKENS, RANGE_TOKENS, RANGES = 500_000, 2_000_000, 64
+BLOCK_TOKENS, RANGE_TOKENS, RANGES = 1_000_000, 2_000_000, 512
+#: Bits of the hashes of words, and of bigrams and trigrams: 10^12 of these meet in about 7 million pairs.
+BITS, GRAM_BITS = 64, 56
 #: EM ends when no weight moves by more than TOLERANCE, or after ROUNDS.
 BUCKETS, ROUNDS, TOLERANCE = 24, 40, 1e-3
 #: Hashes of the end token and of the start context.
@@ -103,10 +105,10 @@ def blocks(docs: DataFrame, key: str, text: str, block_tokens: int = BLOCK_TOKEN
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each pair of hashes, in order."""
+    """A hash of each pair of hashes, in order, of GRAM_BITS."""
     h = (left * _MIX) ^ ((right ^ (right >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (left >> np.uint64(31)))
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(64 - GRAM_BITS)
 
 
 class Block:
@@ -147,13 +149,13 @@ class Block:
         return {c: np.bincount(at[own], minlength=size).astype(np.uint32) for c, own in (("train", fold != HELD_OUT), ("tuning", fold == TUNING), ("held", fold == HELD_OUT))}
 
 
-def _by_range(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _by_range(kind: str, hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(range, order, hashes): entries by even range of their hashes, ascending."""
     if not len(hashes):
         return
     order = np.argsort(hashes)
     sorted_ = hashes[order]
-    which = (sorted_ >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    which = (sorted_ >> np.uint64((BITS if kind == "word" else GRAM_BITS) - 32)) * np.uint64(ranges) >> np.uint64(32)
     used, cuts = np.unique(which, return_index=True)
     for r, own, h in zip(used.tolist(), np.split(order, cuts[1:]), np.split(sorted_, cuts[1:]), strict=True):
         yield int(r), own, h
@@ -183,7 +185,7 @@ def totals(found: DataFrame, kinds: tuple[str, ...], ranges: int) -> DataFrame:
             for row in frame.to_dict("records"):
                 for kind in kinds:
                     _, hashes, counted = _entries(row, kind)
-                    out = [(row["block"], kind, r, _pack(np.diff(h, prepend=np.uint64(0))), *(_pack(c[own]) for c in counted.values())) for r, own, h in _by_range(hashes, ranges)]
+                    out = [(row["block"], kind, r, _pack(np.diff(h, prepend=np.uint64(0))), *(_pack(c[own]) for c in counted.values())) for r, own, h in _by_range(kind, hashes, ranges)]
                     yield pd.DataFrame(out, columns=["block", "kind", "range", "hashes", "train", "tuning", "held"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -221,7 +223,7 @@ def resolved(found: DataFrame, total: DataFrame, kinds: tuple[str, ...], ranges:
                 for kind in kinds:
                     _, hashes, _ = _entries(row, kind)
                     placed = {c: np.zeros(len(hashes), t) for c, t in (("train", np.int64), ("tuning", np.int64), ("alone", np.uint8))}
-                    for r, order, _ in _by_range(hashes, ranges):
+                    for r, order, _ in _by_range(kind, hashes, ranges):
                         for c, x in placed.items():
                             x[order] = _unpack(parts[kind, r][c], x.dtype)
                     out |= {f"{kind}_{c}": _pack(x) for c, x in placed.items()}
