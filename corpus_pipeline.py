@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import bpe_codec, decontaminate, line_dedup, near_copies, quality_rules
 from lodestack.llm.tables import table
-from lodestack.runtime import importable, materialize
+from lodestack.runtime import discard, importable, materialize
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
@@ -93,8 +93,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES applied to documents, each written to the shared folder and read by the next; a table goes once it is read."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if read is not None:
+            discard(read)
+        read = docs
     return STAGES[-1][1](spark, docs, sf_dir)
