@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,7 +80,8 @@ class Engine:
         stale, passage_ids (up to three, best first), passage (text of the first), ordinal (its place).
 
         Category all fills up: documents first, then other files; every channel's limit holds per category. Without a
-        query, and for files found by name alone, the passage is the file's first.
+        query, and for files found by name alone, the passage is the file's first. A request without passages, or for
+        names only, is one lazy plan and has no passage and ordinal.
         """
         if request.category == "all":
             parts = [self._search(replace(request, category=c)) for c in ("documents", "other")]
@@ -87,7 +89,11 @@ class Engine:
             parts = [self._search(request)]
         order = fusion.final_order() if request.query.strip() else [F.desc("mtime"), F.col("file_id")]
         rows = fusion.fill(parts, request.clamped, order)
-        return rows.drop("content_id", "shows", "part") if request.names_only else self._with_passage(rows, order)
+        if request.names_only or not request.passages:
+            return rows.drop("content_id", "shows", "part")
+        # The ranked rows, 100 at most, are fetched first: named twice in one plan, they would be searched for twice.
+        held = self.catalog.files.sparkSession.createDataFrame(rows.collect(), rows.schema)
+        return self._with_passage(held, order)
 
     def _with_passage(self, rows: DataFrame, order: list) -> DataFrame:
         """rows with the passage to show: the first of passage_ids, else the file's first where its content may be shown."""
@@ -191,8 +197,8 @@ class Engine:
         return health.statistics(self.catalog.files, self.catalog.passages, self.catalog.vectors)
 
 
-def within(spark: SparkSession, df: DataFrame, seconds: float):
-    """df's rows, or TimedOut once the budget is over; the query's own jobs are then cancelled and no others."""
+def within(spark: SparkSession, query: DataFrame | Callable[[], DataFrame], seconds: float):
+    """A query's rows, or TimedOut once the budget is over; the query's own jobs are then cancelled and no others."""
     import threading
     import uuid
 
@@ -207,7 +213,7 @@ def within(spark: SparkSession, df: DataFrame, seconds: float):
     spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
-        rows = df.collect()
+        rows = (query() if callable(query) else query).collect()
         if late.is_set():
             raise TimedOut(f"more than {seconds} s")
         return rows
@@ -225,16 +231,16 @@ def within(spark: SparkSession, df: DataFrame, seconds: float):
 def profile(engine: Engine, request: SearchRequest) -> str:
     """One JSON line: milliseconds of each part of a request's plan, run by itself, and of the whole."""
 
-    def timed(df: DataFrame) -> dict:
+    def timed(query: Callable[[], DataFrame]) -> dict:
         began = time.perf_counter()
-        rows = len(df.collect())
+        rows = len(query().collect())
         return {"ms": round((time.perf_counter() - began) * 1000, 3), "rows": rows}
 
     c = replace(request, category="documents") if request.category == "all" else request
-    stages = {"filter": timed(engine._visible(c).agg(F.count(F.lit(1))))}
+    stages = {"filter": timed(lambda: engine._visible(c).agg(F.count(F.lit(1))))}
     if request.query.strip():
-        stages["channels"] = timed(engine.hits(c))
-    total = timed(engine.search(request))
+        stages["channels"] = timed(lambda: engine.hits(c))
+    total = timed(lambda: engine.search(request))
     return json.dumps({"query": request.query, "mode": request.mode, "total_ms": total["ms"], "rows": total["rows"], "stages": stages})
 
 
@@ -266,15 +272,15 @@ def search_channels(engine: Engine, request: SearchRequest, metadata: DataFrame
     from concurrent.futures import ThreadPoolExecutor, as_completed
 
     spark = engine.catalog.files.sparkSession
-    calls = {"content": (engine.search(request), FULL_SECONDS)}
+    calls = {"content": (lambda: engine.search(request), FULL_SECONDS)}
     if request.mode != "semantic":
-        calls = {"names": (engine.search(replace(request, names_only=True)), NAMES_SECONDS)} | ({"metadata": (metadata, NAMES_SECONDS)} if metadata is not None else {}) | calls
+        calls = {"names": (lambda: engine.search(replace(request, names_only=True)), NAMES_SECONDS)} | ({"metadata": (metadata, NAMES_SECONDS)} if metadata is not None else {}) | calls
     arrived: dict[str, list] = {}
     ranked: list = []
     late = False
 
     with ThreadPoolExecutor(len(calls)) as pool:
-        waiting = {pool.submit(within, spark, df, seconds): name for name, (df, seconds) in calls.items()}
+        waiting = {pool.submit(within, spark, query, seconds): name for name, (query, seconds) in calls.items()}
         for done in as_completed(waiting):
             try:
                 rows = done.result()

@@ -35,6 +35,7 @@ class SearchRequest:
     modified_after: float | None = None
     file_ids: tuple[int, ...] | None = None
     names_only: bool = False
+    passages: bool = True
     vector: tuple[float, ...] | None = field(default=None, repr=False)
 
     def __post_init__(self):

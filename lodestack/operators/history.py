@@ -15,6 +15,13 @@ def opens(events: DataFrame) -> DataFrame:
     return events.withColumn("query", q).filter("query <> ''").groupBy("query", "path").agg(F.count(F.lit(1)).alias("count"), F.max("at").alias("last_open"))
 
 
+def record(opened: DataFrame, events: DataFrame, now: float) -> DataFrame:
+    """The stored counters after more opens; those not opened within the horizon are erased."""
+    both = opened.select("query", "path", "count", "last_open").unionByName(opens(events))
+    summed = both.groupBy("query", "path").agg(F.sum("count").alias("count"), F.max("last_open").alias("last_open"))
+    return summed.filter(F.col("last_open") > now - HORIZON_DAYS * DAY)
+
+
 def scores(opened: DataFrame, query: str, now: float) -> DataFrame:
     """(path, history): each row's log1p(count), halved every 14 days, a hundredfold for the same query; 90 days back."""
     q = query.strip().lower()[:512]

@@ -51,6 +51,13 @@ def revoke(files: DataFrame, hit: Column) -> DataFrame:
     return files.withColumn("content_id", F.when(~hit, F.col("content_id"))).withColumn("status", F.when(hit, "denied").otherwise(F.col("status")))
 
 
+def revoke_all(files: DataFrame, contents: DataFrame, passages: DataFrame, vectors: DataFrame, jobs: DataFrame, hit: Column) -> tuple[DataFrame, ...]:
+    """revoke() with all that follows: the files' jobs go, and contents, passages and vectors that no file owns any more."""
+    left = revoke(files, hit)
+    waiting = jobs.join(files.filter(hit).select("file_id"), "file_id", "left_anti")
+    return left, *cascade(left, contents, passages, vectors), waiting
+
+
 def retry_delay(attempts: Column) -> Column:
     """Seconds to wait after so many attempts: doubling from 30, a day at most."""
     return F.least(F.lit(float(LONGEST_DELAY)), FIRST_DELAY * F.pow(F.lit(2.0), F.least(F.lit(MOST_DOUBLINGS), attempts)))

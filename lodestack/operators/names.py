@@ -130,18 +130,24 @@ def app_score(names: DataFrame, query: str, name: str = "name") -> DataFrame:
     return sure.unionByName(rest.filter(F.col("_score").isNotNull())).withColumn("score", F.col("_score")).drop("_folded", "_compact", "_tokens", "_score")
 
 
+def natural(name: Column) -> Column:
+    """A key that sorts names without regard to case, and their numbers by value."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+
+
 def app_ranking(apps: DataFrame, query: str) -> DataFrame:
     """Applications that match: apps has (path, name, file_name, bundle_id, running).
 
     One copy per bundle id (else per path), a running one first, then the smallest path; the better of the
-    name's score and the file name's less 10; by score, then name in any case, then path.
+    name's score and the file name's less 10; by score, then name in natural order, then path.
     """
     copy = Window.partitionBy(F.coalesce("bundle_id", "path")).orderBy(F.desc("running"), "path")
     own = apps.withColumn("_n", F.row_number().over(copy)).filter("_n = 1").drop("_n")
     by_name = app_score(own, query)
     by_file = app_score(own, query, "file_name").withColumn("score", F.col("score") - 10)
     best = by_name.unionByName(by_file).groupBy("path", "name").agg(F.max("score").alias("score"))
-    return best.orderBy(F.desc("score"), F.lower("name"), "path")
+    return best.orderBy(F.desc("score"), natural(F.col("name")), "path")
 
 
 def result_identity(kind: Column, path: Column) -> Column:

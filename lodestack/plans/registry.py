@@ -442,10 +442,10 @@ def _search(request: SearchRequest, with_vector: bool = False) -> Query:
 
 
 _REQUESTS = {
-    "hybrid_fusion": (SearchRequest("report thing", limit=100), True),
+    "hybrid_fusion": (SearchRequest("report thing", limit=100, passages=False), True),
     "names_mode": (SearchRequest("meeting-1", mode="names", names_only=True, limit=40), False),
-    "exact_mode": (SearchRequest("of the", mode="exact", category="documents"), False),
-    "semantic_mode": (SearchRequest("anything", mode="semantic", limit=30), True),
+    "exact_mode": (SearchRequest("of the", mode="exact", category="documents", passages=False), False),
+    "semantic_mode": (SearchRequest("anything", mode="semantic", limit=30, passages=False), True),
 }
 for _key, (_request, _with) in _REQUESTS.items():
     QUERIES[_key] = _search(_request, _with)
@@ -629,6 +629,47 @@ def revoke_source(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.revoke(cat.files(read(spark, sf, "documents")), F.col("source_id") == "src4").select("file_id", "status", "content_id")
 
 
+@query("""WITH {cat}, f AS (SELECT * FROM files_ WHERE source_id <> 'src4'), c AS (SELECT DISTINCT content_id FROM f), p AS (SELECT * FROM passages_ WHERE content_id IN (SELECT content_id FROM c))
+SELECT 'denied' AS part, (SELECT count(*) FROM files_ WHERE source_id = 'src4' OR status = 'denied') AS rows UNION ALL SELECT 'contents', (SELECT count(*) FROM c) UNION ALL SELECT 'passages', (SELECT count(*) FROM p)
+UNION ALL SELECT 'vectors', (SELECT count(*) FROM p WHERE ordinal % 2 = 0) UNION ALL SELECT 'jobs', (SELECT count(*) FROM f WHERE status = 'queued')""")
+def revoke_everything(spark: SparkSession, sf: str) -> DataFrame:
+    """A source's access withdrawn: what is left of each table. Every other passage has a vector here."""
+    c = catalog(spark, sf)
+    held = c.passages.filter("ordinal % 2 = 0").select("passage_id", "content_id")
+    files, contents, passages, vecs, jobs = incremental.revoke_all(c.files, c.files.select("content_id").distinct(), c.passages, held, c.files.filter("status = 'queued'").select("file_id"), F.col("source_id") == "src4")
+    parts = (("denied", files.filter("status = 'denied'")), ("contents", contents), ("passages", passages), ("vectors", vecs), ("jobs", jobs))
+    out = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("part"), "rows") for n, t in parts]
+    return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])
+
+
+@query("""WITH e AS (SELECT 's' || (user_id % 7) AS stream, event_id AS position, CASE WHEN user_id % 7 = 3 AND event_id > 500 THEN event_id - 400 ELSE event_id END AS event_id, user_id % 7 = 3 AND event_id % 500 = 0 AS wrapped FROM events),
+w AS (SELECT stream, max(position) AS anew FROM e WHERE wrapped GROUP BY stream), t AS (SELECT e.stream, max(event_id) AS top FROM e LEFT JOIN w USING (stream) WHERE NOT wrapped AND event_id > 0 AND (anew IS NULL OR position > anew) GROUP BY e.stream),
+s AS (SELECT DISTINCT stream, CAST(300 AS BIGINT) AS checkpoint FROM e)
+SELECT stream, greatest(CASE WHEN anew IS NULL THEN checkpoint ELSE 100 END, coalesce(top, 0)) AS checkpoint FROM s LEFT JOIN w USING (stream) LEFT JOIN t USING (stream)""")
+def journal_cursors(spark: SparkSession, sf: str) -> DataFrame:
+    i, k = F.col("event_id"), F.col("user_id") % 7
+    wrapped = (k == 3) & (i % 500 == 0)
+    feed = read(spark, sf, "events").select(F.concat(F.lit("s"), k).alias("stream"), i.alias("position"), F.when(wrapped, journal.IDS_WRAPPED).otherwise(0).alias("flags"), F.when((k == 3) & (i > 500), i - 400).otherwise(i).alias("event_id"))
+    return journal.cursors(feed.select("stream").distinct().withColumn("checkpoint", F.lit(300).cast("long")), feed, 100)
+
+
+@query("""WITH e AS (SELECT event_type AS query, '/f/' || (user_id % 40) AS path, epoch(ts) AS opened FROM events), n AS (SELECT max(opened) + 86400 * 75 AS now_ FROM e)
+SELECT query, path, CAST(count(*) AS BIGINT) AS count, max(opened) AS last_open FROM e GROUP BY query, path HAVING max(opened) > (SELECT now_ FROM n) - 90 * 86400""")
+def history_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored counters of the first half of the opens, then the second half recorded 75 days after the last."""
+    single = _opens(spark, sf)
+    half = single.agg(F.percentile("at", 0.5).alias("half"), F.max("at").alias("last")).first()  # one row
+    early = history.opens(single.filter(F.col("at") <= half["half"]))
+    return history.record(early, single.filter(F.col("at") > half["half"]), half["last"] + 86_400 * 75)
+
+
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY lower(split_part(p_brand, '#', 1)), CAST(regexp_extract(p_brand, '[0-9]+', 0) AS INTEGER), p_partkey) AS place FROM part WHERE regexp_full_match(p_brand, '[^#]*#[0-9]+')""")
+def natural_order(spark: SparkSession, sf: str) -> DataFrame:
+    p = read(spark, sf, "part").filter(F.col("p_brand").rlike("^[^#]*#[0-9]+$"))
+    w = Window.partitionBy("p_size").orderBy(names.natural(F.col("p_brand")), "p_partkey")
+    return p.select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+
+
 @query("""WITH p AS (SELECT DISTINCT regexp_replace(split_part(regexp_replace(url, '^https?://', ''), '?', 1), '#.*$', '') AS scope FROM pages), s AS (SELECT DISTINCT CASE WHEN starts_with(scope, '/') OR list_contains(string_split(scope, '/'), '..') THEN '' ELSE scope END AS scope FROM
   (SELECT scope FROM p UNION SELECT regexp_extract(scope, '^[^/]*/[^/]*', 0) FROM p WHERE scope LIKE '%7%'))
 SELECT scope FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.scope <> a.scope AND (b.scope = '' OR starts_with(a.scope, b.scope || '/')))""")

@@ -52,6 +52,17 @@ def capture(pending: DataFrame, routed: DataFrame, limit: int = MOST_PENDING) ->
     return rest.unionByName(full.select("stream", F.lit("").alias("scope"), F.col("last").alias("id")))
 
 
+def cursors(streams: DataFrame, events: DataFrame, current: int) -> DataFrame:
+    """(stream, checkpoint) after a batch: the largest event id seen, never less than before. Where ids began anew (the
+    wrapped flag), counting goes on from the current id and the events after that; events has (stream, position, event_id, flags)."""
+    wrapped = F.col("flags").bitwiseAND(IDS_WRAPPED) != 0
+    anew = events.filter(wrapped).groupBy("stream").agg(F.max("position").alias("anew"))
+    later = events.filter(~wrapped & (F.col("event_id") > 0)).join(anew, "stream", "left").filter(F.col("anew").isNull() | (F.col("position") > F.col("anew")))
+    top = later.groupBy("stream").agg(F.max("event_id").alias("top"))
+    held = streams.select("stream", "checkpoint").join(anew, "stream", "left").join(top, "stream", "left")
+    return held.select("stream", F.greatest(F.when(F.col("anew").isNotNull(), F.lit(current)).otherwise(F.col("checkpoint")), F.col("top")).alias("checkpoint"))
+
+
 def acknowledge(pending: DataFrame, stream: str, through: int) -> DataFrame:
     """What stays after a scan: scopes named since its batch was taken."""
     return pending.filter((F.col("stream") != stream) | (F.col("id") > through))
