@@ -113,7 +113,8 @@ def _ends(counts: np.ndarray):
 def encode(docs: DataFrame, text: str = "text", name: str = TOKENIZER, ids: str = "ids") -> DataFrame:
     """docs' columns with an array<int> column of token ids added (a column of that name is replaced).
 
-    No shuffle. Null and empty texts get an empty array; repeated rows stay; empty tables stay empty.
+    No shuffle. Null and empty texts get an empty array; very long texts and single words are encoded whole, in linear
+    time; repeated rows stay; empty tables stay empty. Other columns are carried as they are.
     """
     own = [c for c in docs.columns if c != ids]
     docs = docs.select(*[docs[c] for c in own])
@@ -147,7 +148,8 @@ def decode(encoded: DataFrame, ids: str = "ids", name: str = TOKENIZER, text: st
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = TOKENIZER) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 and decoded_sha256 of encode() followed by decode(), in one pass.
 
-    Null and empty texts have no ids and decode to the empty text; a null key stays null; repeated rows stay.
+    Null and empty texts have no ids and decode to the empty text; a null key stays null; very long texts are whole;
+    repeated rows stay; empty tables stay empty. Only key and text are read, so other columns can't clash.
     """
     docs = docs.select(docs[key], docs[text])
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]

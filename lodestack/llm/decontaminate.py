@@ -26,12 +26,13 @@ WINDOW, COVERAGE, RUN, LITERAL = 8, 0.5, 20, 0.9
 WORDS = 4
 # Units that count as such after a number.
 UNITS = (
-    "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
-    "mg g kg t lb lbs oz ton tons tonne tonnes gram grams kilogram kilograms pound pounds ounce ounces "
-    "ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "ml l liter liters litre litres gallon gallons j kj cal kcal w kw mw v kv a hz khz mhz ghz pa kpa bar k "
-    "b kb mb gb tb byte bytes percent degree degrees dollar dollars cent cents euro euros mph kmh"
-).split()
+    "mm", "cm", "dm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters",
+    "metre", "metres", "kilometer", "kilometers", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ton", "tons", "tonne", "tonnes", "gram", "grams",
+    "kilogram", "kilograms", "pound", "pounds", "ounce", "ounces", "ms", "s", "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes",
+    "h", "hr", "hrs", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "ml", "l", "liter", "liters", "litre",
+    "litres", "gallon", "gallons", "j", "kj", "cal", "kcal", "w", "kw", "mw", "v", "kv", "a", "hz", "khz", "mhz", "ghz", "pa", "kpa", "bar", "k", "b",
+    "kb", "mb", "gb", "tb", "byte", "bytes", "percent", "degree", "degrees", "dollar", "dollars", "cent", "cents", "euro", "euros", "mph", "kmh",
+)
 _NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
 
 
@@ -144,8 +145,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     coverage is the share of the item's windows found, slots the number of distinct slot pairs along the best
     alignment, slots_agree whether they map one to one, literal the share of equal tokens there. The
     benchmark's windows are broadcast only if their table is below Spark's threshold; else both sides meet by
-    hash. Null and empty texts leak nothing; null keys are left out; repeated rows of a key count as one
-    document; empty tables give an empty table. Only keys and texts are read, so other columns can't clash.
+    hash. Null and empty texts leak nothing; null keys are left out (give such rows a key of their own, as the
+    pipeline does); repeated rows of a key count as one document; very long texts are read whole, their windows
+    being rows of their own; empty tables give an empty table. Only keys and texts are read, so other columns can't clash.
     """
     docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
     items = items.filter(F.col(item_key).isNotNull()).select(F.col(item_key).alias("_item"), F.col(text).alias("_item_text"))

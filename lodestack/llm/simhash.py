@@ -120,8 +120,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Only (key, fingerprint) is kept of the texts. Exact copies collapse before the search; hot fingerprints
     come back by an inner join that adaptive execution splits. Texts without words have fingerprint zero and
-    link like any other; a null key is never a component_id unless its component has no other key; repeated
-    rows stay, each with the same result; an empty table gives an empty table.
+    link like any other; a null key is never a component_id unless its component has no other key; very long texts
+    are hashed whole, a bounded number of shingles at a time; repeated rows stay, each with the same result; an
+    empty table gives an empty table. Only key and text are read, so other columns can't clash.
     """
     prints = materialize(fingerprints(docs, key, text), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min(key).alias("first"))
