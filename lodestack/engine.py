@@ -266,15 +266,15 @@ def _merged(spark: SparkSession, channels: list[list], request: SearchRequest) -
 def search_channels(engine: Engine, request: SearchRequest, metadata: DataFrame | None = None, on_update=None) -> list:
     """Names, metadata and content side by side; on_update sees the merged list after each of them.
 
-    Errors of the fast channels are ignored. A time-out of the content channel is raised after all channels have
+    Rows carry the ids of their passages, not the texts. Errors of the fast channels are ignored. A time-out of the content channel is raised after all channels have
     ended; other errors of content are raised at once.
     """
     from concurrent.futures import ThreadPoolExecutor, as_completed
 
     spark = engine.catalog.files.sparkSession
-    calls = {"content": (lambda: engine.search(request), FULL_SECONDS)}
+    calls = {"content": (engine.search(replace(request, passages=False)), FULL_SECONDS)}
     if request.mode != "semantic":
-        calls = {"names": (lambda: engine.search(replace(request, names_only=True)), NAMES_SECONDS)} | ({"metadata": (metadata, NAMES_SECONDS)} if metadata is not None else {}) | calls
+        calls = {"names": (engine.search(replace(request, names_only=True)), NAMES_SECONDS)} | ({"metadata": (metadata, NAMES_SECONDS)} if metadata is not None else {}) | calls
     arrived: dict[str, list] = {}
     ranked: list = []
     late = False
