@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe_codec, decontaminate, frame_store, html_text, line_dedup, lm_scoring, quality_rules, secret_scan, simhash, token_counts
+from lodestack.llm import bpe_codec, decontaminate, frame_store, html_text, importance, line_dedup, lm_scoring, ngram_join, quality_rules, secret_scan, simhash, spelling, token_counts
 from lodestack.llm.tables import table
 from lodestack.runtime import scratch
 
@@ -207,10 +207,23 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_line_dedup, op2_html_extraction, op3_secret_scans, op4_lm_scoring, op5_quality_rules, op6_token_counts, op7_token_id_frames, op8_bpe_codec,
-        op9_benchmark_decontamination, op10_simhash_near_dedup,
+        op9_benchmark_decontamination, op10_simhash_near_dedup, op11_importance_resampling, op12_ngram_jaccard_join, op13_spelling_variants,
     )
     return {f.__name__: f for f in ops}
 
