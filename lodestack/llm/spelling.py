@@ -3,8 +3,8 @@
 Words are counted in tasks first, so a frequent word costs one row a task. The vocabulary is dealt into shards of words
 of one length, about SHARD_WORDS each; a task makes a shard's words into a trie of three flat arrays in level order.
 Groups of shards of at most BROADCAST_BYTES are broadcast in turn; each word's automaton for one edit is
-intersected with every shard of its length, one less and one more, depth first: along the word's own path every edit
-is tried once, and behind an edit only the rest of the word is followed. A word sends its number of neighbours and its
+intersected with every shard of its length, one less and one more, depth first: along the word's own path the edit that
+leads to the shard's length is tried at each place, and behind it only the rest of the word is followed. A word sends its number of neighbours and its
 best one, which are summed up over shards.
 """
 
@@ -25,7 +25,7 @@ from lodestack.llm.tables import pieces
 from lodestack.runtime import materialize
 
 LEAST_CHARS, LEAST_COUNT, RATIO, SLIPS = 7, 2, 10, 31
-SHARD_WORDS, BROADCAST_BYTES, HELD_WORDS = 50_000, 32_000_000, 300_000
+SHARD_WORDS, BROADCAST_BYTES, HELD_WORDS = 300_000, 64_000_000, 300_000
 
 
 def slip(key: str, word: str) -> str:
@@ -98,20 +98,29 @@ class Trie:
                 return 0
         return self.count[v]
 
-    def near(self, word: str) -> dict[str, int]:
-        """The words that one inserted, deleted or replaced code point makes of word, with their counts."""
-        labels, first, found, v = self.labels, self.first, {}, 0
-        for at in range(len(word) + 1):
-            for child in range(first[v], first[v + 1]):
-                c = labels[child]
-                if n := self._rest(child, word, at):
-                    found[word[:at] + c + word[at:]] = n
-                if at < len(word) and c != word[at] and (n := self._rest(child, word, at + 1)):
-                    found[word[:at] + c + word[at + 1 :]] = n
-            if at == len(word):
+    def near(self, word: str, length: int) -> dict[str, int]:
+        """The words of ``length`` code points that one inserted, deleted or replaced one makes of word, with their counts.
+
+        The length tells the edit, so the automaton's other branches, which couldn't end, aren't followed.
+        """
+        labels, first, count, found, v = self.labels, self.first, self.count, {}, 0
+        more, size = length - len(word), len(word)
+        for at in range(size + (more > 0)):
+            if more < 0:
+                if n := self._rest(v, word, at + 1):
+                    found[word[:at] + word[at + 1 :]] = n
+            else:
+                after = at + 1 - more  # the place of word that follows the new character
+                for child in range(first[v], first[v + 1]):
+                    if after < size:
+                        below = labels.find(word[after], first[child], first[child + 1])
+                        n = self._rest(below, word, after + 1) if below >= 0 else 0
+                    else:
+                        n = count[child]
+                    if n and (more or labels[child] != word[at]):
+                        found[word[:at] + labels[child] + word[after:]] = n
+            if at == size:
                 break
-            if n := self._rest(v, word, at + 1):
-                found[word[:at] + word[at + 1 :]] = n
             v = labels.find(word[at], first[v], first[v + 1])
             if v < 0:
                 break
@@ -150,7 +159,7 @@ def neighbours(vocabulary: DataFrame, shard_words: int = SHARD_WORDS, broadcast_
     """(word, n_near, best_n, best) of the words of vocabulary (word, n) that have a neighbour."""
     spark = vocabulary.sparkSession
     made = materialize(shards(vocabulary, shard_words), "trie-shards")
-    sizes = [tuple(r) for r in made.select("length", "part", "bytes").orderBy("length", "part").collect()]  # a row for each 50,000 words
+    sizes = [tuple(r) for r in made.select("length", "part", "bytes").orderBy("length", "part").collect()]  # a row for each 300,000 words
     parts = []
     for group in _groups(sizes, broadcast_bytes):
         own = made.filter(F.concat_ws(":", "length", "part").isin([f"{a}:{b}" for a, b in group]))
@@ -161,7 +170,7 @@ def neighbours(vocabulary: DataFrame, shard_words: int = SHARD_WORDS, broadcast_
             for batch in batches:
                 out = []
                 for word in batch.column(0).to_pylist():
-                    met = [(-n, near) for length, trie in tries if abs(length - len(word)) <= 1 for near, n in trie.near(word).items()]
+                    met = [(-n, near) for length, trie in tries if abs(length - len(word)) <= 1 for near, n in trie.near(word, length).items()]
                     if met:
                         n, best = min(met)
                         out.append((word, len(met), -n, best))

@@ -213,7 +213,7 @@ def test_variants_over_several_shards_and_broadcasts(spark, monkeypatch):
 def test_trie_finds_each_neighbour():
     rng = random.Random(2)
     words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(7, 10))) for _ in range(400)})
-    trie = spelling.Trie.of(words, list(range(1, len(words) + 1)))
+    tries = {k: spelling.Trie.of(*map(list, zip(*[(w, i + 1) for i, w in enumerate(words) if len(w) == k], strict=True))) if 7 <= k < 10 else spelling.Trie.of([], []) for k in range(6, 11)}
 
     def apart(a, b):
         if abs(len(a) - len(b)) > 1 or a == b:
@@ -224,4 +224,4 @@ def test_trie_finds_each_neighbour():
         return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
     for w in words[:120]:
-        assert trie.near(w) == {x: i + 1 for i, x in enumerate(words) if apart(w, x)}
+        assert {x: n for length in range(6, 11) if abs(length - len(w)) < 2 for x, n in tries[length].near(w, length).items()} == {x: i + 1 for i, x in enumerate(words) if apart(w, x)}
