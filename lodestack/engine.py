@@ -7,11 +7,11 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import parse_query
-from lodestack.operators import fulltext, fusion, health, names, vectors
+from lodestack.functions.text import parse_query, unquoted
+from lodestack.operators import fulltext, fusion, health, name_index, names, topk, vectors
 from lodestack.operators.filters import SearchRequest, content_allowed, is_document, is_path_query, not_revoked, readable, stale, visible
 from lodestack.plans.catalog import Catalog
 
@@ -38,6 +38,11 @@ class Engine:
     passage_stats: DataFrame | None = None
     access: DataFrame | None = None
     revoked: DataFrame | None = None
+    #: Optional indexes: trigrams of names (operators.name_index) and bounded postings of passages (operators.topk).
+    gram_index: DataFrame | None = None
+    passage_blocks: DataFrame | None = None
+    #: Sees each part of a request's plan under its name and returns it, observed; see profile().
+    watch: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows
 
     def __post_init__(self):
         c = self.catalog
@@ -59,6 +64,15 @@ class Engine:
         version = snapshots.publish(tables, sort={"name_index": ["term"], "passage_index": ["term"]})
         return cls.opened(snapshots, version)
 
+    @classmethod
+    def ranked(cls, catalog: Catalog, snapshots) -> Engine:
+        """indexed(), with the optional indexes too: literal names by trigrams, and text results without scoring every
+        posting. The latter runs two small jobs when a request's plan is made."""
+        cls.indexed(catalog, snapshots)
+        made = {"gram_index": name_index.postings(catalog.files), "passage_blocks": topk.index(catalog.passages, "passage_id", "text")}
+        version = snapshots.publish(made, sort={"gram_index": name_index.SORT, "passage_blocks": topk.SORT})
+        return replace(cls.opened(snapshots, version), **{n: snapshots.table(n, version) for n in made})
+
     @classmethod
     def opened(cls, snapshots, version: int | None = None) -> Engine:
         version = version or snapshots.current()
@@ -113,11 +127,12 @@ class Engine:
             phrases = parse_query(request.query, exact)
             if phrases:
                 prefixed = parse_query(request.query, exact, prefix=not exact)
-                lists += [self._name_hits(found, request, prefixed), self._literal_hits(found, request)]
+                lists.append(self.watch("names", self._name_hits(found, request, prefixed)))
+                lists.append(self.watch("literal names", self._literal_hits(self.watch("visible", found), request)))
                 if not request.names_only:
-                    lists.append(self._text_hits(found, phrases))
+                    lists.append(self.watch("text", self._text_hits(found, phrases)))
         if not request.names_only and request.mode in ("hybrid", "semantic") and request.vector is not None:
-            lists.append(self._meaning_hits(found, request.vector))
+            lists.append(self.watch("meaning", self._meaning_hits(found, request.vector)))
         spark = self.catalog.files.sparkSession
         out = spark.createDataFrame([], "file_id long, kind string, score double, position long, passage_id long")
         for x in lists:
@@ -144,16 +159,27 @@ class Engine:
         return top.select("file_id", F.lit(fusion.KINDS[0]).alias("kind"), fusion.contribution(F.col("position"), fusion.NAME).alias("score"), "position", F.lit(None).cast("long").alias("passage_id"))
 
     def _literal_hits(self, found: DataFrame, request: SearchRequest) -> DataFrame:
+        literal = unquoted(request.query.strip()[:512])
+        if self.gram_index is not None and not is_path_query(request.query) and len(literal.lower()) >= name_index.GRAM:
+            found = name_index.matching(found, self.gram_index, literal)
         top = names.literal_names(found, request)
         return top.select("file_id", F.lit(fusion.KINDS[0]).alias("kind"), fusion.contribution(F.col("position"), fusion.LITERAL, fusion.LITERAL_BASE).alias("score"), "position", F.lit(None).cast("long").alias("passage_id"))
 
     def _text_hits(self, found: DataFrame, phrases) -> DataFrame:
         allowed = found.filter(content_allowed())
-        scored = fulltext.bm25(self.passage_index, self.passage_stats, "passage_id", phrases)
         eligible = self.catalog.passages.join(allowed.select("content_id"), "content_id", "left_semi")
-        best = fulltext.representatives(scored.withColumn("relevance", F.round("relevance", 9)), eligible)
         order = [F.col("relevance"), F.col("file_id")]
-        top = names.ranked(best.join(allowed.select("file_id", "content_id"), "content_id").orderBy(*order).limit(fusion.TEXT_LIMIT), order)
+
+        def first(scored: DataFrame) -> DataFrame:
+            best = fulltext.representatives(scored.withColumn("relevance", F.round("relevance", 9)), eligible)
+            return best.join(allowed.select("file_id", "content_id"), "content_id").orderBy(*order).limit(fusion.TEXT_LIMIT)
+
+        plain = None if self.passage_blocks is None else topk.plain_words(phrases)
+        if plain:
+            rows = topk.best(self.passage_blocks, self.passage_stats, plain, "passage_id", fusion.TEXT_LIMIT, first)
+        else:
+            rows = first(fulltext.bm25(self.passage_index, self.passage_stats, "passage_id", phrases))
+        top = names.ranked(rows, order)
         return top.select("file_id", F.lit(fusion.KINDS[1]).alias("kind"), fusion.contribution(F.col("position"), fusion.TEXT).alias("score"), "position", "passage_id")
 
     def _meaning(self, found: DataFrame, vector) -> DataFrame:
@@ -229,19 +255,31 @@ def within(spark: SparkSession, query: DataFrame | Callable[[], DataFrame], seco
 
 
 def profile(engine: Engine, request: SearchRequest) -> str:
-    """One JSON line: milliseconds of each part of a request's plan, run by itself, and of the whole."""
-
-    def timed(query: Callable[[], DataFrame]) -> dict:
-        began = time.perf_counter()
-        rows = len(query().collect())
-        return {"ms": round((time.perf_counter() - began) * 1000, 3), "rows": rows}
-
-    c = replace(request, category="documents") if request.category == "all" else request
-    stages = {"filter": timed(lambda: engine._visible(c).agg(F.count(F.lit(1))))}
-    if request.query.strip():
-        stages["channels"] = timed(lambda: engine.hits(c))
-    total = timed(lambda: engine.search(request))
-    return json.dumps({"query": request.query, "mode": request.mode, "total_ms": total["ms"], "rows": total["rows"], "stages": stages})
+    """One JSON line: rows of each part of a request's plan and milliseconds of the whole, from one run of it."""
+    table, took = stage_rows(engine, request)
+    return json.dumps({"query": request.query, "mode": request.mode, "total_ms": round(took * 1000, 3), "rows": table.pop("results"), "stages": table})
+
+
+def stage_rows(engine: Engine, request: SearchRequest) -> tuple[dict[str, int], float]:
+    """Rows per part of a request's plan, and seconds: counters in the plan itself count them while it runs once.
+
+    Of category all, the parts of both categories are counted under their names. Visible files are counted where names are
+    searched for; a part that the request doesn't have isn't listed.
+    """
+    seen: list[tuple[str, Observation]] = []
+
+    def watch(name: str, rows: DataFrame) -> DataFrame:
+        seen.append((name, Observation(f"{name} {len(seen)}")))
+        return rows.observe(seen[-1][1], F.count(F.lit(1)).alias("rows"))
+
+    plan = replace(engine, watch=watch).search(replace(request, passages=False))
+    began = time.perf_counter()
+    results = len(plan.collect())  # a hundred rows at most
+    took = time.perf_counter() - began
+    out: dict[str, int] = {}
+    for name, o in seen:
+        out[name] = out.get(name, 0) + o.get["rows"]
+    return out | {"results": results}, took
 
 
 def citation(text, name, location, path):

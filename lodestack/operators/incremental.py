@@ -126,3 +126,25 @@ def due_sources(sources: DataFrame, now: float) -> DataFrame:
     """Sources to look at again: neither paused nor offline, and not looked at for a quarter of an hour."""
     late = F.col("last_scan").isNull() | (F.col("last_scan") <= now - RECONCILE_SECONDS)
     return sources.filter(~F.col("availability").isin("paused", "offline") & late)
+
+
+def stable_reads(before: DataFrame, read: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """read's rows with verdict: publish, retry or gone.
+
+    before and after are listings (keys, size, mtime) from just before and just after the contents were read. What was read
+    of a file whose stamp changed meanwhile may be half of one state and half of another, so it isn't published but read
+    again; a file that is no longer listed goes. A row that the first listing doesn't have is read again as well.
+    """
+    stamp = lambda of, n: of.select(*keys, F.col("size").alias(f"_size{n}"), F.col("mtime").alias(f"_mtime{n}"))
+    joined = read.join(stamp(before, 0), keys, "left").join(stamp(after, 1), keys, "left")
+    same = (F.col("_size0") == F.col("_size1")) & (F.abs(F.col("_mtime0") - F.col("_mtime1")) <= 1e-6)
+    verdict = F.when(F.col("_size1").isNull(), "gone").when(same, "publish").otherwise("retry")
+    return joined.withColumn("verdict", verdict).drop("_size0", "_mtime0", "_size1", "_mtime1")
+
+
+def queued_files(jobs: DataFrame, files: DataFrame, phase: str, now: float, limit: int | None = None, folder: str | None = None) -> DataFrame:
+    """Files whose job of a phase is ready, in id order, with its attempts and the time of the next try if this one fails:
+    jobs has (file_id, phase, attempts, retry_at). A job whose file is gone is left out."""
+    met = jobs.join(files, "file_id")
+    ready = ready_jobs(met, phase, now, limit, folder)
+    return ready.withColumn("next_try", F.lit(float(now)) + retry_delay(F.col("attempts") + 1))

@@ -38,12 +38,6 @@ def ranked(rows: DataFrame, order: list) -> DataFrame:
     return rows.withColumn("position", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct trigrams of a lower-cased text, for an index over names."""
-    low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3)))
-
-
 def normalized(name: Column) -> Column:
     """Letters and digits of a name, folded, in single spaces."""
     return F.btrim(F.regexp_replace(fold(name), r"[^\p{L}\p{N}]+", " "))

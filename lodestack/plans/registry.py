@@ -453,14 +453,26 @@ for _key, (_request, _with) in _REQUESTS.items():
 
 
 def _indexed(spark: SparkSession, sf: str) -> Engine:
-    """An engine over a published catalog: its tables and indexes are written once per session and folder."""
-    held = _PUBLISHED.get(sf)
+    """An engine over a published catalog with all indexes: they are written once per session and state of the tables."""
+    key = (sf, _stamp(spark, sf))
+    held = _PUBLISHED.get(key)
     if held is None or held.catalog.files.sparkSession is not spark:
-        held = _PUBLISHED[sf] = Engine.indexed(catalog(spark, sf), Snapshots(spark, scratch(spark, "catalog")))
+        held = _PUBLISHED[key] = Engine.ranked(catalog(spark, sf), Snapshots(spark, scratch(spark, "catalog")))
     return held
 
 
-_PUBLISHED: dict[str, Engine] = {}
+def _stamp(spark: SparkSession, sf: str) -> tuple:
+    """Sizes and times of the files that a catalog derives from."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for name in ("documents", "embeddings"):
+        place = jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        for f in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place):
+            out.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return tuple(out)
+
+
+_PUBLISHED: dict[tuple, Engine] = {}
 
 
 def _search_indexed(request: SearchRequest, with_vector: bool = False) -> Query:
@@ -468,7 +480,7 @@ def _search_indexed(request: SearchRequest, with_vector: bool = False) -> Query:
         from dataclasses import replace
 
         asked = replace(request, vector=tuple(_probe(spark, sf))) if with_vector else request
-        return _indexed(spark, sf).search(asked).select("file_id", F.round("score", 6).alias("score"), "name_matched", "match_kind")
+        return replace(_indexed(spark, sf), gram_index=None, passage_blocks=None).search(asked).select("file_id", F.round("score", 6).alias("score"), "name_matched", "match_kind")
 
     return run
 
@@ -791,3 +803,5 @@ def vector_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FLAGSHIP = "hybrid_fusion"
+
+from lodestack.plans import change_queries, index_queries  # noqa: E402, F401  they register theirs

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.operators.incremental import ancestors
+
 NETWORK_TYPES = ("smbfs", "nfs", "afpfs", "webdav")
 PROBES, PROBE_SECONDS = 2, 20.0
 # Folders that count as one thing, and limits of a walk.
@@ -76,11 +78,15 @@ def refresh_availability(sources: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("availability", state).withColumn("path", F.coalesce("_path", "path")).drop("_path")
 
 
-def existing_scope(scope: Column, folders: Column) -> Column:
-    """The nearest folder at or above a scope that exists: folders is an array of existing relative paths."""
-    parts = F.split(scope, "/")
-    up = F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return F.element_at(F.filter(up, lambda p: (p == "") | F.array_contains(folders, p)), 1)
+def nearest_folders(scopes: DataFrame, folders: DataFrame, scope: str = "scope", path: str = "relative_path") -> DataFrame:
+    """(scope, folder): the nearest folder at or above each scope that exists, '' (the root) if none does.
+
+    A scope looks itself and its ancestors up among the folders by an equi-join, so neither side is carried whole.
+    """
+    own = scopes.select(F.col(scope).alias("scope")).distinct()
+    up = own.select("scope", F.explode(F.array_append(ancestors(F.col("scope")), F.col("scope"))).alias("folder"))
+    met = up.join(folders.select(F.col(path).alias("folder")).distinct(), "folder", "left_semi").unionByName(own.select("scope", F.lit("").alias("folder")))
+    return met.groupBy("scope").agg(F.max_by("folder", F.length("folder")).alias("folder"))
 
 
 @dataclass(frozen=True)
