@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe_codec, decontaminate, line_dedup, near_copies, quality_rules
@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group (5-word shingles of Jaccard similarity 0.8, or operator 10's links) one document stays, once.
+    """Of each group (5-word shingles of Jaccard similarity 0.8 by operator 12, or operator 10's links) one document stays, once.
 
     It is the one of smallest doc_id (rows without doc_id come last; of several texts of that doc_id the one of
     smallest hash). Rows are told apart by doc_id and text: texts of one doc_id that aren't alike stay, and of rows equal
@@ -46,10 +46,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     keep = near_copies.near_copies(named.select(key.alias("key"), "text"), "key").filter("key = component_id")
     keep = materialize(keep.select("key._row").distinct(), "near-keep")
-    # One row of each (doc_id, text): these are in one place after the join.
-    rest = ("source", "lang", "n_chars", "doc_id", "text")
-    one = named.join(keep, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*rest)).alias("least"))
-    return one.select(*[F.col(f"least.{c}").alias(c) for c in COLUMNS])
+    # One row of each (doc_id, text): these are in one place after the join, and texts aren't compared.
+    first = Window.partitionBy("_row").orderBy("source", "lang", "n_chars")
+    one = named.join(keep, "_row", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return one.select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, the token ids and their number; null and empty texts have none. Every row stays."""
+    """The columns of documents, the token ids and their number; null and empty texts have none. Every row stays.
+
+    Repeated rows are coded each; very long texts are coded whole, in pieces of words; an empty table stays empty.
+    """
     importable(spark)
     coded = bpe_codec.encode(_columns(docs))
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
@@ -76,8 +79,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def _row() -> Column:
-    """A row's own name: the hash of doc_id and text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    """A row's own name: 128 bits of doc_id and text."""
+    parts = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
 STAGES = [
