@@ -1,149 +1,27 @@
-"""Near copies by Jaccard similarity, for the pipeline's near-dedup stage.
+"""Near copies for the pipeline's near-dedup stage.
 
-Two texts are linked if the sets of their SHINGLE-word shingles have a Jaccard similarity of LEAST or more, or if
-operator 10 links them (3-word SimHash, 2 bits). SimHash alone can't reach LEAST: such texts differ in about ten
-bits, and keys that are exact for that radius would have too few bits to tell texts apart.
-
-Candidates share one of BANDS keys of ROWS MinHash values; a pair at similarity 0.8 is missed by all keys with a
-chance of 3 in 100,000. Pairs whose sketches (one byte a value) agree in fewer than SKETCH of all values are left
-out, a chance of 2 in 100,000 at 0.8. All others are verified on the whole sets, which are built anew from the texts
-of candidates alone: sets of all texts would take several times the corpus. In keys of more than CROWD texts
-each member is first verified against HEADS heads; what is then not yet in the same component as the bulk of its
-key is verified against every member of another component. So each pair that shares a key is verified or
-connected already, and a large family of near copies doesn't cost the square of its size.
+Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more, found by operator 12's
+exact join, or if operator 10 links them (3-word SimHash, 2 bits). SimHash alone can't reach such texts: they
+differ in about ten bits, and keys that are exact for that radius would have too few bits to tell texts apart.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from lodestack.llm import simhash
-from lodestack.llm.components import components
-from lodestack.llm.tables import pieces
-from lodestack.runtime import discard, materialize
-
-SHINGLE, LEAST = 5, (4, 5)
-BANDS, ROWS, CROWD, HEADS, SKETCH = 20, 4, 8, 3, 0.6
-_CHUNK = 4096
-_RANDOM = np.random.default_rng(simhash.SEED)
-_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-_TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
-
-
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct XXH64 of the text's shingles; of fewer words than SHINGLE the one of all. No words: empty."""
-    words = text.lower().split()  # as simhash.fingerprint splits
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    spans = zip((ends - lengths).tolist(), ends[min(SHINGLE, len(words)) - 1 :].tolist(), strict=False)
-    return np.unique(np.fromiter((digest(joined[a:b], simhash.SEED) for a, b in spans), np.uint64, max(1, len(words) - SHINGLE + 1)))
-
-
-def set_id(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes())
-
-
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS MinHash values of a set that isn't empty."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), _CHUNK):
-        least = np.minimum(least, (hashes[None, at : at + _CHUNK] * _FACTORS + _TERMS).min(axis=1))
-    return least
-
-
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
-
-
-def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: key, tid (hash of the text), fp (operator 10's fingerprint), sid (hash of the set), n (its size), bands
-    and sketch. No shuffle; a text of any length becomes a few hundred bytes."""
-    docs = docs.select(docs[key], F.xxhash64(docs[text]).alias("tid"), docs[text].alias("_text"))
-    schema = T.StructType([docs.schema[key], *[T.StructField(c, t) for c, t in (("tid", T.LongType()), ("fp", T.LongType()), ("sid", T.LongType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.ArrayType(T.ByteType())))]])
-
-    def run(batches):
-        for batch in batches:
-            for rows, texts in pieces(batch, "_text"):
-                fps, sids, sizes, bands, sketches = [], [], [], [], []
-                for t in texts:
-                    h = shingles(t)
-                    m = minima(h) if len(h) else np.zeros(0, np.uint64)
-                    fps.append(simhash.fingerprint(t))
-                    sids.append(set_id(h))
-                    sizes.append(len(h))
-                    bands.append(np.array([xxhash.xxh64_intdigest(m[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS if len(h) else 0)], np.uint64).view(np.int64))
-                    sketches.append((m >> np.uint64(56)).astype(np.uint8).view(np.int8))
-                lists = [pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int8()))]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _signed(fps), _signed(sids), pa.array(sizes, pa.int32()), *lists], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+from lodestack.llm import ngram_join, simhash
+from lodestack.runtime import materialize
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(sid, shingles) of the wanted (sid, _key, _tid): one row of docs stands for each set."""
-    docs = docs.select(docs[key].alias("_own"), F.xxhash64(docs[text]).alias("_own_tid"), docs[text].alias("_text"))
-    met = docs.join(wanted, (F.col("_own_tid") == F.col("_tid")) & F.col("_own").eqNullSafe(F.col("_key"))).select("sid", "_text")
-
-    def run(batches):
-        for batch in batches:
-            for rows, texts in pieces(batch, "_text"):
-                sets = [shingles(t) for t in texts]
-                own = np.array([set_id(h) for h in sets], np.uint64).view(np.int64) == rows.column(0).to_numpy()  # another text of equal hash has another set
-                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(own)), pa.array([h.view(np.int64) for h, mine in zip(sets, own, strict=True) if mine], pa.list_(pa.int64()))], names=["sid", "shingles"])
-
-    return met.mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"])
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    small = sets.select("sid", "n", "sketch")
-
-    def side(of: DataFrame, name: str) -> DataFrame:
-        return of.select(F.col("sid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in of.columns if c != "sid"])
-
-    up, down = LEAST
-    like = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= SKETCH * BANDS * ROWS
-    wide = F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up
-    met = materialize(pairs.join(side(small, "a"), "a").join(side(small, "b"), "b").filter(wide).filter(like).select("a", "b"), "near-candidates")
-    asked = met.select(F.col("a").alias("sid")).union(met.select("b")).distinct().join(sets.select("sid", F.col("rep.key").alias("_key"), F.col("rep.tid").alias("_tid")), "sid")
-    whole = materialize(whole_sets(docs, materialize(asked, "near-asked"), key, text), "near-whole")
-    both = met.join(side(whole, "a"), "a").join(side(whole, "b"), "b")
-    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    total = F.size("shingles_a") + F.size("shingles_b")
-    out = materialize(both.filter(shared * (up + down) >= total * up).select("a", "b"), "near-pairs")
-    discard(whole)
-    return out
-
-
-def similar(sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Edges (a, b) between sids, enough of them to connect all similar pairs that share a key."""
-    keyed = sets.select("sid", F.explode("bands").alias("h"))
-    sizes = materialize(keyed.groupBy("h").count().filter("count > 1"), "near-keys")
-    met = materialize(keyed.join(sizes, "h"), "near-met")
-    few, many = met.filter(F.col("count") <= CROWD), met.filter(F.col("count") > CROWD).select("h", "sid")
-    pairs = few.select("h", F.col("sid").alias("x")).join(few.select("h", F.col("sid").alias("y")), "h").filter("x < y").select("x", "y")
-    heads = many.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("h", "sid", F.lit(j)), "sid")).alias(f"m{j}") for j in range(HEADS)])
-    heads = heads.select("h", F.explode(F.array(*[F.col(f"m{j}.sid") for j in range(HEADS)])).alias("x"))
-    edges = verified(_ordered(pairs.union(many.join(heads, "h").select("x", F.col("sid").alias("y")))), sets, docs, key, text)
-    if many.limit(1).count() == 0:
-        return edges
-    roots = components(edges).select(F.col("node").alias("sid"), "root")
-    placed = materialize(many.join(roots, "sid", "left").select("h", "sid", F.coalesce("root", "sid").alias("root")), "near-placed")
-    bulk = placed.groupBy("h", "root").count().groupBy("h").agg(F.max(F.struct("count", "root")).alias("m")).select("h", F.col("m.root").alias("bulk"))
-    rest = placed.join(bulk, "h").filter("root != bulk").select("h", F.col("sid").alias("x"), F.col("root").alias("other"))
-    return edges.union(verified(_ordered(rest.join(placed, "h").filter("root != other").select("x", F.col("sid").alias("y"))), sets, docs, key, text))
+def _simhash_links(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets by operator 10's links of their fingerprints."""
+    prints = materialize(rows.select("fp", "sid").distinct(), "near-prints")
+    heads = materialize(prints.groupBy("fp").agg(F.min("sid").alias("head")), "near-heads")
+    same = prints.join(heads, "fp").filter(F.col("sid") != F.col("head")).select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    close = simhash.pivot_links(heads.select("fp"))
+    close = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    return same.union(close.select("x", "y"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,19 +32,6 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     repeated rows stay, each with the same result; very long texts count whole; an empty table gives an empty table.
     Only key (of any type that has an order) and text are read, so other columns can't clash.
     """
-    docs = docs.select(docs[key].alias(key), docs[text].alias(text))
-    rows = materialize(marks(docs, key, text), "near-marks")
-    # All rows of a sid have equal n, bands and sketch, so any row's will do.
-    sets = rows.groupBy("sid").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "tid")).alias("rep"), *[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")])
-    sets = materialize(sets, "near-sets")
-    # Operator 10's links, between the sets that have the fingerprints.
-    prints = materialize(rows.select("fp", "sid").distinct(), "near-prints")
-    heads = materialize(prints.groupBy("fp").agg(F.min("sid").alias("head")), "near-heads")
-    same = prints.join(heads, "fp").filter("sid != head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    close = simhash.pivot_links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    roots = components(same.union(close).union(similar(sets, docs, key, text))).select(F.col("node").alias("sid"), "root")
-    classes = materialize(sets.join(roots, "sid", "left").select("sid", F.col("rep.key").alias("first"), F.coalesce("root", "sid").alias("root")), "near-classes")
-    # Written before its join: an aggregate right below would keep adaptive execution from splitting a hot root.
-    least = materialize(classes.groupBy("root").agg(F.min("first").alias("component_id")), "near-least")
-    known = materialize(classes.join(least, "root").select("sid", "component_id"), "near-known")
-    return rows.select(key, "sid").join(known, "sid").select(key, "component_id")
+    rows = ngram_join.prefixes(docs, key, text, prints=True)
+    known = ngram_join.classes(rows, _simhash_links(rows).union(ngram_join.links(rows)))
+    return rows.select("key", "sid").join(known, "sid").select(F.col("key").alias(key), "component_id")

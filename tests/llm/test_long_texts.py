@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from lodestack.llm import bpe_codec, line_dedup, near_copies, quality_rules, secret_scan, simhash, token_counts
+from lodestack.llm import bpe_codec, line_dedup, ngram_join, quality_rules, secret_scan, simhash, token_counts
 from lodestack.llm.word_bpe import TOKENIZER, WordTable, library, vocabulary
 from tests.llm.test_text_operators import measured_by_hand, print_by_hand, spans_by_hand
 
@@ -79,4 +79,4 @@ def test_long_text_of_few_words():
     assert (n, chars, symbols, dup, repeated, lines) == (210_000, 30_000 * len(line.replace(" ", "")), 0, 0, 210_000, 1)
     assert measured_by_hand(line * 30) == (210, 30 * len(line.replace(" ", "")), 0, 0, 210)
     assert simhash.fingerprint((line * 600).encode()) == print_by_hand(line * 600)
-    assert len(near_copies.shingles((line * 30_000).encode())) == 7
+    assert len(ngram_join.shingle_sets([(line * 30_000).encode()])[0]) == 7
