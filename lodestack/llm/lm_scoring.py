@@ -7,9 +7,10 @@ The model is a trigram model, with weights per bucket of the context's count (po
     P(w)       = g c(w) / N          + (1 - g) / (V + 1)
 
 The weights are learned by expectation-maximisation on counts of a held-out fold of the training documents against
-the counts of the other training documents; final counts are those of all training documents. Where a training
-document is scored its own counts are deleted first, as the fold's were: else the model would know it by heart, and
-the scores of documents that it was trained on could not be compared with others'.
+the counts of the other training documents; final counts are those of all training documents, and one model scores
+all texts: equal texts score equal. It knows the texts that it was trained on by heart, so their scores can't be
+compared with others'; ask for score_left_out to have the probability of a training text by a model of the other
+texts' counts as well.
 
 How counts reach their places. Texts are read once into blocks: runs of at most BLOCK_TOKENS tokens, each with
 its own list of distinct tokens (64-bit hashes). A block sends each distinct token, bigram or trigram once, with its
@@ -244,9 +245,9 @@ def _own(doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return n[which]
 
 
-def _parts(row: dict, b: Block, sums: dict, tuning: bool) -> tuple[np.ndarray, ...]:
+def _parts(row: dict, b: Block, sums: dict, tuning: bool, left_out: bool = False) -> tuple[np.ndarray, ...]:
     """Per token: buckets of its two contexts, and its trigram, bigram and unigram estimates; also the token's own
-    count. With tuning by the counts without the tuning fold, else without the token's own document."""
+    count. With tuning by the counts without the tuning fold, with left_out by those without the token's own document."""
 
     def counted(kind: str) -> np.ndarray:
         train = _unpack(row[f"{kind}_train"], np.int64)
@@ -260,7 +261,7 @@ def _parts(row: dict, b: Block, sums: dict, tuning: bool) -> tuple[np.ndarray, .
     one, two, own = word[b.at], pair[b.pair_at], word[b.at]
     starts, n = (sums["kept_docs"], sums["kept_tokens"]) if tuning else (sums["docs"], sums["tokens"])
     starts, n = np.full(len(b.length), starts), np.full(len(b.length), n)
-    if not tuning:
+    if left_out:
         known = b.fold != HELD_OUT
         doc, seen = np.repeat(np.arange(len(b.length)), b.length), np.repeat(known, b.length)
         starts, n = starts - known, n - known * b.length
@@ -334,19 +335,20 @@ def learn(rows: DataFrame, types: int, rounds: int = ROUNDS, tolerance: float =
     return weights
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS, left_out: bool = False) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score and score, natural for all texts.
 
     Tokens are A-Z-lowered words and one end token a text (null and empty texts: only that); a text of any length is
     scored whole, the longest making a block of its own. base_score adds log10((c + 1) / (N + V + 1)) over tokens,
-    c with the text's own tokens; score deletes a training text's own counts.
+    c with the text's own tokens; score is the model's log10 probability. With left_out there is score_left_out too, for
+    which a training text's own counts are deleted first; for other texts it is score.
     The fold of a row is the crc32 of its key as text, so all rows of a key share it; rows of null key train.
     Repeated rows count each. An empty table gives an empty table. Only key and text are read, so other columns
     can't clash.
     """
     found = materialize(blocks(docs, key, text, block_tokens), "lm-blocks")
     n_blocks, n_tokens = found.agg(F.count(F.lit(1)), F.sum("tokens")).first()
-    schema = f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", score_left_out double" * left_out
     if not n_blocks:
         return docs.sparkSession.createDataFrame([], schema)
     ranges = max(RANGES, -(-n_tokens // range_tokens))
@@ -380,11 +382,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_tokens
             for row in frame.to_dict("records"):
                 b = Block(row)
                 *parts, c = _parts(row, b, sums, False)
-                p = sum(_terms(weights, *parts, 1 / (v + 1)))
+                p = [sum(_terms(weights, *parts, 1 / (v + 1)))]
+                if left_out:
+                    p.append(sum(_terms(weights, *_parts(row, b, sums, False, True)[:-1], 1 / (v + 1))))
                 base = np.log10((c + 1) / (n + v + 1))
                 yield pd.DataFrame({
                     key: pd.array(list(row["docs"]), "Int64"), "held_out": b.fold == HELD_OUT, "n_tokens": b.length, "n_known": np.add.reduceat((c > 0).astype(np.int64), b.first), "train_tokens": n,
-                    "base_score": np.add.reduceat(base, b.first), "score": np.add.reduceat(np.log10(p), b.first),
+                    "base_score": np.add.reduceat(base, b.first), **{name: np.add.reduceat(np.log10(x), b.first) for name, x in zip(("score", "score_left_out"), p, strict=False)},
                 })
 
     return full.mapInPandas(run, schema)

@@ -20,3 +20,11 @@ def test_all_kinds_of_items(spark):
     docs = [around(x) for x in (SHORT, EIGHT, NATALIA.lower(), NATALIA.upper(), QUESTION.upper(), NUMERIC, other, "What is the capital of Spain?")]
     got = found(spark, [*docs, FILLER], [SHORT, EIGHT, NATALIA, QUESTION, NUMERIC])
     assert got == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 3), (5, 4)}
+
+
+def test_very_short_items_condemn_nothing(spark):
+    docs = [FILLER + "they asked why the bridge was shut. Why not walk?", "Why?", FILLER + "Name three rivers. " + FILLER]
+    items = ["Why?", "Why not", "...", None, "Name three rivers."]
+    assert found(spark, docs, items) == {(2, 4)}
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {r["item_id"] for r in decontaminate.too_short(frame).collect()} == {0, 1, 2, 3}

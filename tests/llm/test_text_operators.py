@@ -145,7 +145,7 @@ def test_lm_scores(spark):
     assert sum(got[i]["score"] for i in own) > sum(got[i]["base_score"] for i in own)  # better on texts it has not seen
 
 
-def trigram_scores_by_hand(toks, fold):
+def trigram_scores_by_hand(toks, fold, left_out=False):
     """The model in plain Python: counts, weights by EM over the tuning fold, scores of all texts."""
 
     def grams(ws):
@@ -195,7 +195,7 @@ def trigram_scores_by_hand(toks, fold):
     types = len(full[0])
     for i, ws in toks.items():
         mine = full
-        if fold[i] != 2:  # without the document itself
+        if left_out and fold[i] != 2:  # without the document itself
             own = Counter(ws), Counter((v, w) for v, w, _ in grams(ws)), Counter((u, v, w) for v, w, u in grams(ws) if u is not None)
             mine = *({x: f[x] - n for x, n in c.items()} for f, c in zip(full, own, strict=False)), full[3] - 1, full[4] - len(ws)
             mine = *(defaultdict(int, c) for c in mine[:3]), *mine[3:]
@@ -203,15 +203,25 @@ def trigram_scores_by_hand(toks, fold):
     return out
 
 
-def test_lm_equals_plain_python(spark):
-    docs = corpus()  # whole texts, in many blocks
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(frame(spark, docs), block_tokens=3_000).collect()}
+@pytest.mark.parametrize("left_out", [False, True])
+def test_lm_equals_plain_python(spark, left_out):
+    docs = corpus() + [(20_000 + i, "twin text of two rows " * 3, "s") for i in range(9)] + [(30_000, " ".join(f"w{i % 977}" for i in range(8_000)), "s"), (30_001, None, "s")]
+    got = {r["doc_id"]: r for r in lm_scoring.score(frame(spark, docs), block_tokens=3_000, left_out=left_out).collect()}  # a text longer than a block
     toks = {i: [*((t or "").encode().lower().split()), None] for i, t, _ in docs}
-    want = trigram_scores_by_hand(toks, {i: zlib.crc32(str(i).encode()) % 7 for i in toks})
-    assert all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i in toks}
+    want = trigram_scores_by_hand(toks, fold)
+    assert all(math.isclose(got[i]["score"], want[i], rel_tol=1e-5) for i in want)
+    twins = [i for i in toks if 20_000 <= i < 20_009]
+    assert len({round(got[i]["score"], 9) for i in twins}) == 1 and len({fold[i] == 2 for i in twins}) == 2  # in training or not
+    if left_out:
+        want = trigram_scores_by_hand(toks, fold, True)
+        assert all(math.isclose(got[i]["score_left_out"], want[i], rel_tol=1e-5) for i in want)
 
 
 def test_lm_edges(spark):
+    edge = [(None, "one two three", "s"), (None, "one two three", "s"), (4, "one two three", "s"), (4, "one two three", "s"), (5, "", "s"), (6, None, "s")]
+    rows = [tuple(r)[2:] for r in lm_scoring.score(frame(spark, edge)).collect()]
+    assert len(set(rows[:4])) == 1 and len(set(rows[4:])) == 1 and rows[0][0] == 4 and rows[4][0] == 1  # tokens with the end
     assert lm_scoring.score(frame(spark, EDGE)).count() == len(EDGE)
     assert lm_scoring.score(frame(spark, EDGE).limit(0)).count() == 0
 
@@ -263,7 +273,7 @@ def kept_by_hand(rows):
         for h, n in size.items():
             rate = (failed[h] + mean * strength) / (n + strength)
             ok, prone = verdict[h]
-            verdict[h] = ok and rate - 2 * math.sqrt(max(rate * (1 - rate), 0) / (n + strength + 1)) <= quality_rules.HOST_RATE, prone | ({k} if rate >= quality_rules.TOLERATED else set())
+            verdict[h] = ok and rate - 2 * math.sqrt(max(rate * (1 - rate), 0) / (n + strength + 1)) <= quality_rules.HOST_RATE, prone | ({k} if rate + 2 * math.sqrt(max(rate * (1 - rate), 0) / (n + strength + 1)) >= quality_rules.TRUSTED * mean else set())
     return {i for i, (h, f) in fails.items() if not f["base"] and verdict[h][0] and not any(f[k] for k in verdict[h][1])}
 
 
