@@ -10,8 +10,8 @@ passages agree word by word to LITERAL.
 
 Names are known by capitals, so copies in other letter case are found by a second key that takes names as plain
 words. Windows of few words (lists of numbers) are hashed with all their values. An item of fewer tokens than
-WINDOW is looked up whole, with its values, in document windows of its own length; a very short item ("Why?") thus
-stands in every document that has its words in sequence.
+WINDOW is looked up whole, with its values, in document windows of its own length. One of fewer than LEAST tokens
+("Why?") stands in many clean documents and is no evidence: it condemns none, and too_short() lists it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestack.runtime import materialize
 
-WINDOW, COVERAGE, RUN, LITERAL = 8, 0.5, 20, 0.9
+WINDOW, LEAST, COVERAGE, RUN, LITERAL = 8, 3, 0.5, 20, 0.9
 #: A window of the benchmark is used if at least this many of its tokens are words.
 WORDS = 4
 # Units that count as such after a number.
@@ -85,7 +85,7 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
 
     Kind 0: templates with enough words. Kind 1, for items of WINDOW tokens or more: every window with names as
     plain words, or with all its values where it has too few words even so. Kind 2, for shorter
-    items: the whole item with all its values; at is 0.
+    items of LEAST tokens or more: the whole item with all its values; at is 0.
     """
     toks = items.select(F.col(key).alias("key"), tokens(F.col(text)).alias("toks"))
 
@@ -99,13 +99,18 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     used = all_.filter(F.col("words") >= WORDS).select(item, F.lit(0).alias("kind"), "at", F.col("named").alias("h"))
     long = all_.filter(F.col("size") >= WINDOW)
     used = used.union(long.select(item, F.lit(1), "at", F.when(F.col("plain_words") >= WORDS, F.col("plain")).otherwise(F.col("exact"))))
-    short = toks.filter((F.size("toks") > 0) & (F.size("toks") < WINDOW))
+    short = toks.filter(F.size("toks").between(LEAST, WINDOW - 1))
     whole = F.xxhash64(F.transform("toks", lambda x: F.xxhash64(_folded(x))))
     used = used.union(short.select(item, F.lit(2), F.lit(0), whole))
     used = used.distinct()
     return used.join(used.groupBy("item", "kind").agg(F.count(F.lit(1)).alias("n")), ["item", "kind"])
 
 
+def too_short(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(key, tokens) of the items that have fewer than LEAST tokens, which nothing is checked for."""
+    return items.select(key, F.size(tokens(F.col(text))).alias("tokens")).filter(F.col("tokens") < LEAST)
+
+
 def poor_items(items: DataFrame, text: str) -> bool:
     """Whether a window of an item has too few words even if names count as such."""
     toks = items.select(tokens(F.col(text)).alias("toks"))
@@ -122,7 +127,7 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: s
     hs = F.array_distinct(F.array("named", "plain", *(["exact"] if literal else [])))
     met = windows(docs, key, text, literal).select("key", "at", F.explode(hs).alias("h")).join(wanted.filter("kind < 2"), "h")
     # One pass for each length of an item shorter than WINDOW, whatever other text stands around it.
-    sizes = items.select(F.size(tokens(F.col(text))).alias("size")).filter(F.col("size").between(1, WINDOW - 1)).distinct()
+    sizes = items.select(F.size(tokens(F.col(text))).alias("size")).filter(F.col("size").between(LEAST, WINDOW - 1)).distinct()
     for (width,) in sizes.collect():  # WINDOW - 1 rows at most
         own = items.filter(F.size(tokens(F.col(text))) == width).select(F.col(item_key).alias("item")).distinct()
         whole = windows(docs, key, text, True, width).select("key", "at", F.col("exact").alias("h"))

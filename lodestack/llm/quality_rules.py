@@ -3,8 +3,9 @@
 Each document is measured and judged by rules; failures are summed by host; each host's failure rate of a rule is
 shrunk towards an empirical beta prior fitted to all hosts. The host's verdict comes back to its documents:
 
-* prone: a rule whose shrunken rate reaches TOLERATED is a habit of the host, and its documents that fail it go;
-  below, a failure counts as a chance find (the rule's own false alarms) and the document stays.
+* trusted: a host surely fails a rule much less than the corpus does, if its rate plus two posterior standard deviations
+  is below TRUSTED times the corpus' mean. A failure there counts as a chance find (the rule's own false alarms), and the
+  document stays. On every other host it goes: there the host's documents are no better than any.
 * bad: if the rate less two posterior standard deviations exceeds HOST_RATE, all documents of the host go. The
   margin keeps small hosts, whose rates are mostly the prior's, from being judged by a few documents.
 
@@ -24,8 +25,8 @@ from lodestack.runtime import materialize
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: A host is rejected if its failure rate of a rule surely exceeds HOST_RATE; a rule is a host's habit from TOLERATED.
-HOST_RATE, TOLERATED = 0.5, 0.01
+#: A host is rejected if its failure rate of a rule surely exceeds HOST_RATE; it is trusted below TRUSTED times the mean.
+HOST_RATE, TRUSTED = 0.5, 0.5
 #: Document rules whose failures are counted by host. base is the only one that rejects a document by itself.
 RULES = {
     "base": f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
@@ -119,8 +120,9 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
         size = F.col("documents") + strength
         rate = (F.col(f"failed_{k}") + mean * strength) / size
         rates[f"rate_{k}"] = rate
-        habits[f"prone_{k}"] = rate >= TOLERATED
-        ok = ok & (rate - 2 * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (size + 1)) <= HOST_RATE)
+        doubt = 2 * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (size + 1))
+        habits[f"prone_{k}"] = rate + doubt >= TRUSTED * mean
+        ok = ok & (rate - doubt <= HOST_RATE)
     return out.withColumns(rates | habits).select("host", "documents", *[f"failed_{k}" for k in RULES], *rates, *habits, ok.alias("host_ok"))
 
 

@@ -120,7 +120,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), split
 ), r AS (
   SELECT *, {each("(failed_{k} + mean_{k} * strength_{k}) / (n + strength_{k}) AS rate_{k}")} FROM s
 ), v AS (
-  SELECT host, {each("rate_{k} >= " + str(q.TOLERATED) + " AS prone_{k}")}, {each("rate_{k} - 2 * sqrt(greatest(rate_{k} * (1 - rate_{k}), 0) / (n + strength_{k} + 1)) <= " + str(q.HOST_RATE), " AND ")} AS host_ok FROM r
+  SELECT host, {each("rate_{k} + 2 * sqrt(greatest(rate_{k} * (1 - rate_{k}), 0) / (n + strength_{k} + 1)) >= " + str(q.TRUSTED) + " * mean_{k} AS prone_{k}")}, {each("rate_{k} - 2 * sqrt(greatest(rate_{k} * (1 - rate_{k}), 0) / (n + strength_{k} + 1)) <= " + str(q.HOST_RATE), " AND ")} AS host_ok FROM r
 )
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, fail_base AS base_failed,
        NOT fail_base AND host_ok AND {each("NOT (fail_{k} AND prone_{k})", " AND ")} AS kept
@@ -174,11 +174,11 @@ iw AS (SELECT *, len(list_filter(toks[pos + 1 : pos + {d.WINDOW}], lambda x: x >
 used AS (
   SELECT item_id, 0 AS kind, pos AS item_at, {window("named")} AS h FROM iw WHERE words >= {d.WORDS} UNION
   SELECT item_id, 1, pos, CASE WHEN plain_words >= {d.WORDS} THEN {window("plain")} ELSE {window("exact")} END FROM iw WHERE size >= {d.WINDOW} UNION
-  SELECT item_id, 2, 0, array_to_string(exact, ' ') FROM b WHERE size < {d.WINDOW}
+  SELECT item_id, 2, 0, array_to_string(exact, ' ') FROM b WHERE size BETWEEN {d.LEAST} AND {d.WINDOW - 1}
 ), wanted AS (SELECT *, count(*) OVER (PARTITION BY item_id, kind) AS n FROM used),
 dw AS (SELECT *, {at} FROM d),
 dh AS (SELECT doc_id, pos, {window("named")} AS h FROM dw UNION SELECT doc_id, pos, {window("plain")} FROM dw UNION SELECT doc_id, pos, {window("exact")} FROM dw),
-short AS (SELECT DISTINCT size AS width FROM b WHERE size < {d.WINDOW}),
+short AS (SELECT DISTINCT size AS width FROM b WHERE size BETWEEN {d.LEAST} AND {d.WINDOW - 1}),
 sw AS (SELECT doc_id, exact, width, unnest(range(greatest(size - width + 1, 1))) AS pos FROM d, short),
 met AS (
   SELECT doc_id, item_id, kind, n, pos - item_at AS shift, item_at FROM dh JOIN wanted USING (h) WHERE kind < 2 UNION
