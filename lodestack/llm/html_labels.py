@@ -6,7 +6,7 @@ blocks. PAGES is the documented bound of the sample.
 
 from __future__ import annotations
 
-PAGES = 400
+PAGES = 600
 
 _WORDS = (
     "river stone market winter garden paper engine window letter forest silver harbor mountain teacher history village music bridge summer island "
@@ -78,6 +78,12 @@ def _comments(d: _Draw) -> str:
     return d.of(['<section class="comments"><h3>{}</h3>{}</section>', '<div id="comments"><h2>{}</h2>{}</div>', '<ol class="commentlist"><li>{}</li>{}</ol>', '<div id="disqus_thread"><p>{}</p>{}</div>', '<section id="discussion"><h2>{}</h2>{}</section>']).format(d.text(1, 3), each)
 
 
+def _teasers(d: _Draw) -> str:
+    """Linked titles and lines under no telling name, with a short label now and then."""
+    each = "".join(d.of(["<p>{}</p>", "<p>{}</p>", "<div>{}</div>"]).format(f'<a href="/{d.of(_WORDS)}">{d.text(3, 24)}</a>') + (f"<p>{d.text(1, 3)}</p>" if d.below(3) == 0 else "") for _ in range(3 + d.below(4)))
+    return f"<div>{each}<p><a href='/more'>{d.text(1, 3)}</a></p></div>"
+
+
 def _hidden(d: _Draw) -> str:
     return d.of(['<div style="display:none">{}</div>', "<div hidden>{}</div>", '<p aria-hidden="true">{}</p>']).format(d.text(3, 40))
 
@@ -114,6 +120,10 @@ def _article(d: _Draw) -> tuple[str, list[str]]:
             main.extend(items)
         elif kind == 12:
             put("<blockquote>{}</blockquote>", d.text(4, 40))
+        elif kind == 13 and d.below(2):
+            # A paragraph that is one link, with prose before and after it.
+            for form, most in (("<p>{}</p>", 60), ('<p><a href="/y">{}</a></p>', 30), ("<p>{}</p>", 60)):
+                put(form, d.text(10, most))
         elif kind == 13:
             a, b = d.text(4, 20), d.text(1, 4)
             parts.append(f'<p>{a} <a href="/x">{b}</a></p>')
@@ -147,8 +157,8 @@ def labelled_pages(n: int = PAGES) -> list[tuple[str, set[str]]]:
     for seed in range(1, n + 1):
         d = _Draw(seed)
         article, main = _article(d)
-        top = "".join(d.of(x)(d) for x in ([_menu], [_header, _menu], [_advert, _notice], [_form, _header]) if d.below(2))
-        end = "".join(d.of(x)(d) for x in ([_side, _advert], [_comments], [_form, _notice], [_menu, _side], [_footer]) if d.below(2))
+        top = "".join(d.of(x)(d) for x in ([_menu], [_header, _menu], [_advert, _notice], [_form, _header], [_teasers, _menu]) if d.below(2))
+        end = "".join(d.of(x)(d) for x in ([_side, _advert], [_comments], [_form, _notice], [_menu, _side], [_teasers], [_footer]) if d.below(2))
         title = d.text(2, 6)
         body = d.of(_BODIES)
         inner = d.of(_LAYOUTS).format(f"{top}<!-- x -->{article}<script>var a='<p>';</script>{end}")

@@ -1,8 +1,9 @@
 """Operator 2: main text of web pages from a flat list of text blocks.
 
 A page is cut into blocks at block-level tags. Each block is described by its word count and link density, by
-those of its neighbours, and by flags of the regions that enclose it (elements and class names). Class names of
-html and body, and of elements that hold all signs of an article, describe a layout and aren't regions. A decision
+those of its neighbours, and by flags of the regions that enclose it (elements and class names). A region is judged by
+its share of the page's prose too: class names of html and body, of elements that hold all signs of an article, and of
+elements that hold most of a page's prose while no sign lies elsewhere, describe a layout and aren't regions. A decision
 tree, grown on the blocks of a small labelled table (``labelled_pages``), says which blocks belong to the article.
 """
 
@@ -60,6 +61,10 @@ ZONES = {
 OF_ARTICLE = {"article", "comment", "side", "advert"}
 #: An element with this share of a page's words and with all signs of an article is a layout, not a region.
 LAYOUT = 0.25
+#: Without signs, an element known by its class names alone is one if it has this share of the prose, and so many words of it.
+MOST_PROSE, LEAST_PROSE = 0.6, 30
+#: Headings there name the site, and are no sign of an article.
+OF_SITE = {"header", "edge", "menu"}
 _ZONE_ELEMENTS = {e: z for z, (elements, _) in ZONES.items() for e in elements}
 _ZONE_WORDS = {w: z for z, (_, words) in ZONES.items() for w in words}
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_list", "hidden", "other_zones", *ZONES)
@@ -77,12 +82,13 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 class Region:
     """An element that has zones. Its parent is the innermost such element around it."""
 
-    __slots__ = ("alone", "over", "own", "parent", "signs", "words", "zones")
+    __slots__ = ("alone", "by_name", "over", "own", "parent", "prose", "sign", "signs", "words", "zones")
 
-    def __init__(self, parent: Region | None, own: frozenset[str], alone: bool):
-        self.parent, self.own, self.alone = parent, own, alone
+    def __init__(self, parent: Region | None, own: frozenset[str], alone: bool, by_name: bool):
+        self.parent, self.own, self.alone, self.by_name = parent, own, alone, by_name
         self.over = False
-        self.words = self.signs = 0
+        self.sign = own == {"article"}
+        self.words = self.prose = self.signs = 0
         self.zones: frozenset[str] = frozenset()
 
 
@@ -144,10 +150,10 @@ class _Open:
         self.regions: list[Region] = []
         self.hidden = self.links = self.headings = self.items = self.unseen = 0
 
-    def push(self, name: str, own: frozenset[str], hides: bool, linked: bool) -> None:
+    def push(self, name: str, own: frozenset[str], hides: bool, linked: bool, by_name: bool = True) -> None:
         region = None
         if own:
-            region = Region(self.regions[-1] if self.regions else None, own, name == "main")
+            region = Region(self.regions[-1] if self.regions else None, own, name == "main", by_name)
             self.regions.append(region)
         self.at.setdefault(name, []).append(len(self.stack))
         if name in BLOCK:
@@ -235,6 +241,7 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, len(_WORD.findall(text)), min(1.0, linked / len(text)), open_.headings > 0, open_.items > 0, hidden, open_.regions[-1] if open_.regions else None))
             if out[-1].region:
                 out[-1].region.words += out[-1].words
+                out[-1].region.prose += _prose(out[-1])
         parts.clear()
 
     at, n = 0, len(page)
@@ -277,13 +284,14 @@ def blocks(page: str) -> list[Block]:
             own, hides = set(), False
         if name in ("article", "main"):
             own &= OF_ARTICLE
+        by_name = name not in _ZONE_ELEMENTS or _ZONE_ELEMENTS[name] == "form"
         if name in _ZONE_ELEMENTS:
             own.add(_ZONE_ELEMENTS[name])
         before = len(open_.regions)
-        open_.push(name, frozenset(own), hides, linked and name == "a")
+        open_.push(name, frozenset(own), hides, linked and name == "a", by_name)
         if len(open_.regions) > before:
             regions.append(open_.regions[-1])
-        if name == "h1" or own == {"article"}:
+        if own == {"article"} or name == "h1" and not (open_.regions and open_.regions[-1].own & OF_SITE):
             if open_.regions:
                 open_.regions[-1].signs += 1
             else:
@@ -293,17 +301,26 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _prose(b: Block) -> int:
+    return b.words if b.links < 0.5 and not b.hidden else 0
+
+
 def _place(found: list[Block], regions: list[Region], loose: int) -> None:
     """Give each block its zones. regions has parents before children."""
     for r in reversed(regions):
         if r.parent:
             r.parent.words += r.words
+            r.parent.prose += r.prose
             r.parent.signs += r.signs
-    words = sum(b.words for b in found)
+    words, prose = sum(b.words for b in found), sum(map(_prose, found))
     signs = loose + sum(r.signs for r in regions if r.parent is None)
+    above: dict[int, int] = {}  # signs that the regions around one are themselves
     for r in regions:
         around = r.parent.zones if r.parent and not r.alone else frozenset()
-        layout = r.signs and r.signs == signs and r.words >= LAYOUT * words
+        above[id(r)] = above[id(r.parent)] + r.parent.sign if r.parent else 0
+        elsewhere = signs - r.signs - above[id(r)]
+        most = r.prose >= LEAST_PROSE and r.prose >= MOST_PROSE * prose
+        layout = not elsewhere and (r.signs and r.words >= LAYOUT * words or r.by_name and most)
         r.zones = around | (r.own & {"article"} if layout else r.own)
     for b in found:
         b.zones = b.region.zones if b.region else frozenset()
@@ -329,7 +346,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 8) -> Node:
     """A binary tree by the Gini index; ties go to the earlier feature and the lower cut."""
     node = Node(bool(2 * y.sum() >= len(y)))
     if depth == 0 or len(y) < 2 * least or y.all() or not y.any():

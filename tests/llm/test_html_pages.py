@@ -41,6 +41,44 @@ def test_page(name):
     assert html_text.main_text(page) == "\n\n".join(want)
 
 
+NAMES = "sidebar-layout two-col-side form-body ad-free popular-science thread tags more read-more-wrap contact legal privacy-policy comment-free header-less widget-area side-by-side newsletter-issue promo-page share-story notice-board related-work form footer-less login-less search-results follow-up menu-free signup-done".split()
+SITE = '<header><h1><a href="/">The harbour paper</a></h1></header>'
+BESIDE = '<nav><ul><li><a href="/a">News</a></li><li><a href="/b">Sport</a></li></ul></nav>{}<footer>Imprint and contact</footer>'
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_class_name_empties_a_page(name):
+    """The whole article in an element of any name: with and without headings, with the site's name before it, and nested."""
+    text = f"<p>{ONE}</p><p>{TWO}</p><p>{ONE}</p>"
+    kept = [ONE, TWO, ONE]
+    for page, want in (
+        (f'<body><div class="{name}">{text}</div></body>', kept), (f'<body><div class="{name}"><h2>Wall</h2>{text}</div></body>', ["Wall", *kept]), (f'<body><div class="{name}"><h1>Wall</h1>{text}</div></body>', ["Wall", *kept]),
+        (f'<body>{SITE}<div class="{name}">{text}</div></body>', kept), ("<body>" + BESIDE.format(f'<div class="{name}">{text}</div>') + "</body>", kept),
+        (f'<body><div class="main"><div class="{name}-content"><h1>Wall</h1>{text}</div></div></body>', ["Wall", *kept]),
+    ):
+        assert html_text.main_text(page) == "\n\n".join(want), page
+
+
+def test_side_parts_stay_out():
+    article = f"<article><h1>Wall</h1><p>{ONE}</p></article>"
+    talk = "".join(f"<p>{ASK}</p>" for _ in range(9))
+    for name in ("comments", "related", "newsletter", "sponsored", "sidebar"):
+        assert html_text.main_text(f'<body>{article}<div class="{name}">{talk}</div></body>') == f"Wall\n\n{ONE}"
+    assert html_text.main_text('<body><div class="cookie-banner"><p>We use cookies to make the site better.</p></div></body>') == ""
+
+
+def test_neighbours_tell_linked_paragraphs_from_teasers():
+    linked = "<p><a href='/x'>The full report of the engineers can be read on the pages of the council.</a></p>"
+    assert "full report" in html_text.main_text(f"<article><h1>Wall</h1><p>{ONE}</p>{linked}<p>{TWO}</p></article>")
+    teasers = "".join(f"<p><a href='/{i}'>Another long story of the town, number {i}, waits for you here.</a></p>" for i in range(5))
+    assert html_text.main_text(f"<body><article><h1>Wall</h1><p>{ONE}</p><p>{TWO}</p></article><div>{teasers}</div></body>") == f"Wall\n\n{ONE}\n\n{TWO}"
+
+    def split(node):
+        return set() if node.low is None else {html_text.FEATURES[node.feature]} | split(node.low) | split(node.high)
+
+    assert split(html_text.tree()) & {"links_before", "links_after"}
+
+
 def test_long_class_words():
     page = f'<div class="{"x" * 50}"><p>{ONE}</p></div><div class="newsletter{"x" * 50}"><p>{TWO}</p></div>'
     assert html_text.main_text(page) == ONE

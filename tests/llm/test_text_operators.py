@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import decontaminate, html_text, line_dedup, lm_scoring, quality_rules, queries, secret_scan, simhash
 from lodestack.llm.components import components
-from lodestack.llm.html_labels import labelled_pages
+from lodestack.llm.html_labels import PAGES, labelled_pages
 from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
@@ -53,7 +53,7 @@ def test_line_dedup_edges(spark):
 
 def test_tree_on_pages_it_has_not_seen():
     right = total = 0
-    for page, main in labelled_pages(400)[240:]:
+    for page, main in labelled_pages(PAGES + 160)[PAGES:]:  # the tree is grown on the first PAGES
         found = html_text.blocks(page)
         for b, row in zip(found, html_text.features(found), strict=True):
             total += 1
