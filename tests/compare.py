@@ -1,14 +1,17 @@
 """Comparing a query's rows with those of its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows(frame):
     def shown(x):
-        if isinstance(x, float):
-            return repr(round(x, 6) + 0.0)
+        if x is None or x is pd.NA or isinstance(x, float) and x != x:
+            return "null"
+        if isinstance(x, float):  # pandas has whole numbers beside nulls as floats
+            return repr(round(x, 6) + 0.0).removesuffix(".0")
         return str(x.tolist() if hasattr(x, "tolist") else x)
 
     return sorted(tuple(shown(x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
