@@ -220,6 +220,54 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def _crc32_sql(text: str) -> str:
+    """The CRC-32 of a text's UTF-8, bit by bit; the polynomial is a fixed value."""
+    bits = f"CAST(CAST(encode({text}) AS BIT) AS VARCHAR)"
+    each = f"list_transform(range(length({bits})), lambda k: CASE WHEN substr({bits}, k // 8 * 8 + 8 - k % 8, 1) = '1' THEN 1 ELSE 0 END)"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS_SQL = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), b AS (SELECT regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+fd AS (SELECT doc_id, {_RUNS_SQL} AS f FROM d), nd AS (SELECT f, count(*) AS n FROM fd GROUP BY f), nb AS (SELECT f, count(*) AS n FROM (SELECT {_RUNS_SQL} AS f FROM b) GROUP BY f), u AS (SELECT f FROM nd UNION SELECT f FROM nb),
+k AS (SELECT f, CAST({_crc32_sql("f")} % {importance.BUCKETS} AS BIGINT) AS bucket FROM u),
+raw AS (SELECT bucket, sum(n) AS s FROM nd JOIN k USING (f) GROUP BY bucket), aim AS (SELECT bucket, sum(n) AS t FROM nb JOIN k USING (f) GROUP BY bucket),
+tot AS (SELECT CAST((SELECT coalesce(sum(s), 0) FROM raw) AS DOUBLE) AS s_all, CAST((SELECT coalesce(sum(t), 0) FROM aim) AS DOUBLE) AS t_all),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + {importance.BUCKETS}) / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + {importance.BUCKETS})))) AS BIGINT) AS gain FROM (SELECT DISTINCT bucket FROM k) LEFT JOIN raw USING (bucket) LEFT JOIN aim USING (bucket), tot),
+x AS (SELECT doc_id, count(*) AS n_features, sum(gain) AS weight FROM fd JOIN k USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+sc AS (SELECT d.doc_id, len(w) >= {importance.LEAST_WORDS} AS fit, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS noise FROM d LEFT JOIN x USING (doc_id)),
+r AS (SELECT *, weight + noise AS score, row_number() OVER (ORDER BY fit DESC, weight + noise DESC, doc_id) AS place, count(*) FILTER (fit) OVER () AS n FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= {importance.SHARE[0]} * n // {importance.SHARE[1]} THEN place END AS rank FROM r
+"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER_SQL}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {ngram_join.SHINGLE} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {ngram_join.SHINGLE - 2}), lambda i: array_to_string(ws[i : i + {ngram_join.SHINGLE - 1}], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)), both_ AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT x, y FROM both_ UNION SELECT r.x, b.y FROM reach r JOIN both_ b ON r.y = b.x), least_ AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(y, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON x = w.doc_id
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER_SQL}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents), o AS (SELECT doc_id, run, count(*) AS n FROM t WHERE length(run) >= {spelling.LEAST_CHARS} GROUP BY ALL),
+h AS (SELECT run, n, CAST({_crc32_sql("doc_id || ':' || run")} AS BIGINT) AS h FROM o),
+f AS (SELECT CASE WHEN h % {spelling.SLIPS} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+c AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT x.word, y.word AS other, y.n FROM c x JOIN c y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.a || c.b UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.a || c.b),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS top FROM near GROUP BY word),
+k AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {spelling.RATIO} * v.n THEN other END AS form, CASE WHEN top >= {spelling.RATIO} * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, form AS root, 1 AS depth FROM k WHERE form IS NOT NULL UNION ALL SELECT up.word, k.form, depth + 1 FROM up JOIN k ON k.word = up.root WHERE k.form IS NOT NULL),
+last_ AS (SELECT word, arg_max(root, depth) AS root FROM up GROUP BY word)
+SELECT k.word, form, coalesce(root, k.word) AS root, n, n_near, form_n FROM k LEFT JOIN last_ USING (word)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_line_dedup, op2_html_extraction, op3_secret_scans, op4_lm_scoring, op5_quality_rules, op6_token_counts, op7_token_id_frames, op8_bpe_codec,
@@ -229,4 +277,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_secret_scans": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_secret_scans": OP3_SQL, "op5_quality_rules": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_ngram_jaccard_join": OP12_SQL, "op13_spelling_variants": OP13_SQL}
