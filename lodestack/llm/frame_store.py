@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.tables import pieces
 from lodestack.llm.word_bpe import TOKENIZER, WordTable, library, vocabulary
-from lodestack.runtime import scratch
+from lodestack.runtime import arrow_store, scratch
 
 FRAME_IDS = 65_536
 #: Fixed values of the public zstandard seekable format.
@@ -42,15 +42,6 @@ SKIPPABLE, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX_SKIPPABLE, KEYLESS = 0x184D2A50, 1 << 31
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or plain path, for Python on any machine."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
-
-
 class ShardWriter:
     def __init__(self, sink):
         self.sink = sink
@@ -163,7 +154,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
         for batch in batches:
             for rows, texts in pieces(batch):
                 if sink is None:
-                    fs, root = open_fs(path)
+                    fs, root = arrow_store(path)
                     fs.create_dir(root, recursive=True)
                     shard_file = f"ids-{shard:05d}-{uuid.uuid4().hex}.zst"
                     sink = fs.open_output_stream(f"{root}/{shard_file}", compression=None)
@@ -188,7 +179,7 @@ def read_store(spark: SparkSession, path: str, manifest: DataFrame, key: str = "
     """Per stored document: key, start (ids of all documents before it), n_tokens and ids_crc32."""
 
     def run(batches):
-        fs, root = open_fs(path)
+        fs, root = arrow_store(path)
         for batch in batches:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{file}") as source:

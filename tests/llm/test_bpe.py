@@ -112,7 +112,7 @@ def test_store(spark, docs):
 
 
 def _shard(tmp_path, documents):
-    fs, _ = frame_store.open_fs(str(tmp_path))
+    fs, _ = frame_store.arrow_store(str(tmp_path))
     with fs.open_output_stream(f"{tmp_path}/s") as sink:
         w = frame_store.ShardWriter(sink)
         for k, ids in documents:
