@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,33 @@ def scratch(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock, _writing = threading.Lock(), {}
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """Turns the session's _CLEANUP on while any thread writes here, and back after the last one."""
+    with _lock:
+        n, held = _writing.get(id(spark), (0, None))
+        if n == 0:
+            held = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _writing[id(spark)] = n + 1, held
+    try:
+        yield
+    finally:
+        with _lock:
+            n, held = _writing[id(spark)]
+            if n > 1:
+                _writing[id(spark)] = n - 1, held
+            else:
+                del _writing[id(spark)]
+                if held is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, held)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -55,18 +84,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     schema = df.schema
-    held = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        if held is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, held)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Hadoop's names of stores that pyarrow knows by others.
+_ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "abfs": "abfss"}
+
+
+def arrow_store(path: str):
+    """(file system, path) of a URI or plain path, for Python on any machine."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.partition("://")
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if not mark:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(f"{_ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that materialize() wrote and that nothing reads any more."""
     for path in df.inputFiles()[:1]:

@@ -67,11 +67,9 @@ class FeedReader(DataSourceStreamReader):
         self.known: dict[str, tuple[int, int]] = {}
 
     def _open(self):
-        from pyarrow import fs
+        from lodestack.runtime import arrow_store
 
-        if "://" in self.path or self.path.startswith("file:"):
-            return fs.FileSystem.from_uri(self.path if "://" in self.path else self.path.replace("file:", "file://", 1))
-        return fs.LocalFileSystem(), self.path
+        return arrow_store(self.path)
 
     def _look(self) -> tuple[str, int]:
         """The feed's identity and newest id. Files that are new since the last look have their footers read, no events."""
