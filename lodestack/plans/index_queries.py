@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.engine import Engine, stage_rows
 from lodestack.functions import text as tx
-from lodestack.operators import fulltext, incremental, name_index, names, topk
+from lodestack.operators import encoder, incremental, name_index, names, relevance, topk, vectors
 from lodestack.operators.filters import SearchRequest
 from lodestack.plans import catalog as cat
 from lodestack.plans import registry as reg
@@ -186,3 +186,39 @@ def job_queue(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("file_id")
     jobs = f.filter(i % 4 < 3).select("file_id", F.when(i % 3 == 0, "ocr").otherwise("text").alias("phase"), (i % 16).cast("int").alias("attempts"), (F.lit(1_700_000_000) + i * 100).cast("double").alias("retry_at"))
     return incremental.queued_files(jobs, f, "text", 1_700_050_000.0, folder="Documents").select("file_id", "name", "attempts", "next_try")
+
+
+# --- an encoder of the corpus --------------------------------------------------------------------------------------
+
+_COMMON = 30
+
+
+@query(f"""WITH {{cat}}, t AS (SELECT passage_id, {reg._tokens_sql('text')} AS toks FROM passages_), e AS (SELECT passage_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM t), v AS (SELECT w FROM e GROUP BY w HAVING count(*) >= {_COMMON}),
+p AS (SELECT x.w AS a, y.w AS b FROM e x JOIN e y ON x.passage_id = y.passage_id AND y.i BETWEEN x.i + 1 AND x.i + {encoder.WINDOW} WHERE x.w IN (FROM v) AND y.w IN (FROM v)),
+n AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM p GROUP BY 1, 2), s AS (FROM n UNION ALL SELECT b, a, n FROM n WHERE a <> b), m AS (SELECT a, sum(n) AS m FROM s GROUP BY a), tot AS (SELECT CAST(sum(m) AS DOUBLE) AS total FROM m)
+SELECT s.a AS word, count(*) AS partners, round(sum(ln(n * total / (m.m * o.m))), 4) AS weight FROM s JOIN m ON m.a = s.a JOIN m o ON o.a = s.b, tot WHERE ln(n * total / (m.m * o.m)) > 0 GROUP BY s.a""")
+def word_partners(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words each frequent word is drawn to, and how strongly: the matrix that the encoder is trained on."""
+    p = catalog(spark, sf).passages
+    vocab = encoder.vocabulary(p, "passage_id", "text", _COMMON)
+    drawn = encoder.weights(encoder.cooccurrences(p, "passage_id", "text", vocab))
+    return drawn.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("partners"), F.round(F.sum("x"), 4).alias("weight"))
+
+
+@query()
+def encoder_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the first half of a benchmark item finds its second half among those of all items, by the trained encoder and by
+    the hashed one. The benchmark is the stated set of queries."""
+    words = F.split("text", " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    items = read(spark, sf, "benchmark")
+    first, second = (items.select("item_id", F.array_join(F.slice(words, at, n), " ").alias("text")) for at, n in ((F.lit(1), half), (half + 1, F.size(words) - half)))
+    trained = encoder.train(catalog(spark, sf).passages)
+    truth = items.select(F.col("item_id").alias("query_id"), "item_id")
+    out = None
+    for name, encode in ((trained.name, lambda t: trained.encode(t, "item_id", "text")), (vectors.MODEL, lambda t: t.select("item_id", vectors.encode("text").alias("vector")).filter("vector IS NOT NULL"))):
+        near = encode(first).select(F.col("item_id").alias("query_id"), F.col("vector").alias("q")).crossJoin(encode(second))
+        ranked = near.select("query_id", "item_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(vectors.cosine(F.col("q"), F.col("vector"))), "item_id")).alias("position"))
+        row = relevance.metrics(ranked.withColumn("position", F.col("position") - 1), truth).select(F.lit(name).alias("encoder"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
