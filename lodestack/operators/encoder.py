@@ -11,8 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions.text import words
 from lodestack.runtime import discard, materialize
@@ -58,15 +61,28 @@ def weights(pairs: DataFrame) -> DataFrame:
     return joined.select("a", "b", x.alias("x")).filter("x > 0")
 
 
-def _sum_arrays(x: Column, rank: int) -> Column:
-    """The sum of arrays of ``rank`` numbers over a group."""
-    return F.array(*[F.sum(x[d]) for d in range(rank)])
+def _grouped(rows: DataFrame, by: str, weight: str, rank: int) -> DataFrame:
+    """(by, v): the sums of v times weight. Each Arrow batch is summed up first."""
+    kind = rows.schema[by].dataType
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(by).dictionary_encode()
+            at = keys.indices.to_numpy()
+            v = batch.column("v").flatten().to_numpy().reshape(-1, rank) * batch.column(weight).to_numpy()[:, None]
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1)) if len(at) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(v[order], starts) if len(at) else v
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(at[order][starts])), pa.array(list(sums), pa.list_(pa.float64()))], names=[by, "v"])
+
+    partial = rows.select(by, F.col(weight).cast("double").alias(weight), "v").mapInArrow(run, T.StructType([T.StructField(by, kind), T.StructField("v", T.ArrayType(T.DoubleType()))]))
+    return partial.groupBy(by).agg(F.array(*[F.sum(F.col("v")[d]) for d in range(rank)]).alias("v"))
 
 
 def _times(matrix: DataFrame, factor: DataFrame, rank: int) -> DataFrame:
     """matrix (a, b, x) by factor (word, v): (word, v)."""
-    met = matrix.join(factor, matrix["b"] == factor["word"]).select("a", F.transform("v", lambda y: y * F.col("x")).alias("v"))
-    return met.groupBy("a").agg(_sum_arrays(F.col("v"), rank).alias("v")).withColumnRenamed("a", "word")
+    met = matrix.join(factor, matrix["b"] == factor["word"]).select("a", "x", "v")
+    return _grouped(met, "a", "x", rank).withColumnRenamed("a", "word")
 
 
 def _inner(left: DataFrame, right: DataFrame | None, rank: int) -> np.ndarray:
@@ -78,8 +94,6 @@ def _inner(left: DataFrame, right: DataFrame | None, rank: int) -> np.ndarray:
         for f in frames:
             if len(f):
                 total += np.stack(f["v"].to_numpy()).T @ np.stack(f["w"].to_numpy())
-        import pandas as pd
-
         yield pd.DataFrame({"s": [total.ravel().tolist()]})
 
     return np.array([r["s"] for r in both.mapInPandas(run, "s array<double>").collect()]).sum(axis=0).reshape(rank, rank)  # a row a task
@@ -87,9 +101,13 @@ def _inner(left: DataFrame, right: DataFrame | None, rank: int) -> np.ndarray:
 
 def _turned(factor: DataFrame, by: np.ndarray) -> DataFrame:
     """factor's rows times a small matrix."""
-    columns = [F.array(*map(F.lit, by[:, d].tolist())) for d in range(by.shape[1])]
-    dot = lambda c: F.aggregate(F.zip_with("v", c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return factor.select("word", F.array(*[dot(c) for c in columns]).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy().reshape(-1, len(by)) @ by
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(list(v), pa.list_(pa.float64()))], names=["word", "v"])
+
+    return factor.select("word", "v").mapInArrow(run, "word string, v array<double>")
 
 
 def _orthonormal(factor: DataFrame, rank: int) -> DataFrame:
@@ -110,8 +128,7 @@ class Encoder:
     def encode(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         """(key, vector): the unit vector of each text; texts without known words have none."""
         each = _numbered(texts, key, text).select("key", F.explode("toks").alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("n"))
-        met = each.join(self.vectors, "word").select("key", F.transform("v", lambda x: x * F.col("n")).alias("v"))
-        total = met.groupBy("key").agg(_sum_arrays(F.col("v"), self.rank).alias("v"))
+        total = _grouped(each.join(self.vectors, "word"), "key", "n", self.rank)
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         return total.withColumn("norm", norm).filter("norm > 1e-12").select(F.col("key").alias(key), F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("vector"))
 
