@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.engine import Engine, citation
 from lodestack.operators import backfill, incremental, vectors
+from lodestack.operators.filters import SearchRequest, under
 from lodestack.plans import catalog as cat
 from lodestack.plans.catalog import catalog, micros, read
-from lodestack.plans.registry import query
+from lodestack.plans.registry import _JOINED, query, visible_sql
 from lodestack.runtime import scratch
 from lodestack.sources import feed, registration
 from lodestack.sources.snapshots import Snapshots
@@ -24,13 +26,12 @@ def _streamed(spark: SparkSession, parts: list[DataFrame], plan, mode: str) -> D
     def keep(frame: DataFrame, batch: int) -> None:
         frame.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/at={batch}")
 
-    schema = None
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(part.schema).parquet(folder)
         run = plan(stream).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
         run.awaitTermination()
-    return spark.read.parquet(out).drop("at") if schema is None else spark.read.schema(schema).parquet(out)
+    return spark.read.parquet(out).drop("at")
 
 
 def _later(events: DataFrame, days: int, **columns) -> DataFrame:
@@ -128,3 +129,78 @@ def stable_reads(spark: SparkSession, sf: str) -> DataFrame:
     before = listing(e.filter(F.col("event_id") <= last // 2))
     after = listing(e.filter((F.col("event_id") <= last // 2 + last // 200) & (F.col("user_id") % 11 != 0)))
     return incremental.stable_reads(before, before.select("user_id"), after, ["user_id"]).select("user_id", "verdict")
+
+
+# --- sources and what a caller narrows --------------------------------------------------------------------------------
+
+_SOURCES_SQL = """s AS (SELECT *, CASE WHEN availability = 'offline' THEN 'offline' WHEN kind = 'network' THEN 'paused' ELSE availability END AS state, CASE WHEN kind <> 'local' THEN CAST(1700000000 + CAST(substr(source_id, 4) AS INTEGER) * 100 AS DOUBLE) END AS last_scan FROM sources_)"""
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.substring("source_id", 4, 9).cast("int")
+    own = catalog(spark, sf).sources
+    state = F.when(F.col("availability") == "offline", "offline").when(F.col("kind") == "network", "paused").otherwise(F.col("availability"))
+    return own.withColumn("availability", state).withColumn("last_scan", F.when(F.col("kind") != "local", (F.lit(1_700_000_000) + n * 100).cast("double")))
+
+
+@query(f"""WITH {{cat}}, {_SOURCES_SQL} SELECT source_id FROM s WHERE state NOT IN ('paused', 'offline') AND (last_scan IS NULL OR last_scan <= 1700001900 - 900)""")
+def due_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources to look at again."""
+    return incremental.due_sources(_sources(spark, sf), 1_700_001_900.0).select("source_id")
+
+
+@query("""WITH {cat}, f AS (SELECT source_id AS identity, '/new' || source_path AS path, CASE WHEN kind = 'local' THEN 'ok' WHEN kind = 'external' AND offline_content THEN 'ok' ELSE 'denied' END AS state FROM sources_)
+SELECT s.source_id AS identity, CASE WHEN f.state = 'ok' THEN f.path ELSE s.source_path END AS path, CASE WHEN s.kind = 'network' THEN 'paused' WHEN f.state = 'ok' THEN 'online' ELSE 'offline' END AS availability FROM sources_ s JOIN f ON f.identity = s.source_id""")
+def source_availability(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources after a look at their places; paused ones stay so."""
+    s = catalog(spark, sf).sources
+    state = F.when((F.col("kind") == "local") | (F.col("kind") == "external") & F.col("offline_content"), "ok").otherwise("denied")
+    found = s.select(F.col("source_id").alias("identity"), F.concat(F.lit("/new"), "source_path").alias("path"), state.alias("state"))
+    known = s.select(F.col("source_id").alias("identity"), F.col("source_path").alias("path"), (F.col("kind") == "network").alias("paused"))
+    return registration.refresh_availability(known, found).select("identity", "path", "availability")
+
+
+@query("""WITH {cat} SELECT file_id, relative_path FROM files_ WHERE NOT (len(list_filter(string_split(relative_path, '/'), lambda x: x = 'node_modules')) > 0 OR regexp_full_match(relative_path, 'files/.*[.]csv'))""")
+def source_exclusions(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that stay in the catalog after a source's exclusions changed."""
+    return incremental.exclude(cat.files(read(spark, sf, "documents")), ["node_modules", "files/*.csv"]).select("file_id", "relative_path")
+
+
+@query("""WITH e AS (SELECT 's' || user_id % 7 AS stream, max(event_id) AS checkpoint FROM events GROUP BY 1), k AS (SELECT stream, 'v' || CAST(substr(stream, 2) AS INTEGER) % 3 AS identity, checkpoint FROM e)
+SELECT stream, CASE WHEN stream = 's4' THEN 'v9' ELSE identity END AS identity, CASE WHEN stream = 's4' THEN CAST(5 AS BIGINT) ELSE checkpoint END AS checkpoint, stream = 's4' AS whole FROM k""")
+def journal_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Streams at the start of a watch: one goes on from its checkpoint, one whose place has another identity begins anew with
+    its root to look at."""
+    e = read(spark, sf, "events")
+    k = F.col("user_id") % 7
+    streams = e.groupBy(F.concat(F.lit("s"), k).alias("stream"), F.concat(F.lit("v"), k % 3).alias("identity")).agg(F.max("event_id").alias("checkpoint")).select("stream", "identity", "checkpoint")
+    pending = streams.select("stream", F.lit("old").alias("scope"), F.lit(1).cast("long").alias("id")).filter("stream = 's4'")
+    _, streams, pending = journal.prepare(streams, pending, "s2", "v2", 1 << 40)  # as it was
+    _, streams, pending = journal.prepare(streams, pending, "s4", "v9", 5)
+    root = pending.filter("scope = ''").select("stream", F.lit(True).alias("whole"))
+    return streams.join(root, "stream", "left").select("stream", "identity", "checkpoint", F.coalesce("whole", F.lit(False)).alias("whole"))
+
+
+_ASKED = (3, 7, 8, 21, 44, 45, 120, 9_999_999)
+
+
+@query(f"WITH {{cat}} SELECT f.file_id, f.name FROM {_JOINED} WHERE {visible_sql(SearchRequest(''))} AND f.file_id IN ({', '.join(map(str, _ASKED))})")
+def filter_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible files among those that a caller names."""
+    return Engine(catalog(spark, sf))._visible(SearchRequest("", file_ids=_ASKED)).select("file_id", "name")
+
+
+@query("SELECT p_partkey FROM part WHERE '/Applications/' || p_size || '/' || p_partkey || '.app' LIKE '/Applications/7/%'")
+def app_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Applications below a source's folder."""
+    path = F.concat(F.lit("/Applications/"), F.col("p_size"), F.lit("/"), F.col("p_partkey"), F.lit(".app"))
+    return read(spark, sf, "part").filter(under(path, "/Applications/7/")).select("p_partkey")
+
+
+@query("""WITH {cat} SELECT file_id, passage_id, p.text || chr(10) || chr(10) || f.name || ', passage ' || (ordinal + 1) || chr(10) || source_path || '/' || relative_path AS cited FROM passages_ p JOIN files_ f USING (content_id) JOIN sources_ s ON s.source_id = f.source_id""")
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage of every file with its place."""
+    c = catalog(spark, sf)
+    met = c.passages.join(c.files, "content_id").join(c.sources, "source_id")
+    place = F.concat(F.lit("passage "), (F.col("ordinal") + 1).cast("string"))
+    return met.select("file_id", "passage_id", citation(F.col("text"), F.col("name"), place, F.concat_ws("/", "source_path", "relative_path")).alias("cited"))

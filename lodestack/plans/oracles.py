@@ -5,6 +5,8 @@ from __future__ import annotations
 from lodestack.operators import vectors as v
 from lodestack.sources import extract
 
+#: White space as packing.cut strips it, within a class of RE2.
+BLANK = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _MAX = f"{1 << 64}::UHUGEINT"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.engine import Engine
+from lodestack.functions import packing
 from lodestack.functions import text as tx
 from lodestack.operators import filters, fulltext, fusion, health, history, incremental, names, relevance, vectors
 from lodestack.operators.filters import SearchRequest
@@ -239,13 +240,12 @@ def passage_representatives(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(c.files, "content_id").select("file_id", "passage_id", F.round("relevance", 6).alias("relevance"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-p AS (SELECT doc_id, line_no, cut_at, substr(line, cut_at, 200) AS piece FROM (SELECT *, unnest(generate_series(1, greatest(length(line), 1), 200)) AS cut_at FROM t))
-SELECT doc_id, line_no - 1 AS line_no, (cut_at - 1) // 200 AS piece_no, piece FROM p""")
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '^[{oracles.BLANK}]+|[{oracles.BLANK}]+$', '', 'g') AS whole FROM documents)
+SELECT doc_id, (cut_at - 1) // 200 AS piece_no, substr(whole, cut_at, 200) AS piece FROM (SELECT *, unnest(generate_series(1, length(whole), 200)) AS cut_at FROM t WHERE whole <> '')""")
 def hard_split(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("line"), F.lit(1)), F.lit(200)), lambda at: F.substring(F.col("line"), at, 200))
-    return lines.select("doc_id", F.col("line_no").cast("long"), F.posexplode(cut).alias("piece_no", "piece")).withColumn("piece_no", F.col("piece_no").cast("long"))
+    """Texts in pieces of at most 200 characters."""
+    pieces = read(spark, sf, "documents").select("doc_id", F.posexplode(packing.cut(F.col("text"), 200)).alias("piece_no", "piece"))
+    return pieces.withColumn("piece_no", F.col("piece_no").cast("long"))
 
 
 @query("""WITH s AS (SELECT doc_id, substr(text, 1, 1300) AS t FROM documents) SELECT doc_id, regexp_replace(t, '(and|the)', '[\\1]', 'gi') AS shown FROM s""")
@@ -795,7 +795,7 @@ def relevance_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return relevance.metrics(ranked, b.select(i.alias("query_id"), ((i + i % 13) % 40).alias("item_id")))
 
 
-@query()
+@query(rf"""WITH {{cat}} SELECT passage_id, '{vectors.MODEL}' AS model, {12 + vectors.ENCODED_DIMENSIONS} AS bytes FROM passages_ p WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]') AND NOT EXISTS (SELECT 1 FROM vectors_ v WHERE v.passage_id * {cat.PER_CONTENT} = p.passage_id)""")
 def vector_backfill(spark: SparkSession, sf: str) -> DataFrame:
     c = catalog(spark, sf)
     held = c.vectors.select((F.col("passage_id") * cat.PER_CONTENT).alias("passage_id"), F.lit(vectors.MODEL).alias("model"))
