@@ -47,14 +47,14 @@ class SearchRequest:
         return max(1, min(100, self.limit))
 
 
-def requests_explicitly(component: str, query: str) -> bool:
-    """Whether the query names a dependency folder (or, for .node, a file with that suffix)."""
-    tokens = [t for t in re.split(r"[\s/\\\"']+", query.lower()) if t]
-    return component in tokens or component == ".node" and any(t.endswith(".node") for t in tokens)
+def requested(query: str) -> set[str]:
+    """The dependency folders that a query names as words of their own, and .node if one of its words ends so."""
+    parts = set(re.findall(r"""[^\s/\\"']+""", query.lower()))
+    return parts.intersection(DEPENDENCY_FOLDERS) | {mark for mark in (".node",) for p in parts if p.endswith(mark)}
 
 
 def is_path_query(query: str) -> bool:
-    return "/" in query or any(requests_explicitly(c, query) for c in DEPENDENCY_FOLDERS)
+    return "/" in query or bool(requested(query).intersection(DEPENDENCY_FOLDERS))
 
 
 def is_document(ext: Column) -> Column:
@@ -75,9 +75,9 @@ def visible(request: SearchRequest) -> Column:
     if request.category != "all":
         keep = keep & (is_document(F.col("ext")) if request.category == "documents" else ~is_document(F.col("ext")))
     for folder in DEPENDENCY_FOLDERS:
-        if not requests_explicitly(folder, query):
+        if folder not in requested(query):
             keep = keep & (~F.contains(F.concat(F.lit("/"), F.lower(path), F.lit("/")), F.lit(f"/{folder}/")) | exact)
-    if not requests_explicitly(".node", query):
+    if ".node" not in requested(query):
         keep = keep & ((F.lower("ext") != "node") | exact)
     for prefix in SYSTEM_PREFIXES:
         if prefix.lower() not in query:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.engine import Engine, stage_rows
-from lodestack.functions import text as tx
 from lodestack.operators import encoder, incremental, name_index, names, relevance, topk, vectors
 from lodestack.operators.filters import SearchRequest
 from lodestack.plans import catalog as cat

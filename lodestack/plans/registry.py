@@ -50,8 +50,8 @@ def visible_sql(request: SearchRequest) -> str:
     out = ["f.status <> 'denied'"]
     if request.category != "all":
         out.append(f"lower(f.ext) {'IN' if request.category == 'documents' else 'NOT IN'} ({_sql_names(filters.DOCUMENT_EXTENSIONS)})")
-    out += [f"(instr('/' || lower({path}) || '/', '/{d}/') = 0 OR {exact})" for d in filters.DEPENDENCY_FOLDERS if not filters.requests_explicitly(d, q)]
-    if not filters.requests_explicitly(".node", q):
+    out += [f"(instr('/' || lower({path}) || '/', '/{d}/') = 0 OR {exact})" for d in filters.DEPENDENCY_FOLDERS if d not in filters.requested(q)]
+    if ".node" not in filters.requested(q):
         out.append(f"(lower(f.ext) <> 'node' OR {exact})")
     out += [f"(NOT starts_with(replace({path}, '//', '/'), '{p}') OR {exact})" for p in filters.SYSTEM_PREFIXES if p.lower() not in q]
     if request.source_id is not None:
