@@ -23,7 +23,6 @@ family costs its members, not their pairs.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

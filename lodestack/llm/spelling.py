@@ -19,7 +19,6 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestack.llm.tables import pieces
 from lodestack.runtime import materialize
