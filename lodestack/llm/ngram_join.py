@@ -11,7 +11,8 @@ Document frequencies of all tokens (``_told``). Tasks make blocks of about BLOCK
 token hashes: a range gets each block's tokens as one row of packed arrays, with the documents that hold them. It
 answers with the tokens that occur more than once. A token of HOT or more documents of a block goes as one entry
 with its number, and its documents wait with the block. So a range holds a bounded number of entries a block, however
-frequent its tokens are, and nothing comes back of the many tokens that occur once: a document in which they fill the
+frequent its tokens are. A row from a block to a range has BLOCK * RANGE_TOKENS tokens over those of the corpus: beyond
+about 1 TB of text raise both by the memory that a worker has, to keep some dozens a row. Nothing comes back of the many tokens that occur once: a document in which they fill the
 prefix has no partner and is done.
 
 Frequent tokens. Where a prefix token is left to more than CROWD sets (a family of near copies), its members are first
@@ -119,10 +120,10 @@ def _block(schema: pa.Schema, block: int, bits: int, width: int, held: list[tupl
 
     few, whose = tokens[~crowded], own[~crowded]
     hot, many = tokens[starts][counts >= HOT], counts[counts >= HOT].astype(np.uint32)
-    cuts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(8 * width)
-    at, hot_at = np.append(np.searchsorted(few, cuts), len(few)), np.append(np.searchsorted(hot, cuts), len(hot))
-    for r in np.flatnonzero((np.diff(at) > 0) | (np.diff(hot_at) > 0)).tolist():
-        a, b, c, d = at[r], at[r + 1], hot_at[r], hot_at[r + 1]
+    few_in, hot_in = few >> np.uint64(8 * width), hot >> np.uint64(8 * width)
+    met = np.union1d(few_in, hot_in)
+    places = [np.searchsorted(x, met, side).tolist() for x in (few_in, hot_in) for side in ("left", "right")]
+    for r, a, b, c, d in zip(met.tolist(), *places, strict=True):
         add(range=r, block=block, low=_pack(few[a:b], width), own=whose[a:b].tobytes(), hot=_pack(hot[c:d], width), hot_df=many[c:d].tobytes())
     add(range=-1 - block % _PASS, block=block, low=tokens[crowded].tobytes(), own=own[crowded].tobytes(), keys=list(keys), sizes=[len(h) for h in sets], sids=[set_id(h) for h in sets], fps=list(fps))
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
