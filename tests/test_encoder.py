@@ -71,3 +71,11 @@ def test_weights_equal_plain_python(spark):
 def test_an_empty_corpus_knows_no_word(spark):
     none = spark.createDataFrame([], "passage_id long, text string")
     assert encoder.train(none, rank=4).encode(corpus(spark), "passage_id", "text").collect() == []
+
+
+def test_words_that_cancel_each_other_out_have_a_vector(spark):
+    """w29 and w42 have one place and opposite signs."""
+    assert np.isclose(np.linalg.norm(vectors.encode_text("w29 w42")), 1) and vectors.encode_text(" - ") is None
+    passages = spark.createDataFrame([(1, "c", 0, "w29 w42"), (2, "c", 1, "?")], "passage_id long, content_id string, ordinal int, text string")
+    files, held = spark.createDataFrame([(1, "c")], "file_id long, content_id string"), spark.createDataFrame([], "passage_id long, model string")
+    assert [r["passage_id"] for r in vectors.backfill(passages, held, files).collect()] == [1]
