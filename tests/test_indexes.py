@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.engine import Engine
 from lodestack.functions.text import parse_query
 from lodestack.operators import fulltext, name_index, topk
+from lodestack.operators.filters import SearchRequest
+from lodestack.plans.catalog import catalog
 from lodestack.sources.snapshots import Snapshots
 
 ALPHABET = ["ab", "bc", "Ünit", "report", ".md", "-", "a", "İ", "zz"]
@@ -81,3 +84,42 @@ def test_fewer_postings_are_read_for_fewer_results(passages):
 
 def test_phrases_and_prefixes_need_places():
     assert topk.plain_words(parse_query('"a b"')) is None and topk.plain_words(parse_query("ab", prefix=True)) is None and topk.plain_words(parse_query("ab cd")) == ["ab", "cd"]
+
+
+def _shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_postings_are_made_within_their_rows(spark):
+    rows = spark.createDataFrame([(1, "b a b", "a"), (2, "", None), (3, "", "C, a")], "key long, x string, y string")
+    made = fulltext.postings(rows, "key", ["x", "y"])
+    assert _shuffles(made) == 0
+    want = [("a", 1, "x", 4, [1]), ("a", 1, "y", 4, [0]), ("a", 3, "y", 2, [1]), ("b", 1, "x", 4, [0, 2]), ("c", 3, "y", 2, [0])]
+    assert sorted((r["term"], r["key"], r["field"], r["dl"], r["places"]) for r in made.collect()) == sorted(want)
+
+
+def test_bounded_postings_shuffle_rows_not_terms(passages):
+    plan = topk.index(passages[0], "passage_id", "text", 40)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(bin" in plan
+
+
+def test_long_rows_make_small_bins(spark):
+    rows = spark.range(8).select(F.col("id").alias("key"), F.repeat(F.lit("w "), topk.WORDS * 4).alias("text"))
+    assert topk.bins(rows, "key", "text", 8).select("bin").distinct().count() > 1
+
+
+def test_refresh_leaves_dealt_postings_in_place(passages):
+    p = passages[0]
+    now = fulltext.refresh(fulltext.dealt(p, "passage_id", ["text"]), "passage_id", p.filter("passage_id < 9"), fulltext.postings(p.limit(0), "passage_id", ["text"]))
+    assert "SortMergeJoin" not in now._jdf.queryExecution().executedPlan().toString() and now.agg(F.min("passage_id")).first()[0] == 9
+
+
+def test_only_what_a_request_reads_is_published(spark, tmp_path):
+    kept = Snapshots(spark, str(tmp_path))
+    made = catalog(spark, "/root/testdata/sf0.001")
+    engine = Engine.published(made, kept, ["files", "gram_index"])
+    assert sorted(kept.names()) == ["files", "gram_index"] and kept.current() == 2
+    Engine.published(made, kept, ["files", "passages", "passage_stats"])
+    assert sorted(kept.names()) == ["files", "gram_index", "passage_stats", "passages"]
+    request = SearchRequest("report", names_only=True, limit=20)
+    assert [tuple(r) for r in engine.search(request).select("file_id", "score").collect()] == [tuple(r) for r in Engine(made).search(request).select("file_id", "score").collect()]
