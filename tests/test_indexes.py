@@ -123,3 +123,13 @@ def test_only_what_a_request_reads_is_published(spark, tmp_path):
     assert sorted(kept.names()) == ["files", "gram_index", "passage_stats", "passages"]
     request = SearchRequest("report", names_only=True, limit=20)
     assert [tuple(r) for r in engine.search(request).select("file_id", "score").collect()] == [tuple(r) for r in Engine(made).search(request).select("file_id", "score").collect()]
+
+
+@pytest.mark.parametrize("query", ["w59 w3", '"w0 w1" w40', "w1 nothing"])
+def test_a_query_without_index_tokenises_once(passages, query):
+    p, index, stats, _ = passages
+    phrases = parse_query(query, prefix=True)
+    found, counted = fulltext.asked(p, "passage_id", "text", phrases)
+    assert counted.first() == stats.first() and "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda rows: sorted((r["passage_id"], round(r["relevance"], 9)) for r in rows.collect())
+    assert key(fulltext.bm25(found, counted, "passage_id", phrases)) == key(fulltext.bm25(index, stats, "passage_id", phrases))
