@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions.text import words
+from lodestack.operators import word_tiles
 from lodestack.runtime import discard, materialize
 
 WINDOW, LEAST_COUNT, RANK, EXTRA, ROUNDS = 5, 5, 48, 8, 2
@@ -30,26 +31,22 @@ def _numbered(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def vocabulary(texts: DataFrame, key: str, text: str, least: int = LEAST_COUNT) -> DataFrame:
     """(word, n, idf) of words that occur ``least`` times or more."""
-    toks = _numbered(texts, key, text)
-    total = toks.count()
-    each = toks.select("key", F.explode("toks").alias("word")).groupBy("word", "key").agg(F.count(F.lit(1)).alias("n"))
-    counted = each.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")).filter(F.col("n") >= least)
-    return counted.select("word", "n", F.log(F.lit(1.0) + total / F.col("df")).alias("idf"))
+    held = materialize(word_tiles.blocks(texts, text), "encoder-blocks")
+    vocab = materialize(word_tiles.vocabulary(held, least), "encoder-words")
+    discard(held)
+    return vocab
 
 
 def cooccurrences(texts: DataFrame, key: str, text: str, vocab: DataFrame, window: int = WINDOW) -> DataFrame:
     """(a, b, n): how often two words of the vocabulary stand within ``window`` words of each other, in both orders.
 
-    Pairs are counted in tasks before they are shuffled; rare words are dropped from the counts, not from the texts, so
-    distances are the texts' own.
+    Rare words are dropped from the counts, not from the texts, so distances are the texts' own. word_tiles.Counts holds
+    the same without a row for each pair.
     """
-    toks = _numbered(texts, key, text)
-    pair = lambda k: F.transform(F.slice("toks", 1, F.greatest(F.size("toks") - k, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get("toks", i + k).alias("b")))
-    near = toks.select(F.explode(F.flatten(F.array(*[pair(k) for k in range(1, window + 1)]))).alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b"))
-    once = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    known = vocab.select("word")
-    once = once.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi")
-    return once.unionByName(once.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    held = materialize(word_tiles.blocks(texts, text), "encoder-blocks")
+    made = word_tiles.count(held, vocab, window)
+    discard(held)
+    return made.rows()
 
 
 def weights(pairs: DataFrame) -> DataFrame:
