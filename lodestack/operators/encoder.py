@@ -2,8 +2,9 @@
 
 Words that stand near the same words get like vectors, so texts can be near each other without a common word. Co-occurrence
 counts within WINDOW words are weighted by positive pointwise mutual information; the symmetric matrix of weights is
-factored by a randomised method: a random sketch of its columns, power iterations, and a small eigenproblem. The matrix and
-all tall factors stay tables; the driver holds RANK x RANK sums only.
+factored by a randomised method: a random sketch of its columns, power iterations, and a small eigenproblem. The matrix stays
+packed tiles (word_tiles); a tall factor is one array for each range of words, which tasks read as their tiles ask for it, so
+that a product shuffles a factor's size and not the matrix's. The driver holds RANK x RANK sums only.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions.text import words
 from lodestack.operators import word_tiles
-from lodestack.runtime import discard, materialize
+from lodestack.runtime import arrow_store, cleaned, discard, materialize, remove, scratch
 
 WINDOW, LEAST_COUNT, RANK, EXTRA, ROUNDS = 5, 5, 48, 8, 2
 NAME = "corpus-ppmi-48-v1"
+#: Pairs that a product takes at a time.
+CHUNK = 1 << 14
 
 
 def _numbered(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,42 +79,120 @@ def _grouped(rows: DataFrame, by: str, weight: str, rank: int) -> DataFrame:
     return partial.groupBy(by).agg(F.array(*[F.sum(F.col("v")[d]) for d in range(rank)]).alias("v"))
 
 
-def _times(matrix: DataFrame, factor: DataFrame, rank: int) -> DataFrame:
-    """matrix (a, b, x) by factor (word, v): (word, v)."""
-    met = matrix.join(factor, matrix["b"] == factor["word"]).select("a", "x", "v")
-    return _grouped(met, "a", "x", rank).withColumnRenamed("a", "word")
+class _Ranges:
+    """Arrays written by range, one for each; tasks read them, and keep the last. ``turn`` is a small matrix to multiply rows by."""
 
+    def __init__(self, path: str, width: int, turn: np.ndarray | None = None):
+        self.path, self.width, self.turn, self.held = path, width, turn, (None, None)
 
-def _inner(left: DataFrame, right: DataFrame | None, rank: int) -> np.ndarray:
-    """The rank x rank sums of products of two factors' rows (of one with itself): partial sums come from the tasks."""
-    both = left.select(F.col("v").alias("v"), F.col("v").alias("w")) if right is None else left.join(right.withColumnRenamed("v", "w"), "word").select("v", "w")
+    def __call__(self, p: int) -> np.ndarray:
+        if self.held[0] != p:
+            fs, root = arrow_store(f"{self.path}/p={p}")
+            rows = np.frombuffer(pq.read_table(root, filesystem=fs, columns=["v"], partitioning=None).column("v")[0].as_py()).reshape(-1, self.width)
+            self.held = p, rows if self.turn is None else rows @ self.turn
+        return self.held[1]
 
-    def run(frames):
-        total = np.zeros((rank, rank))
-        for f in frames:
-            if len(f):
-                total += np.stack(f["v"].to_numpy()).T @ np.stack(f["w"].to_numpy())
-        yield pd.DataFrame({"s": [total.ravel().tolist()]})
+    def turned(self, by: np.ndarray) -> _Ranges:
+        return _Ranges(self.path, self.width, by)
 
-    return np.array([r["s"] for r in both.mapInPandas(run, "s array<double>").collect()]).sum(axis=0).reshape(rank, rank)  # a row a task
 
+def _by_range(rows: DataFrame, label: str, width: int) -> _Ranges:
+    """(p, v), a row for each range, written."""
+    path = scratch(rows.sparkSession, label)
+    with cleaned(rows.sparkSession):
+        rows.write.partitionBy("p").parquet(path)
+    return _Ranges(path, width)
 
-def _turned(factor: DataFrame, by: np.ndarray) -> DataFrame:
-    """factor's rows times a small matrix."""
+
+def _both_orders(pairs: DataFrame, ranges: int) -> DataFrame:
+    """The tiles of the whole matrix, in tasks by range, each tile's pairs by row."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for p, q, i, j, n in word_tiles.each_tile(batch):
+                there, back = i << 16 | j, j << 16 | i
+                if p == q:
+                    there, back, n = np.concatenate([there, back[i != j]]), None, np.concatenate([n, n[i != j]])
+                for x, y, code in ((p, q, there), (q, p, back)):
+                    if code is not None:
+                        order = np.argsort(code)
+                        rows.append((x, y, code[order], n[order]))
+            if rows:
+                yield word_tiles.tile_rows(rows)
+
+    return pairs.mapInArrow(run, pairs.schema).repartitionByRange(ranges, "p", "q").sortWithinPartitions("p", "q")
+
+
+def _times(matrix: DataFrame, total: float, margins: _Ranges, factor: _Ranges) -> DataFrame:
+    """(p, v): parts of the matrix of weights by a factor, a task's part of a range in one row."""
+    width = factor.width
 
     def run(batches):
+        other, at, out = _Ranges(margins.path, 1), None, None
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy().reshape(-1, len(by)) @ by
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(list(v), pa.list_(pa.float64()))], names=["word", "v"])
+            for p, q, i, j, n in word_tiles.each_tile(batch):
+                m = margins(p)[:, 0]
+                x = word_tiles.drawn(n, total, m[i], other(q)[j, 0])
+                i, j, x = i[x > 0], j[x > 0], x[x > 0]
+                if p != at:
+                    if out is not None:
+                        yield _part(at, out)
+                    at, out = p, np.zeros((len(m), width))
+                rows = factor(q)
+                for k in range(0, len(i), CHUNK):
+                    own = i[k : k + CHUNK]
+                    starts = np.flatnonzero(np.diff(own, prepend=-1))
+                    out[own[starts]] += np.add.reduceat(rows[j[k : k + CHUNK]] * x[k : k + CHUNK, None], starts, axis=0)
+        if out is not None:
+            yield _part(at, out)
+
+    return matrix.mapInArrow(run, "p int, v binary")
+
 
-    return factor.select("word", "v").mapInArrow(run, "word string, v array<double>")
+def _part(p: int, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["p", "v"])
 
 
-def _orthonormal(factor: DataFrame, rank: int) -> DataFrame:
-    """The factor with orthonormal columns, as far as its rank goes, by its small Gram matrix."""
-    values, vectors = np.linalg.eigh(_inner(factor, None, rank))
-    scale = np.where(values > values.max() * 1e-12, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-    return _turned(factor, vectors * scale)
+def _inner(parts: DataFrame, factor: _Ranges | None, width: int) -> np.ndarray:
+    """The sums of products of a factor's rows with those of parts (of parts' rows with themselves): partial sums come from the tasks."""
+
+    def run(batches):
+        sums = np.zeros((width, width))
+        for batch in batches:
+            for p, v in zip(batch.column("p").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                v = np.frombuffer(v).reshape(-1, width)
+                sums += (v if factor is None else factor(p)[: len(v)]).T @ v
+        yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    return np.array([r["s"] for r in parts.mapInArrow(run, "s array<double>").collect()]).sum(axis=0).reshape(width, width)  # a row a task
+
+
+def _sketch(ids: DataFrame, width: int) -> DataFrame:
+    """(p, v): signs drawn from the words' hashes."""
+    sign = lambda d: F.when(F.pmod(F.xxhash64("word", F.lit(d)), F.lit(2)) == 0, 1).otherwise(-1).cast("byte")
+
+    def run(table: pa.Table) -> pa.Table:
+        signs = table.column("signs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        rows = np.empty(signs.shape)
+        rows[table.column("i").to_numpy()] = signs
+        return pa.Table.from_batches([_part(table.column("p")[0].as_py(), rows)])
+
+    return ids.select("p", "i", F.array(*[sign(d) for d in range(width)]).alias("signs")).groupBy("p").applyInArrow(run, "p int, v binary")
+
+
+def _rows(factor: _Ranges, table: DataFrame, by: np.ndarray) -> DataFrame:
+    """(p, i, v): the rows of a written factor times a small matrix; rows of zeros are left out."""
+
+    def run(batches):
+        for batch in batches:
+            for p, v in zip(batch.column("p").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                v = np.frombuffer(v).reshape(-1, factor.width) @ by
+                i = np.flatnonzero(v.any(axis=1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * by.shape[1], pa.int32()), pa.array(v[i].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), p), pa.int32()), pa.array(i, pa.int32()), lists], names=["p", "i", "v"])
+
+    return table.mapInArrow(run, "p int, i int, v array<double>")
 
 
 @dataclass(frozen=True)
@@ -136,21 +217,29 @@ def train(texts: DataFrame, key: str = "passage_id", text: str = "text", rank: i
     Null and blank texts teach nothing; a corpus without repeated words gives an encoder that knows none.
     """
     wide = rank + EXTRA
-    vocab = materialize(vocabulary(texts, key, text, least), "encoder-words")
-    pairs = materialize(cooccurrences(texts, key, text, vocab, window), "encoder-pairs")
-    matrix = materialize(weights(pairs), "encoder-weights")
-    discard(pairs)
-    sign = lambda d: F.when(F.pmod(F.xxhash64("word", F.lit(d)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    factor = vocab.select("word", F.array(*[sign(d) for d in range(wide)]).alias("v"))
+    counts = word_tiles.counted(texts, text, least, window)
+    spark = texts.sparkSession
+    ranges = counts.margins.count()
+    if ranges == 0:
+        return Encoder(counts.ids.select("word", F.array(*[F.lit(0.0)] * rank).alias("v")).limit(0), rank)
+    margins = _by_range(counts.margins, "encoder-margins", 1)
+    matrix = materialize(_both_orders(counts.pairs, ranges), "encoder-matrix")
+    discard(counts.pairs)
+    table = lambda factor: spark.read.schema("v binary, p int").parquet(factor.path)
+    factor = _by_range(_sketch(counts.ids, wide), "encoder-factor", wide)
     for _ in range(rounds + 1):
-        made = materialize(_times(matrix, factor, wide), "encoder-factor")
-        factor = materialize(_orthonormal(made, wide), "encoder-factor")
-    if factor.limit(1).count() == 0:
-        return Encoder(vocab.select("word", F.array(*[F.lit(0.0)] * rank).alias("v")).limit(0), rank)
-    small = _inner(factor, _times(matrix, factor, wide), wide)
+        made = _by_range(word_tiles.summed(_times(matrix, counts.total, margins, factor)), "encoder-factor", wide)
+        remove(spark, factor.path)
+        values, vectors = np.linalg.eigh(_inner(table(made), None, wide))
+        scale = np.where(values > values.max() * 1e-12, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        factor = made.turned(vectors * scale)  # orthonormal columns, as far as the factor's rank goes
+    small = _inner(_times(matrix, counts.total, margins, factor), factor, wide)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(-values)[:rank]
-    placed = _turned(factor, vectors[:, best] * np.sqrt(np.maximum(values[best], 0)))
-    out = materialize(placed.join(vocab, "word").select("word", F.transform("v", lambda x: x * F.col("idf")).alias("v")), "encoder-vectors")
-    discard(matrix)
+    placed = _rows(factor, table(factor), factor.turn @ (vectors[:, best] * np.sqrt(np.maximum(values[best], 0))))
+    out = materialize(placed.join(counts.ids, ["p", "i"]).select("word", F.transform("v", lambda x: x * F.col("idf")).alias("v")), "encoder-vectors")
+    for held in (matrix, counts.ids):
+        discard(held)
+    for path in (margins.path, factor.path):
+        remove(spark, path)
     return Encoder(out, rank)

@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lodestack.operators import encoder, word_tiles
+from lodestack.runtime import materialize
 
 
 @pytest.fixture
@@ -44,3 +46,29 @@ def test_no_pair_is_a_row(spark):
     made = word_tiles.counted(texts.coalesce(1), "text", 1, encoder.WINDOW)
     assert made.pairs.count() == 1 and made.rows().count() > 1000
     assert made.ids.groupBy("p", "i").count().filter("count > 1").count() == 0
+
+
+def test_a_factor_over_many_ranges_reproduces_the_matrix(spark, small, monkeypatch):
+    monkeypatch.setattr(encoder, "CHUNK", 7)
+    _, texts = _texts(spark)
+    counts = word_tiles.counted(texts, "text", 20, encoder.WINDOW)
+    words = sorted(r["word"] for r in counts.ids.collect())
+    x = {(r["a"], r["b"]): r["x"] for r in encoder.weights(counts.rows()).collect()}
+    values, turned = np.linalg.eigh(np.array([[x.get((a, b), 0.0) for b in words] for a in words]))
+    made = encoder.train(texts, rank=len(words), least=20)
+    assert {r["p"] for r in counts.ids.select("p").distinct().collect()} > {0}
+    idf = {r["word"]: r["idf"] for r in counts.ids.collect()}
+    v = {r["word"]: np.array(r["v"]) / idf[r["word"]] for r in made.vectors.collect()}
+    none = np.zeros(len(words))
+    assert np.allclose([[v.get(a, none) @ v.get(b, none) for b in words] for a in words], turned * np.maximum(values, 0) @ turned.T, atol=1e-6)
+
+
+def test_a_product_shuffles_no_part_of_the_matrix(spark, small):
+    _, texts = _texts(spark)
+    counts = word_tiles.counted(texts, "text", 20, encoder.WINDOW)
+    matrix = materialize(encoder._both_orders(counts.pairs, 4), "test-matrix")
+    factor = encoder._by_range(encoder._sketch(counts.ids, 3), "test-factor", 3)
+    made = encoder._times(matrix, counts.total, encoder._by_range(counts.margins, "test-margins", 1), factor)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert made.select("p").distinct().count() == counts.margins.count()
