@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,27 @@ def test_only_what_a_request_reads_is_published(spark, tmp_path):
     assert [tuple(r) for r in engine.search(request).select("file_id", "score").collect()] == [tuple(r) for r in Engine(made).search(request).select("file_id", "score").collect()]
 
 
+def test_published_passages_are_not_shuffled_for_their_index(spark, tmp_path, monkeypatch):
+    made, kept, seen = catalog(spark, "/root/testdata/sf0.001"), Snapshots(spark, str(tmp_path)), {}
+    size, publish = 1 << 15, kept.publish
+
+    def watched(tables, **how):
+        seen.update({n: (_shuffles(t), t.rdd.getNumPartitions()) for n, t in tables.items()})
+        return publish(tables, **how)
+
+    monkeypatch.setattr(fulltext, "TASK_BYTES", size)
+    monkeypatch.setattr(kept, "publish", watched)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    Engine.published(made, kept, ["passages", "passage_index"])
+    shuffles, parts = seen["passage_index"]
+    stored = sum(p.stat().st_size for p in (tmp_path / "v1" / "passages").glob("*.parquet"))
+    assert shuffles == 0 and parts >= stored // size > 1 and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    as_set = lambda t: {(r["term"], r["passage_id"], r["dl"], tuple(r["places"])) for r in t.collect()}
+    assert as_set(kept.table("passage_index")) == as_set(fulltext.postings(made.passages, "passage_id", ["text"]))
+    groups = [pq.ParquetFile(p).metadata.num_row_groups for p in (tmp_path / "v1" / "passages").glob("*.parquet")]
+    assert sum(groups) > len(groups)
+
+
 @pytest.mark.parametrize("query", ["w59 w3", '"w0 w1" w40', "w1 nothing"])
 def test_a_query_without_index_tokenises_once(passages, query):
     p, index, stats, _ = passages
