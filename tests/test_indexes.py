@@ -1,6 +1,7 @@
 """Trigram postings and bounded postings against plain scans."""
 
 import random
+from dataclasses import replace
 
 import pyarrow.parquet as pq
 import pytest
@@ -147,6 +148,19 @@ def test_published_passages_are_not_shuffled_for_their_index(spark, tmp_path, mo
     assert sum(groups) > len(groups)
 
 
+def test_a_word_of_all_names_is_dealt_to_many_tasks(spark, tmp_path):
+    names_ = F.concat(F.lit("report-"), F.col("id"))
+    files = spark.range(20_000).select(F.col("id").alias("file_id"), names_.alias("name"), F.concat(F.lit("report/"), names_).alias("relative_path"))
+    kept = Snapshots(spark, str(tmp_path))
+    adaptive = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    engine = Engine.published(replace(catalog(spark, "/root/testdata/sf0.001"), files=files), kept, ["name_index"])
+    spark.conf.set(adaptive, before)
+    dealt = engine.name_index.filter("term = 'report'").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in dealt) == 40_000 and max(r["count"] for r in dealt) < 25_000
+
+
 @pytest.mark.parametrize("query", ["w59 w3", '"w0 w1" w40', "w1 nothing"])
 def test_a_query_without_index_tokenises_once(passages, query):
     p, index, stats, _ = passages
