@@ -52,16 +52,54 @@ END, START = 0, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: One of each for a worker: making them takes longer than most messages.
+_PRESS, _LOOSEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """Integers by byte planes through zstandard: high planes of small numbers vanish."""
+    """Numbers by byte planes through zstandard, after their number of planes: high planes that are all zero are left out."""
     width = values.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, width).T.tobytes())
+    flat = np.ascontiguousarray(values).view(f"u{width}")
+    planes = max(1, -(-int(flat.max(initial=0)).bit_length() // 8))
+    raw = flat.astype(np.uint8) if planes == 1 else flat.view(np.uint8).reshape(-1, width)[:, :planes].T
+    return bytes([planes]) + _PRESS.compress(raw.tobytes())
 
 
 def _unpack(packed: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+    planes, width = packed[0], np.dtype(kind).itemsize
+    raw = np.frombuffer(_LOOSEN.decompress(memoryview(packed)[1:]), np.uint8)
+    if planes == 1:
+        return raw.astype(f"u{width}").view(kind)
+    out = np.zeros((len(raw) // planes, width), np.uint8)
+    out[:, :planes] = raw.reshape(planes, -1).T
+    return out.reshape(-1).view(kind)
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Places of unsigned values, ascending by as many leading bits as fit into 64 with a place below them: a sort of
+    numbers takes a fraction of the time of an argsort. The last bits of very large values aren't looked at."""
+    room = np.uint64(len(values).bit_length())
+    extra = max(0, int(values.max(initial=0)).bit_length() + int(room) - 64)
+    keys = values.astype(np.uint64)
+    keys >>= np.uint64(extra)
+    keys <<= room
+    keys |= np.arange(len(keys), dtype=np.uint64)
+    keys.sort()
+    keys &= (np.uint64(1) << room) - np.uint64(1)
+    return keys.view(np.int64)
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, none of them negative, ascending, and each value's number among them."""
+    order = _order(values)
+    found = values[order]
+    if (found[1:] < found[:-1]).any():  # told apart only by bits that _order() has no room for
+        return np.unique(values, return_inverse=True)
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = found[1:] != found[:-1]
+    number = np.empty(len(found), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return found[fresh], number
 
 
 def _fold(keys: pa.Array) -> np.ndarray:
@@ -78,7 +116,7 @@ def blocks(docs: DataFrame, key: str, text: str, block_tokens: int = BLOCK_TOKEN
 
         def emit():
             flat = np.concatenate(parts)
-            words, at = np.unique(flat, return_inverse=True)
+            words, at = _numbered(flat)
             return pa.RecordBatch.from_pydict({
                 "docs": pa.array([[None if k is None else k for k in keys]], pa.list_(pa.int64())), "fold": [np.concatenate(folds).tobytes()], "length": [_pack(np.array(lengths, np.int64))],
                 "tokens": pa.array([len(flat)], pa.int64()), "size": pa.array([len(words)], pa.int64()), "words": [_pack(np.diff(words, prepend=np.uint64(0)))], "at": [_pack(at.astype(np.uint32))],
@@ -126,7 +164,7 @@ class Block:
         self.before = np.empty_like(self.at)
         self.before[1:] = self.at[:-1]
         self.before[self.first] = self.size  # the start context
-        self.pair, self.pair_at = np.unique(self.before * self.size + self.at, return_inverse=True)
+        self.pair, self.pair_at = _numbered(self.before * self.size + self.at)
         self.words = np.cumsum(_unpack(row["words"], np.uint64), dtype=np.uint64) if row.get("words") is not None else None
 
     def pairs(self) -> np.ndarray:
@@ -139,7 +177,7 @@ class Block:
         asked[1:] &= asked[:-1]
         asked[self.first] = False  # a text's first token has no trigram
         self.asked = np.flatnonzero(asked)
-        self.triple, self.triple_at = np.unique(self.pair_at[self.asked - 1] * self.size + self.at[self.asked], return_inverse=True)
+        self.triple, self.triple_at = _numbered(self.pair_at[self.asked - 1] * self.size + self.at[self.asked])
 
     def triple_hashes(self) -> np.ndarray:
         return _mixed(self.pairs()[self.triple // self.size], self.words[self.triple % self.size])
@@ -151,26 +189,29 @@ class Block:
 
 
 def _by_range(kind: str, hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(range, order, hashes): entries by even range of their hashes, ascending."""
+    """(range, order, hashes): entries by even range of their hashes, in an order that follows from the hashes alone."""
     if not len(hashes):
         return
-    order = np.argsort(hashes)
+    order = np.arange(len(hashes)) if kind == "word" else _order(hashes)  # a block's words are ascending
     sorted_ = hashes[order]
     which = (sorted_ >> np.uint64((BITS if kind == "word" else GRAM_BITS) - 32)) * np.uint64(ranges) >> np.uint64(32)
-    used, cuts = np.unique(which, return_index=True)
-    for r, own, h in zip(used.tolist(), np.split(order, cuts[1:]), np.split(sorted_, cuts[1:]), strict=True):
-        yield int(r), own, h
+    cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(which[a]), order[a:b], sorted_[a:b]
+
 
+def _hashes(b: Block, row: dict, kind: str) -> np.ndarray:
+    """The hashes of a block's entries of a kind."""
+    if kind == "triple":
+        b.triples(_flags(row["pair_alone"]))
+    return {"word": lambda: b.words, "pair": b.pairs, "triple": b.triple_hashes}[kind]()
 
-def _entries(row: dict, kind: str) -> tuple[Block, np.ndarray, dict[str, np.ndarray]]:
-    """A block with the hashes and counts of its entries of a kind."""
-    b = Block(row)
+
+def _counts(b: Block, kind: str) -> dict[str, np.ndarray]:
+    """The counts of the entries, once _hashes() has numbered them."""
     if kind == "word":
-        return b, b.words, b.counts(b.at, b.size)
-    if kind == "pair":
-        return b, b.pairs(), b.counts(b.pair_at, len(b.pair))
-    b.triples(_flags(row["pair_alone"]))
-    return b, b.triple_hashes(), b.counts(b.triple_at, len(b.triple), b.asked)
+        return b.counts(b.at, b.size)
+    return b.counts(b.pair_at, len(b.pair)) if kind == "pair" else b.counts(b.triple_at, len(b.triple), b.asked)
 
 
 def _flags(packed: bytes) -> np.ndarray:
@@ -184,15 +225,16 @@ def totals(found: DataFrame, kinds: tuple[str, ...], ranges: int) -> DataFrame:
     def send(frames):
         for frame in frames:
             for row in frame.to_dict("records"):
+                b = Block(row)
                 for kind in kinds:
-                    _, hashes, counted = _entries(row, kind)
+                    hashes, counted = _hashes(b, row, kind), _counts(b, kind)
                     out = [(row["block"], kind, r, _pack(np.diff(h, prepend=np.uint64(0))), *(_pack(c[own]) for c in counted.values())) for r, own, h in _by_range(kind, hashes, ranges)]
                     yield pd.DataFrame(out, columns=["block", "kind", "range", "hashes", "train", "tuning", "held"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in group["hashes"]]
         sizes = np.cumsum([0, *map(len, hashes)])
-        types, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        types, at = _numbered(np.concatenate(hashes))
         sums = {c: np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in group[c]]), len(types)).astype(np.int64) for c in ("train", "tuning", "held")}
         kept = sums["train"] - sums["tuning"]
         sums["alone"] = (sums["train"] + sums.pop("held") == 1).astype(np.uint8)
@@ -220,9 +262,9 @@ def resolved(found: DataFrame, total: DataFrame, kinds: tuple[str, ...], ranges:
             for row in frame.to_dict("records"):
                 back = row.pop("back")
                 parts = {(x["kind"], x["range"]): x for x in (back if back is not None else ())}
-                out = {f.name: row[f.name] for f in kept}
+                out, b = {f.name: row[f.name] for f in kept}, Block(row)
                 for kind in kinds:
-                    _, hashes, _ = _entries(row, kind)
+                    hashes = _hashes(b, row, kind)
                     placed = {c: np.zeros(len(hashes), t) for c, t in (("train", np.int64), ("tuning", np.int64), ("alone", np.uint8))}
                     for r, order, _ in _by_range(kind, hashes, ranges):
                         for c, x in placed.items():
